@@ -51,17 +51,16 @@ def cloudbase(cells: DataFrame, profile: Sequence[str], gate: str, height: str,
 
 
 def cloudtop_depth(cells: DataFrame, profile: Sequence[str], gate: str, valid: Column, depth_gates: int,
-                   gate_length: float, first_height: float, offset_gates: int = 0) -> DataFrame:
-    """Top of the highest fully valid window of ``depth_gates``, lowered by ``offset_gates``.
+                   selected_gates: int, offset_gates: int = 0) -> DataFrame:
+    """Gate indices (``from_gate``, ``to_gate``) of the upper part of the highest fully valid window.
 
-    ``top_gate`` and ``from_gate`` bound that window, for use with ``layer_mask``.
+    The window has ``depth_gates``; its top is lowered by ``offset_gates`` and the highest
+    ``selected_gates`` of the rest are returned. ``to_gate`` is the cloud top.
     """
     runs = valid_runs(cells, profile, gate, gate, valid).filter(F.col("n") >= depth_gates)
-    best = runs.groupBy(*profile).agg(F.max("last_gate").alias("top_gate"))
+    best = runs.groupBy(*profile).agg((F.max("last_gate") - offset_gates).alias("to_gate"))
     found = _for_all(cells, profile, best)
-    lowered = F.col("top_gate") - offset_gates
-    return found.withColumns({"from_gate": F.col("top_gate") - (depth_gates - 1),
-                              "cloudtop": F.when(lowered >= 0, lowered * gate_length + first_height)})
+    return found.withColumn("from_gate", F.col("to_gate") - (selected_gates - 1))
 
 
 def cloudtop_continuous(cells: DataFrame, tops: DataFrame, profile: Sequence[str], gate: str, height: str,

@@ -9,10 +9,10 @@ from skycolumn.plans.registry import query
 
 
 @query("rolling_mean", "W1", sql("steps", """
-SELECT key, t, round(CASE WHEN count(v) OVER w >= 4 THEN avg(v) OVER w END, 6) AS v_mean FROM steps
+SELECT key, t, round(CASE WHEN count(v) OVER w >= 4 THEN avg(v) OVER w END + 1e-9, 6) AS v_mean FROM steps
 WINDOW w AS (PARTITION BY key ORDER BY t ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)"""))
 def _(t):
-    return W.rolling_mean(t.steps(), ["key"], "t", "v", STEP, 20, 4).select("key", "t", r6(F.col("v_mean")).alias("v_mean"))
+    return W.rolling_mean(t.steps(), ["key"], "t", "v", STEP, 20, 4).select("key", "t", r6(F.col("v_mean") + 1e-9).alias("v_mean"))
 
 
 @query("dominant_flag", "W3", sql("steps", """
@@ -32,10 +32,10 @@ def _(t):
 , b AS (SELECT a.radar, a.t, a.gate, count(o.z) AS n, avg(o.z) AS m, var_pop(o.z) AS s
         FROM grid_cells a JOIN grid_cells o ON a.radar = o.radar AND o.gate BETWEEN a.gate - 3 AND a.gate + 2
              AND o.t BETWEEN a.t - 2 * 21600000000 AND a.t + 21600000000 GROUP BY 1, 2, 3)
-SELECT radar, t, gate, round(CASE WHEN n >= 8 THEN s END, 4) AS variance FROM b"""))
+SELECT radar, t, gate, round(CASE WHEN n >= 8 THEN s END + 1e-7, 4) AS variance FROM b"""))
 def _(t):
     out = W.rolling_var_2d(t.grid_cells(), ["radar"], "t", "gate", "z", SLOT, 4, 6, 8)
-    return out.select("radar", "t", "gate", r6(F.col("variance"), 4).alias("variance"))
+    return out.select("radar", "t", "gate", r6(F.col("variance") + 1e-7, 4).alias("variance"))
 
 
 UNI = """
@@ -101,18 +101,18 @@ def _(t):
 , g AS (SELECT *, lag(z) OVER w AS zp, lead(z) OVER w AS zn, range - lag(range) OVER w AS h1, lead(range) OVER w - range AS h2 FROM cells
         WINDOW w AS (PARTITION BY radar, t ORDER BY range))
 SELECT radar, t, range, round(CASE WHEN h1 IS NULL THEN (zn - z) / h2 WHEN h2 IS NULL THEN (z - zp) / h1
-       ELSE (h1 * h1 * zn + (h2 * h2 - h1 * h1) * z - h2 * h2 * zp) / (h1 * h2 * (h1 + h2)) END, 6) AS dz FROM g"""))
+       ELSE (h1 * h1 * zn + (h2 * h2 - h1 * h1) * z - h2 * h2 * zp) / (h1 * h2 * (h1 + h2)) END + 1e-9, 6) + 0.0 AS dz FROM g"""))
 def _(t):
-    return W.gradient_range(t.cells(), ["radar"], "t", "range", "z", "dz").select("radar", "t", "range", r6(F.col("dz")).alias("dz"))
+    return W.gradient_range(t.cells(), ["radar"], "t", "range", "z", "dz").select("radar", "t", "range", r6(F.col("dz") + 1e-9).alias("dz"))
 
 
 @query("time_gradient", "W9", sql("series", """
 , g AS (SELECT *, lag(v) OVER w AS zp, lead(v) OVER w AS zn, t / 6e7 - lag(t) OVER w / 6e7 AS h1, lead(t) OVER w / 6e7 - t / 6e7 AS h2 FROM series
         WINDOW w AS (PARTITION BY key ORDER BY t))
 SELECT key, t, round(CASE WHEN h1 IS NULL THEN (zn - v) / h2 WHEN h2 IS NULL THEN (v - zp) / h1
-       ELSE (h1 * h1 * zn + (h2 * h2 - h1 * h1) * v - h2 * h2 * zp) / (h1 * h2 * (h1 + h2)) END, 1) AS dv FROM g"""))
+       ELSE (h1 * h1 * zn + (h2 * h2 - h1 * h1) * v - h2 * h2 * zp) / (h1 * h2 * (h1 + h2)) END + 1e-4, 1) + 0.0 AS dv FROM g"""))
 def _(t):
-    return W.gradient_time(t.series(), ["key"], "t", "v", "dv", MINUTE).select("key", "t", r6(F.col("dv"), 1).alias("dv"))
+    return W.gradient_time(t.series(), ["key"], "t", "v", "dv", MINUTE).select("key", "t", r6(F.col("dv") + 1e-4, 1).alias("dv"))
 
 
 @query("ring_gradient", "W10", sql("scans", """

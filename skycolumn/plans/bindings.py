@@ -1,7 +1,8 @@
 """Logical tables (series, cells, scans, spectra, steps) bound to the given parquet tables.
 
 Every binding exists twice: as a DataFrame and as the SQL of the same name in ``CTE``. Values are
-built from integer sums of cents, so both engines start from identical doubles.
+built from integer sums of cents, so both engines start from identical doubles; the odd divisors keep
+results away from decimal rounding ties.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ CTE = {
     # sparse time x range cells per instrument
     "cells": f"""cells AS (
         SELECT radar, slot * {SLOT} AS t, gate, CAST((gate + 1) * 25 AS DOUBLE) AS range,
-               CAST(cents AS DOUBLE) / n / 400.0 - 60.0 AS z,
-               CAST(cents % 1000 AS DOUBLE) / 200.0 - 2.5 AS vel,
-               CAST((slot % 40) * 10 - gate * 16 AS DOUBLE) / 10.0 - 10.0 AS temp
+               CAST(cents AS DOUBLE) / n / 397.3 - 60.0 AS z,
+               CAST(cents % 1000 AS DOUBLE) / 197.3 - 2.5 AS vel,
+               CAST((slot % 40) * 10 - gate * 16 AS DOUBLE) / 9.7 - 10.0 AS temp
         FROM (SELECT event_type AS radar, epoch_us(ts) // {SLOT} AS slot, user_id % {GATES} AS gate,
                      CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n
               FROM events GROUP BY 1, 2, 3))""",
@@ -123,9 +124,9 @@ class Tables:
         return sums.select(
             "radar", (F.col("slot") * SLOT).alias("t"), "gate",
             ((F.col("gate") + 1) * 25).cast("double").alias("range"),
-            (total / F.col("n") / 400.0 - 60.0).alias("z"),
-            ((F.col("cents") % 1000).cast("double") / 200.0 - 2.5).alias("vel"),
-            (((F.col("slot") % 40) * 10 - F.col("gate") * 16).cast("double") / 10.0 - 10.0).alias("temp"))
+            (total / F.col("n") / 397.3 - 60.0).alias("z"),
+            ((F.col("cents") % 1000).cast("double") / 197.3 - 2.5).alias("vel"),
+            (((F.col("slot") % 40) * 10 - F.col("gate") * 16).cast("double") / 9.7 - 10.0).alias("temp"))
 
     def grid_cells(self) -> DataFrame:
         cells = self.cells()

@@ -14,7 +14,8 @@ def merged(t):
     return t.cells().groupBy("t", "gate", "range").agg(F.max("z").alias("z")).withColumn("radar", F.lit("all"))
 
 
-VALID = F.col("z") > -48
+def valid():
+    return F.col("z") > -48
 
 RUNS = """
 , v AS (SELECT radar, t, gate, range FROM {src} WHERE z > -48),
@@ -31,8 +32,8 @@ SELECT p.radar, p.t, max(top) FILTER (WHERE n >= 4) AS cloudtop, min(bottom) FIL
 FROM p LEFT JOIN r USING (radar, t) GROUP BY 1, 2"""))
 def _(t):
     c = t.cells()
-    top = P.cloudtop_generic(c, PROFILE, "gate", "range", VALID, 4)
-    return top.join(P.cloudbase(c, PROFILE, "gate", "range", VALID, 4), PROFILE)
+    top = P.cloudtop_generic(c, PROFILE, "gate", "range", valid(), 4)
+    return top.join(P.cloudbase(c, PROFILE, "gate", "range", valid(), 4), PROFILE)
 
 
 @query("cloudtop_layer", "P2 P6", sql("cells", RUNS.format(src="cells", gap=0) + """,
@@ -40,7 +41,7 @@ k AS (SELECT radar, t, max(b) FILTER (WHERE n >= 5) - 1 AS hi FROM r GROUP BY 1,
 SELECT c.radar, c.t, c.gate, c.z, coalesce(c.gate BETWEEN hi - 2 AND hi, false) AS in_layer FROM cells c LEFT JOIN k USING (radar, t)"""))
 def _(t):
     c = t.cells()
-    layer = P.cloudtop_depth(c, PROFILE, "gate", VALID, 5, 3, 1)
+    layer = P.cloudtop_depth(c, PROFILE, "gate", valid(), 5, 3, 1)
     return P.layer_mask(c, layer, PROFILE, "gate", "from_gate", "to_gate").select("radar", "t", "gate", "z", "in_layer")
 
 
@@ -52,8 +53,8 @@ SELECT p.t, ct.cloudtop, CASE WHEN x.a < 3 AND x.b > 0 AND ct.cloudtop IS NOT NU
 FROM p LEFT JOIN ct USING (radar, t) LEFT JOIN x USING (radar, t)"""))
 def _(t):
     c = merged(t)
-    tops = P.cloudtop(c, PROFILE, "gate", "range", VALID, 3)
-    return P.cloudtop_continuous(c, tops, PROFILE, "gate", "range", VALID, 3).select("t", "cloudtop", "continuous")
+    tops = P.cloudtop(c, PROFILE, "gate", "range", valid(), 3)
+    return P.cloudtop_continuous(c, tops, PROFILE, "gate", "range", valid(), 3).select("t", "cloudtop", "continuous")
 
 
 @query("cloudbase_connected", "P4", sql("cells", MERGED + RUNS.format(src="m", gap=0) + """,
@@ -62,8 +63,8 @@ w AS (SELECT a.radar, a.t, a.range FROM m a JOIN r USING (radar, t) JOIN cb USIN
 SELECT p.t, min(w.range) AS continuous FROM p LEFT JOIN w USING (radar, t) GROUP BY 1"""))
 def _(t):
     c = merged(t)
-    base = P.cloudbase(c, PROFILE, "gate", "range", VALID, 1).withColumn("cloudbase", F.col("cloudbase") + 100)
-    return P.cloudbase_continuous(c, base, PROFILE, "gate", "range", VALID, 3).select("t", "continuous")
+    base = P.cloudbase(c, PROFILE, "gate", "range", valid(), 1).withColumn("cloudbase", F.col("cloudbase") + 100)
+    return P.cloudbase_continuous(c, base, PROFILE, "gate", "range", valid(), 3).select("t", "continuous")
 
 
 LEVELS = """

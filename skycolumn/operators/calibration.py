@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skycolumn.operators.ordered import attach_row
 from skycolumn.operators.profiles import cloudtop_depth, layer_mask
 from skycolumn.operators.stats import bin_index, exact_quantiles
 from skycolumn.operators.windows import rolling_var_2d
@@ -93,9 +94,15 @@ def range_limits(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cut: flo
         return rows.filter(F.col("share") > MIN_SHARE).withColumn("_good", good)
 
     k = F.col("_k")
+
+    def step(distance: Column, inside) -> Column:
+        """Largest k whose limit still holds the point, with the limits' own rounding."""
+        k0 = F.floor(distance / STEP_DB)
+        return F.when(inside(k0 + 1), k0 + 1).when(inside(k0), k0).otherwise(k0 - 1)
+
     band = points.join(ends, list(keys)).filter(F.col("_s").between(F.col("_i0"), F.col("_j0")))
     lowered = (band.withColumn("_jb", F.col("_j0")).groupBy(*keys, "_i0", "_j0", "_jb", "_total",
-                                                            F.floor((F.col("_j0") - F.col("_s")) / STEP_DB).alias("_k"))
+                                                            step(F.col("_j0") - F.col("_s"), lambda n: F.col("_s") <= F.col("_j0") - n * STEP_DB).alias("_k"))
                .agg(*_moments(F.col(a), F.col(b))))
     # lowered until at most one step of band is left
     steps_j = F.greatest(F.ceil((F.col("_j0") - F.col("_i0")) / STEP_DB - 1), F.lit(0)).cast("long")
@@ -107,7 +114,7 @@ def range_limits(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cut: flo
     turn = ends.join(best, list(keys), "left").withColumn(
         "_jb", F.col("_j0") - F.greatest(F.coalesce("_any", F.lit(0)), F.coalesce("_ok", F.lit(0))) * STEP_DB).drop("_any", "_ok")
     band = points.join(turn, list(keys)).filter(F.col("_s").between(F.col("_i0"), F.col("_jb")))
-    raised = (band.groupBy(*keys, "_i0", "_j0", "_jb", "_total", F.floor((F.col("_s") - F.col("_i0")) / STEP_DB).alias("_k"))
+    raised = (band.groupBy(*keys, "_i0", "_j0", "_jb", "_total", step(F.col("_s") - F.col("_i0"), lambda n: F.col("_s") >= F.col("_i0") + n * STEP_DB).alias("_k"))
               .agg(*_moments(F.col(a), F.col(b))))
     steps_i = F.greatest(F.ceil((F.col("_jb") - F.col("_i0")) / STEP_DB - 2), F.lit(0)).cast("long")
     second = candidates(raised, steps_i, F.col("_i0") + k * STEP_DB, F.col("_jb"), 1)
@@ -189,7 +196,7 @@ def calib_stats(rows: DataFrame, date: str, order: str, constant: str) -> DataFr
     left = excluded.agg(F.count(F.lit(1)).alias("excluded_entries"))
     failures = per_date.agg(F.count_if(F.col("_f") == 1).alias("single_entries_no_solution"),
                             F.coalesce(F.sum(F.when(F.col("_f") > 1, F.col("_f"))), F.lit(0)).alias("multi_entries_no_solution"))
-    return overall.crossJoin(chosen).crossJoin(left).crossJoin(failures)  # one row each
+    return attach_row(attach_row(attach_row(overall, chosen), left), failures)
 
 
 def calibration_timeline(rows: DataFrame, date: str, order: str, start: str, end: str, hour: int) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +30,17 @@ def hydro_classify(cells: DataFrame, variables: Sequence[str], classes: Sequence
         return F.sqrt(total)
 
     names = [n for n, _ in classes]
-    rows = cells.withColumn("_d", F.array(*[distance(c) for _, c in classes]))
-    best = F.array_min("_d")
-    inverse = F.transform("_d", lambda d: 1.0 / F.greatest(d * d, F.lit(1e-12)))
-    rows = rows.withColumns({"hydro_class": F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("_d", best).cast("int")),
-                             "distance": best, "_w": inverse})
-    total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x)
-    rows = rows.withColumn("shares", F.transform("_w", lambda w: w / total))
-    entropy = -F.aggregate("shares", F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log(p)).otherwise(0.0))
-    return rows.withColumn("entropy", entropy / F.log(F.lit(float(len(names))))).drop("_d", "_w")
+    far = [f"_d{i}" for i in range(len(names))]
+    rows = cells.withColumns({d: distance(c) for d, (_, c) in zip(far, classes)})
+    rows = rows.withColumn("distance", F.least(*far) if len(far) > 1 else F.col(far[0]))
+    rows = rows.withColumns({f"_w{d}": 1.0 / F.greatest(F.col(d) * F.col(d), F.lit(1e-12)) for d in far})
+    rows = rows.withColumn("_total", reduce(add, [F.col(f"_w{d}") for d in far]))
+    shares = [F.col(f"_w{d}") / F.col("_total") for d in far]
+    entropy = reduce(add, [F.when(p > 0, -p * F.log(p)).otherwise(0.0) for p in shares]) / F.log(F.lit(float(len(names))))
+    nearest = reduce(lambda rest, i: F.when(F.col(far[i]) == F.col("distance"), names[i]).otherwise(rest),
+                     reversed(range(len(names))), F.lit(None).cast("string"))
+    rows = rows.withColumns({"hydro_class": nearest, "shares": F.array(*shares), "entropy": entropy})
+    return rows.drop("_total", *far, *[f"_w{d}" for d in far])
 
 
 def profile_flags(cells: DataFrame, profile: Sequence[str], valid: Column) -> DataFrame:

@@ -10,7 +10,7 @@ summary that has one row per bucket:
 * ``add_groups``       chains of rows that belong together
 * ``halo``             copies of the rows a bounded time frame needs from the neighbour buckets
 
-``(keys, order)`` must be unique where stated; ``first_per_time`` makes it so with a hash
+Keys are not NULL. ``(keys, order)`` must be unique where stated; ``first_per_time`` makes it so with a hash
 aggregation, which combines on the map side and is therefore safe for hot keys. With one row per
 (key, microsecond) a one-second bucket can never hold more than 10**6 rows, so ``bucket_width``
 always finds a width that bounds the rows of a task.
@@ -99,11 +99,19 @@ def _summary_window(keys: Sequence[str], descending: bool = False):
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, BUCKET]
-    renamed = summary.select(*[F.col(c).alias(f"_k_{c}") for c in on],
-                             *[c for c in summary.columns if c not in on])
-    condition = [rows[c].eqNullSafe(renamed[f"_k_{c}"]) for c in on]
-    return rows.join(renamed, condition, "left").drop(*[f"_k_{c}" for c in on])
+    """Bring the bucket's summary row to its rows; plain equality keeps the rows' partitioning."""
+    return rows.join(summary, [*keys, BUCKET], "left")
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
+    whole = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_row", whole).select(*df.columns, *[F.col("_row")[c].alias(c) for c in row.columns])
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on the keys; without keys ``right`` is a one-row aggregate."""
+    return left.join(right, list(keys)) if keys else attach_row(left, right)
 
 
 def enter(df: DataFrame, keys: Sequence[str], order: str, bucket: int | None) -> tuple[DataFrame, bool]:

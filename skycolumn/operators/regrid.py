@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skycolumn.functions.scalar import to_db, to_linear
 from skycolumn.operators.asof import asof
 from skycolumn.operators.intervals import interval_flag
-from skycolumn.operators.ordered import add_neighbours, add_running
+from skycolumn.operators.ordered import add_neighbours, add_running, join_on
 
 
 # ---- grids -------------------------------------------------------------------------------------
@@ -239,7 +239,7 @@ def coarsen(cells: DataFrame, keys: Sequence[str], t: str, gate: str, step: int,
     Blocks are counted from each key's first time.
     """
     start = cells.groupBy(*keys).agg(F.min(t).alias("_t0"))
-    rows = cells.join(start, list(keys)) if keys else cells.crossJoin(start)
+    rows = join_on(cells, start, keys)
     rows = rows.withColumns({"_bt": F.floor((F.col(t) - F.col("_t0")) / (step * by_t)), "_bg": F.floor(F.col(gate) / by_gate)})
     out = rows.groupBy(*keys, "_bt", "_bg").agg(
         F.min(t).alias(t), F.min(gate).alias(gate), F.count(F.lit(1)).alias("_n"),

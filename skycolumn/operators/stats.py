@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skycolumn.functions.scalar import cloud_type, iso0_zone
 from skycolumn.operators.joins import band_self_join
+from skycolumn.operators.ordered import attach_row, join_on
+from skycolumn.session import is_small
 
 # name -> aggregate; users add their own entries. "std" is the population form.
 STATS: dict[str, Callable[[Column], Column]] = {
@@ -39,35 +41,46 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
                     pieces: int = 64) -> DataFrame:
     """Exact, linearly interpolated quantiles of any DOUBLE column; no group is held by one task.
 
-    An approximate sketch per key gives edges that cut the key's values into about equal pieces;
-    counts per piece say in which piece each wanted rank lies, and only there are rows ranked.
+    A mergeable sketch per key gives edges that cut its values into about equal pieces. The size of
+    every piece (a map-side count) says in which pieces the wanted ranks lie. Only rows of those
+    pieces are shuffled, equal values counted on the map side, and ranked; while a piece may still be
+    large, it is cut again in the same way.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_e"),
-                                    F.count(F.lit(1)).alias("_total"))
-    cut = _join(counts, edges, keys).withColumn("_p", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")
-    whole = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (cut.groupBy(*keys, "_p").agg(F.sum("_n").alias("_s"))
-             .withColumn("_base", F.coalesce(F.sum("_s").over(whole), F.lit(0).cast("long"))))
-    placed = _join(cut, sizes, [*keys, "_p"])
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     ranks = {n: (F.col("_total") - 1) * float(p) for n, p in probs.items()}
-    wanted = F.lit(False)
-    for r in ranks.values():  # keep only the pieces that hold a wanted rank
-        wanted = wanted | ((F.ceil(r) >= F.col("_base")) & (F.floor(r) < F.col("_base") + F.col("_s")))
-    inside = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.filter(wanted).withColumn("_hi", F.col("_base") + F.sum("_n").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    rounds = 1 if is_small(df) else 3
+    path: list[str] = []
+    base = None
+    for depth in range(rounds):
+        group, piece = [*keys, *path], f"_p{depth}"
+        edges = rows.groupBy(*group).agg(
+            F.percentile_approx("_v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_e"))
+        rows = (join_on(rows, edges, group)
+                .withColumn(piece, F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e"))
+        earlier = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+        sizes = (rows.groupBy(*group, piece).agg(F.count(F.lit(1)).alias("_s"))
+                 .withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0).cast("long"))))
+        if base is not None:
+            sizes = sizes.join(base, group).withColumn("_before", F.col("_before") + F.col("_base")).drop("_base", "_total")
+        sizes = join_on(sizes, total, keys)
+        wanted = F.lit(False)
+        for r in ranks.values():
+            wanted = wanted | ((F.ceil(r) >= F.col("_before")) & (F.floor(r) < F.col("_before") + F.col("_s")))
+        base = sizes.filter(wanted).select(*group, piece, F.col("_before").alias("_base"), "_total")
+        path.append(piece)
+        rows = rows.join(base.select(*keys, *path), [*keys, *path], "left_semi")
+    counts = rows.groupBy(*keys, *path, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counts.join(base, [*keys, *path]).withColumn("_hi", F.col("_base") + F.sum("_n").over(inside))
+              .withColumn("_lo", F.col("_hi") - F.col("_n")))
     aggs = []
     for n, r in ranks.items():
         at = lambda k: F.max(F.when((F.col("_lo") <= k) & (k < F.col("_hi")), F.col("_v")))
         aggs += [at(F.floor(r)).alias(f"_a_{n}"), at(F.ceil(r)).alias(f"_b_{n}"), F.max(r - F.floor(r)).alias(f"_f_{n}")]
     found = ranked.groupBy(*keys).agg(*aggs)
-    at = lambda n, part: F.col(f"_{part}_{n}")
-    return found.select(*keys, *[(at(n, "a") + (at(n, "b") - at(n, "a")) * at(n, "f")).alias(n) for n in probs])
-
-
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys)) if keys else left.crossJoin(right)
+    part = lambda n, x: F.col(f"_{x}_{n}")
+    return found.select(*keys, *[(part(n, "a") + (part(n, "b") - part(n, "a")) * part(n, "f")).alias(n) for n in probs])
 
 
 # ---- grouped statistics ----------------------------------------------------------------------
@@ -92,7 +105,7 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[
         return quantiles
     base = df.groupBy(*keys).agg(*aggs)
     if not keys:
-        return base.crossJoin(quantiles).select(*stats)
+        return attach_row(base, quantiles).select(*stats)
     return base.join(quantiles, list(keys), "left").select(*keys, *stats)
 
 
@@ -229,7 +242,7 @@ def hist2d_percent(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: tup
     area = (x1 - x0) / bins[0] * ((y1 - y0) / bins[1])
     counts = hist2d(df, keys, x, y, bins, limits)
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    rows = _join(counts, totals, keys)
+    rows = join_on(counts, totals, keys)
     return rows.withColumn("percent", F.col("n") / (F.col("_n") * area) * 100).filter(F.col("percent") >= floor).drop("_n")
 
 
@@ -250,7 +263,7 @@ def hex_grid_size(df: DataFrame, keys: Sequence[str], x: str, y: str, **how) ->
         width = F.when(iqr > 0, 2 * iqr / F.pow(F.col("count").cast("double"), F.lit(1 / 3))).otherwise(1.0)
         return s.select(*keys, F.ceil((F.col("max") - F.col("min")) / width).alias(f"_{c}"))
 
-    both = _join(n_bins(x), n_bins(y), keys)
+    both = join_on(n_bins(x), n_bins(y), keys)
     size = F.floor(F.sqrt((F.col(f"_{x}") * F.col(f"_{y}")).cast("double")))
     return both.select(*keys, F.greatest(F.lit(10), size).cast("int").alias("gridsize"))
 
@@ -323,7 +336,7 @@ def normalised_hist(df: DataFrame, keys: Sequence[str], value: str, bins: int, l
     rows = df.withColumn("bin", bin_index(F.col(value), *limits, bins)).filter(F.col("bin").isNotNull())
     counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_t"))
-    return _join(counts, total, keys).select(*keys, "bin", (F.col("_n") / F.col("_t")).alias("share"))
+    return join_on(counts, total, keys).select(*keys, "bin", (F.col("_n") / F.col("_t")).alias("share"))
 
 
 def sounding_bias(a: DataFrame, b: DataFrame, sounding: str, altitude: str, value: str, step: float = 25.0) -> DataFrame:
@@ -351,6 +364,6 @@ def variogram(df: DataFrame, keys: Sequence[str], t: str, value: str, bins: int,
     # one row per lag before the extremes are known: the pairs are made once
     by_lag = pairs.groupBy(*keys, lag.alias("lag")).agg(F.sum(squares).alias("d"), F.sum(F.col("n") * F.col("n2")).alias("m"))
     ends = by_lag.groupBy(*keys).agg(F.min("lag").alias("_a"), F.max("lag").alias("_b"))
-    placed = _join(by_lag, ends, keys).withColumn("bin", F.floor((F.col("lag") - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins)).cast("int"))
+    placed = join_on(by_lag, ends, keys).withColumn("bin", F.floor((F.col("lag") - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins)).cast("int"))
     return placed.filter(F.col("bin") < bins).groupBy(*keys, "bin").agg(
         (F.sum(F.col("lag") * F.col("m")) / F.sum("m")).alias("lag"), (F.sum("d") / F.sum("m") / 2).alias("gamma"), F.sum("m").alias("pairs"))

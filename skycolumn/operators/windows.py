@@ -12,7 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from skycolumn.operators.ordered import BUCKET, add_carried, add_neighbours, first_per_time, halo, owned
+from skycolumn.operators.ordered import (
+    BUCKET, add_carried, add_neighbours, first_per_time, halo, join_on, owned)
 
 dedup_time = first_per_time
 
@@ -93,7 +94,7 @@ def uniform_filter(df: DataFrame, keys: Sequence[str], t: str, value: str, step:
     rows = over_time(df, keys, t, -half * step, half * step,
                      {"_s": lambda w, _: F.sum(x).over(w), "_q": lambda w, _: F.sum(x * x).over(w),
                       "_c": lambda w, _: F.count(x).over(w), "_r": lambda w, _: F.count(F.lit(1)).over(w)}, bucket)
-    rows = rows.join(ends, list(keys)) if keys else rows.crossJoin(ends)
+    rows = join_on(rows, ends, keys)
     left = F.greatest(F.lit(0), F.lit(half) - (F.col(t) - F.col("_t0")) / step)
     right = F.greatest(F.lit(0), F.lit(half) - (F.col("_t1") - F.col(t)) / step)
     v0, v1 = F.col("_v0"), F.col("_v1")
@@ -139,7 +140,7 @@ def autocov_outliers_2d(cells: DataFrame, keys: Sequence[str], t: str, gate: str
     scored = cells.join(moments.join(scale, per_gate), per_gate)
     z = F.when((F.col("_sd") > 0) & (F.col("autocov") != 0), F.abs(F.col(value) - F.col("_m")) / F.col("_sd"))
     times = scored.groupBy(*keys, t).agg(F.count_if(z > threshold).alias("flagged"))
-    times = times.join(gates, list(keys)) if keys else times.crossJoin(gates)
+    times = join_on(times, gates, keys)
     return times.filter(F.col("flagged") > F.floor(F.lit(fraction) * F.col("_gates"))).drop("_gates")
 
 
@@ -173,7 +174,7 @@ def autocov_outliers_rolling(df: DataFrame, keys: Sequence[str], t: str, value:
     autocov = (F.col("_xy") - m * (F.col("_a") + F.col("_b")) + (width - 1) * m * m) / (width - 1)
     scored = rows.filter(F.col("_n") == width).select(*keys, t, autocov.alias("autocov"))
     stats = scored.groupBy(*keys).agg(F.avg("autocov").alias("_m"), F.stddev_pop("autocov").alias("_sd"))
-    joined = scored.join(stats, list(keys)) if keys else scored.crossJoin(stats)
+    joined = join_on(scored, stats, keys)
     return joined.filter(F.abs(F.col("autocov") - F.col("_m")) > threshold * F.col("_sd")).drop("_m", "_sd")
 
 
@@ -291,7 +292,7 @@ def gap_interp_smooth(df: DataFrame, keys: Sequence[str], t: str, value: str, st
 
     rows = over_time(df, keys, t, -max_gap * step, max_gap * step, {"_f": filled}, bucket)
     ends = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
-    rows = rows.join(ends, list(keys)) if keys else rows.crossJoin(ends)
+    rows = join_on(rows, ends, keys)
     weights, half = savgol_weights(window, degree), window // 2
     reach = window - 1
     near = lambda _, o: F.array(*[at("_f", k, o) for k in range(-reach, reach + 1)])

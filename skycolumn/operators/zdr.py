@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skycolumn.functions.scalar import angle_step, missing_to_null, ml_index
 from skycolumn.operators.intervals import add_run_in_group
-from skycolumn.operators.ordered import add_running, floor_div
+from skycolumn.operators.ordered import add_running, floor_div, join_on
 from skycolumn.operators.stats import exact_quantiles, quantiles_from_counts
 from skycolumn.operators.windows import count_within, roll_gradient
 
@@ -71,13 +71,12 @@ def gate_complete_filter(points: DataFrame, columns: Sequence[str] = ("zh", "zdr
 def zdr_range_stats(points: DataFrame, keys: Sequence[str] = (), quantised: bool = False) -> DataFrame:
     """Per gate: count, median, IQR and bias quantiles against the median of the upper half of the ranges."""
     find = quantiles_from_counts if quantised else exact_quantiles
-    join = (lambda a, b: a.join(b, list(keys))) if keys else (lambda a, b: a.crossJoin(b))  # one row without keys
     ends = points.groupBy(*keys).agg(((F.max("r") - (F.max("r") - F.min("r")) / 2)).alias("_half"))
-    upper = join(points, ends).filter(F.col("r") >= F.col("_half"))
+    upper = join_on(points, ends, keys).filter(F.col("r") >= F.col("_half"))
     middle = find(upper, keys, "zdr", {"_med": 0.5})
     good = points.filter((F.col("rhohv") > 0.95) & (F.col("snr_h") > 5))
     counts = good.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("n"))
-    table = join(find(good, [*keys, "r"], "zdr", BIAS_QUANTILES).join(counts, [*keys, "r"]), middle)
+    table = join_on(find(good, [*keys, "r"], "zdr", BIAS_QUANTILES).join(counts, [*keys, "r"]), middle, keys)
     bias = [(F.col(q) - F.col("_med")).alias(f"bias_{q}") for q in BIAS_QUANTILES]
     return table.select(*keys, "r", "n", F.col("median").alias("med"), (F.col("q75") - F.col("q25")).alias("iqr"), *bias)
 

@@ -205,3 +205,16 @@ def _(t):
     x = (F.when(u == 0, -999.0).when(u == 1, 9999.0).when(u == 2, -99.0)
          .when(u == 3, F.col("value")).otherwise(F.col("value")))
     return t.events.select("event_id", S.missing_to_null(x, 998.0, [-99.0]).alias("x"))
+
+
+@query("iso0_from_lapse", "F14 W18", sql("grid_cells", """
+, z AS (SELECT radar, t, (temp - range * -0.0065::DOUBLE) AS surface FROM grid_cells WHERE gate = 0),
+h AS (SELECT radar, t, surface, surface / 0.0065::DOUBLE AS iso0 FROM z)
+SELECT radar, t, round(surface, 6) AS surface, round(coalesce(last_value(iso0 IGNORE NULLS) OVER (PARTITION BY radar ORDER BY t),
+       last_value(iso0 IGNORE NULLS) OVER (PARTITION BY radar ORDER BY t DESC)), 4) AS iso0 FROM h"""))
+def _(t):
+    from skycolumn.operators.windows import fill_gaps
+    surface, zero = S.lapse_iso0(F.col("temp"), F.col("range"), -0.0065)
+    h = t.grid_cells().filter("gate = 0").select("radar", "t", surface.alias("surface"), zero.alias("h"))
+    out = fill_gaps(h, ["radar"], "t", "h", "before", "after")
+    return out.select("radar", "t", r6(F.col("surface")).alias("surface"), r6(F.coalesce("before", "after"), 4).alias("iso0"))

@@ -16,12 +16,10 @@ PARTITION = ("radar", "date")
 def _write(df: DataFrame, path: str) -> None:
     """Replace exactly the partitions that ``df`` holds; running it again gives the same store.
 
-    Rows are spread by (radar, date) and a hash of the range, so that a crowded day is written by
-    several tasks.
+    Rows are rebalanced by (radar, date): Spark gathers small days and splits crowded ones by size.
     """
-    spread = F.pmod(F.hash("range"), F.lit(8)) if "range" in df.columns else F.lit(0)
-    (df.withColumn("_spread", spread).repartition(*PARTITION, "_spread").drop("_spread")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(path))
+    (df.hint("rebalance", *PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITION).parquet(path))
 
 
 def conform(df: DataFrame, specs: Sequence[VariableSpec]) -> DataFrame:

@@ -82,10 +82,8 @@ def range_limits(pairs: DataFrame, keys: Sequence[str], a: str, b: str, cut: flo
     """
     s = F.col(a) + F.col(b)
     points = pairwise_valid(pairs, a, b).withColumn("_s", s)
-    ends = exact_quantiles(points, keys, "_s", {"_i0": cut, "_j0": 1 - cut})
-    total = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     # one row per key; cut here so that the two search passes do not repeat the quantiles
-    ends = cut_lineage(ends.join(total, list(keys)))
+    ends = cut_lineage(exact_quantiles(points, keys, "_s", {"_i0": cut, "_j0": 1 - cut}, "_total"))
 
     def candidates(bins: DataFrame, last_step: Column, i: Column, j: Column, phase: int) -> DataFrame:
         rows = _fit(_ladder(bins, keys, ["_i0", "_j0", "_jb", "_total"], last_step))
@@ -155,7 +153,7 @@ def calibrate(pairs: DataFrame, keys: Sequence[str], a: str, b: str, limit: floa
     valid = pairwise_valid(pairs, a, b)
     if limit is not None:
         valid = sensitivity_filter(valid, a, b, limit, intercept)
-    limits = range_limits(valid, keys, a, b)
+    limits = cut_lineage(range_limits(valid, keys, a, b))  # one row per key
     inside = range_selection(valid.join(limits.select(*keys, "i", "j"), list(keys)), a, b, F.col("i"), F.col("j"))
     offset = fit_offset(density_filter(inside.filter("inside"), keys, a, b), keys, a, b)
     total = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from skycolumn.functions.scalar import to_db, to_linear
 from skycolumn.operators.asof import asof
 from skycolumn.operators.intervals import interval_flag
-from skycolumn.operators.ordered import add_neighbours, add_running, join_on
+from skycolumn.operators.ordered import add_neighbours, add_running, attach_row, join_on
+from skycolumn.session import cut_lineage
 
 
 # ---- grids -------------------------------------------------------------------------------------
@@ -201,14 +202,13 @@ def interp_at(table: DataFrame, points: DataFrame, t: str, axis: str, value: str
     then kept as one array pair per time for a bracket search inside the row.
     """
     times = table.select(t).distinct()
-    edges = add_neighbours(times.withColumn("_at", F.col(t)), [], t, prev=["_at"], next=["_at"])
-    # a time before the first segment uses the first one, after the last the last one
-    segment = edges.select(F.col(t), F.when(F.col("next__at").isNull(), F.col("prev__at")).otherwise(F.col(t)).alias("_t0"),
-                           F.when(F.col("next__at").isNull(), F.col(t)).otherwise(F.col("next__at")).alias("_t1"))
-    wanted = points.select(t).distinct()
-    back = asof(wanted, segment, t, [], ["_t0", "_t1"]).drop("matched_t")
-    ahead = asof(back.filter(F.col("_t0").isNull()).select(t), segment, t, [], ["_t0", "_t1"], "forward").drop("matched_t")
-    placed = back.filter(F.col("_t0").isNotNull()).unionByName(ahead)
+    edges = add_neighbours(times.withColumn("_at", F.col(t)), [], t, next=["_at"])
+    segment = edges.filter(F.col("next__at").isNotNull()).select(F.col(t), F.col(t).alias("_t0"), F.col("next__at").alias("_t1"))
+    segment = cut_lineage(segment)  # one row per time of the model field
+    # times before the first segment use the first one, times after the last one the last
+    first = segment.agg(F.min(t).alias("_first"))
+    wanted = attach_row(points.select(t).distinct(), first).withColumns({"_want": F.col(t), t: F.greatest(t, "_first")}).drop("_first")
+    placed = asof(wanted, segment, t, [], ["_t0", "_t1"]).drop("matched_t", t).withColumnRenamed("_want", t)
     levels = lambda at, out: table.select(F.col(t).alias(at), axis, F.col(value).alias(out))
     both = placed.join(levels("_t0", "_v0"), "_t0").join(levels("_t1", "_v1"), ["_t1", axis])
     moved = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * ((F.col(t) - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))

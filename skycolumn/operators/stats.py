@@ -38,32 +38,32 @@ def quantiles_from_counts(df: DataFrame, keys: Sequence[str], value: str, probs:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    pieces: int = 64) -> DataFrame:
+                    count: str | None = None, pieces: int = 64, rounds: int | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of any DOUBLE column; no group is held by one task.
 
     A mergeable sketch per key gives edges that cut its values into about equal pieces. The size of
     every piece (a map-side count) says in which pieces the wanted ranks lie. Only rows of those
     pieces are shuffled, equal values counted on the map side, and ranked; while a piece may still be
-    large, it is cut again in the same way.
+    large, it is cut again in the same way. ``count`` names a column for the number of values.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     ranks = {n: (F.col("_total") - 1) * float(p) for n, p in probs.items()}
-    rounds = 1 if is_small(df) else 3
     path: list[str] = []
     base = None
-    for depth in range(rounds):
+    for depth in range(rounds or (1 if is_small(df) else 3)):
         group, piece = [*keys, *path], f"_p{depth}"
         edges = rows.groupBy(*group).agg(
             F.percentile_approx("_v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_e"))
         rows = (join_on(rows, edges, group)
                 .withColumn(piece, F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e"))
-        earlier = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*group)
+        earlier = whole.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
         sizes = (rows.groupBy(*group, piece).agg(F.count(F.lit(1)).alias("_s"))
-                 .withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0).cast("long"))))
+                 .withColumns({"_before": F.coalesce(F.sum("_s").over(earlier), F.lit(0).cast("long")),
+                               "_total": F.sum("_s").over(whole)}))
         if base is not None:
-            sizes = sizes.join(base, group).withColumn("_before", F.col("_before") + F.col("_base")).drop("_base", "_total")
-        sizes = join_on(sizes, total, keys)
+            sizes = (sizes.drop("_total").join(base, group)
+                     .withColumn("_before", F.col("_before") + F.col("_base")).drop("_base"))
         wanted = F.lit(False)
         for r in ranks.values():
             wanted = wanted | ((F.ceil(r) >= F.col("_before")) & (F.floor(r) < F.col("_before") + F.col("_s")))
@@ -78,9 +78,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     for n, r in ranks.items():
         at = lambda k: F.max(F.when((F.col("_lo") <= k) & (k < F.col("_hi")), F.col("_v")))
         aggs += [at(F.floor(r)).alias(f"_a_{n}"), at(F.ceil(r)).alias(f"_b_{n}"), F.max(r - F.floor(r)).alias(f"_f_{n}")]
-    found = ranked.groupBy(*keys).agg(*aggs)
+    extra = [F.max("_total").alias(count)] if count else []
+    found = ranked.groupBy(*keys).agg(*aggs, *extra)
     part = lambda n, x: F.col(f"_{x}_{n}")
-    return found.select(*keys, *[(part(n, "a") + (part(n, "b") - part(n, "a")) * part(n, "f")).alias(n) for n in probs])
+    out = [(part(n, "a") + (part(n, "b") - part(n, "a")) * part(n, "f")).alias(n) for n in probs]
+    return found.select(*keys, *out, *([count] if count else []))
 
 
 # ---- grouped statistics ----------------------------------------------------------------------

@@ -40,11 +40,14 @@ def select_files(manifest: DataFrame, name: str, pattern: str, fmt: str, start:
 
 
 def read_csv_table(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of a typed delimited table; malformed lines go to the reject table with their text."""
-    with_reject = f"{schema}, _reject string"
-    df = (spark.read.schema(with_reject).option("header", "true").option("sep", sep).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_reject").csv(path))
-    return df.filter(F.col("_reject").isNull()).drop("_reject"), df.filter(F.col("_reject").isNotNull()).select("_reject")
+    """(rows, rejects) of a typed delimited table; malformed lines go to the reject table as text."""
+    typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    header = sep.join(typed.fieldNames())
+    lines = spark.read.text(path).filter((F.trim("value") != "") & (F.col("value") != header))
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_reject"}
+    parsed = lines.select("value", F.from_csv("value", f"{schema}, _reject string", options).alias("_row"))
+    bad = F.col("_row._reject").isNotNull()
+    return parsed.filter(~bad).select(*[F.col("_row")[n].alias(n) for n in typed.fieldNames()]), parsed.filter(bad).select("value")
 
 
 def parse_soundings(texts: DataFrame, text: str = "value", file: str = "file") -> DataFrame:

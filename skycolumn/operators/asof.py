@@ -26,11 +26,8 @@ def _both_sides(left: DataFrame, right: DataFrame, t: str, keys: Sequence[str],
 
 
 def on_times(left: DataFrame, looked_up: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
-    on = [*keys, t]
-    other = looked_up.select(*[F.col(c).alias(f"_k_{c}") for c in on],
-                             *[c for c in looked_up.columns if c not in on])
-    return left.join(other, [left[c].eqNullSafe(other[f"_k_{c}"]) for c in on], "left").drop(
-        *[f"_k_{c}" for c in on])
+    """Bring what was found per (keys, t) back to all rows; a small table is broadcast by Spark's own check."""
+    return left.join(looked_up, [*keys, t], "left")
 
 
 def asof(left: DataFrame, right: DataFrame, t: str, keys: Sequence[str], values: Sequence[str],

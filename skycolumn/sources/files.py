@@ -41,7 +41,7 @@ def select_files(manifest: DataFrame, name: str, pattern: str, fmt: str, start:
 
 def read_csv_table(spark: SparkSession, path: str | Sequence[str], schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of a typed delimited table; malformed lines go to the reject table as text."""
-    typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     header = sep.join(typed.fieldNames())
     lines = spark.read.text(path).filter((F.trim("value") != "") & (F.col("value") != header))
     options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_reject"}

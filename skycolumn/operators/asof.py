@@ -108,8 +108,10 @@ def add_corrected(df: DataFrame, corrections: DataFrame, t: str, keys: Sequence[
 
 def sample_every(df: DataFrame, t: str, keys: Sequence[str], valid: Column, step: int) -> DataFrame:
     """Nearest valid time to every ``step``-th grid time, without repeating the previous choice."""
-    grid = (df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
-            .select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(step))).alias(t)))
+    from skycolumn.operators.regrid import make_time_grid
+
+    bounds = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    grid = make_time_grid(bounds, t, "_lo", "_hi", step)
     good = df.filter(valid).select(*keys, t).distinct()
     found = asof_nearest(grid, good, t, keys, [])
     return (found.filter(F.col("matched_t").isNotNull())

@@ -56,22 +56,31 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order: str, at_least: int =
                  max_rows: int = ROWS_PER_BUCKET, scale: int = 1) -> int:
     """Widest bucket whose fullest instance holds at most ``max_rows`` rows.
 
-    Small inputs get a day without looking. Otherwise one aggregation job counts rows per second,
-    rolls the counts up to every candidate width and returns one row per width to the driver.
-    ``scale`` is the number of ``order`` units per microsecond.
+    Small inputs get a day without looking. Otherwise an aggregation job counts rows per hour, rolls
+    the counts up to the wider candidates and returns one row per width to the driver; only when an
+    hour is too full are minutes, then seconds counted. ``scale`` is the number of ``order`` units per
+    microsecond.
     """
     if is_small(df):
         return max(DAY, at_least) * scale
-    second = SECOND * scale
-    counts = (df.groupBy(*keys, floor_div(F.col(order), second).alias("_s"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    widths = [w for w in _WIDTHS if w >= at_least] or [at_least]
-    rolled = (counts.withColumn("_w", F.explode(F.array(*[F.lit(w // SECOND) for w in widths])))
-              .groupBy(*keys, "_w", floor_div(F.col("_s"), F.col("_w")).alias("_b"))
-              .agg(F.sum("_n").alias("_n"))
-              .groupBy("_w").agg(F.max("_n").alias("_n")))
-    fits = [r["_w"] for r in rolled.collect() if r["_n"] <= max_rows]
-    return (max(fits) if fits else widths[-1] // SECOND) * SECOND * scale
+    finer = [w for w in _WIDTHS if w >= at_least] or [at_least]
+    for base in (HOUR, MINUTE, SECOND):
+        widths = [w for w in finer if w >= base]
+        if not widths:
+            continue
+        finer = [w for w in finer if w < base]
+        counts = (df.groupBy(*keys, floor_div(F.col(order), base * scale).alias("_s"))
+                  .agg(F.count(F.lit(1)).alias("_n")))
+        rolled = (counts.withColumn("_w", F.explode(F.array(*[F.lit(w // base) for w in widths])))
+                  .groupBy(*keys, "_w", floor_div(F.col("_s"), F.col("_w")).alias("_b"))
+                  .agg(F.sum("_n").alias("_n"))
+                  .groupBy("_w").agg(F.max("_n").alias("_n")))
+        fits = [r["_w"] for r in rolled.collect() if r["_n"] <= max_rows]
+        if fits:
+            return max(fits) * base * scale
+        if not finer:
+            break
+    return max(min(_WIDTHS), at_least) * scale
 
 
 def first_per_time(df: DataFrame, keys: Sequence[str], t: str, tiebreak: str | None = None) -> DataFrame:

@@ -22,14 +22,18 @@ def to_cells(profiles: DataFrame, keys: Sequence[str], t: str, axis: str, values
 
 
 # ---- runs of valid gates in a profile ------------------------------------------------------
-def valid_runs(cells: DataFrame, profile: Sequence[str], gate: str, height: str, valid: Column,
-               max_gap: int = 0) -> DataFrame:
-    """Runs of valid gates, allowing up to ``max_gap`` missing ones: first/last gate, heights, n."""
+def _numbered(cells: DataFrame, profile: Sequence[str], gate: str, valid: Column, max_gap: int = 0) -> DataFrame:
+    """Valid gates with the number ``_id`` of their run."""
     w = Window.partitionBy(*profile).orderBy(gate)
     rows = cells.filter(valid)
     fresh = F.coalesce(F.col(gate) - F.lag(gate).over(w) - 1 > max_gap, F.lit(True)).cast("int")
-    rows = rows.withColumn("_id", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*profile, "_id").agg(
+    return rows.withColumn("_id", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def valid_runs(cells: DataFrame, profile: Sequence[str], gate: str, height: str, valid: Column,
+               max_gap: int = 0) -> DataFrame:
+    """Runs of valid gates, allowing up to ``max_gap`` missing ones: first/last gate, heights, n."""
+    return _numbered(cells, profile, gate, valid, max_gap).groupBy(*profile, "_id").agg(
         F.min(gate).alias("first_gate"), F.max(gate).alias("last_gate"), F.count(F.lit(1)).alias("n"),
         F.min(height).alias("bottom"), F.max(height).alias("top")).drop("_id")
 
@@ -83,10 +87,10 @@ def cloudtop_continuous(cells: DataFrame, tops: DataFrame, profile: Sequence[str
 def cloudbase_continuous(cells: DataFrame, bases: DataFrame, profile: Sequence[str], gate: str, height: str,
                          valid: Column, n: int, base: str = "cloudbase") -> DataFrame:
     """Lowest gate at or above ``base`` from which ``n`` consecutive gates are valid."""
-    runs = valid_runs(cells, profile, gate, gate, valid).filter(F.col("n") >= n)
-    starts = runs.select(*profile, F.col("first_gate").alias("_lo"), (F.col("last_gate") - (n - 1)).alias("_hi"))
-    joined = cells.join(bases.select(*profile, F.col(base).alias("_base")), list(profile)).join(starts, list(profile))
-    hit = joined.filter(F.col(gate).between(F.col("_lo"), F.col("_hi")) & (F.col(height) >= F.col("_base")))
+    rows = _numbered(cells, profile, gate, valid)
+    run = Window.partitionBy(*profile, "_id")
+    starts = rows.withColumn("_left", F.max(gate).over(run) - F.col(gate) + 1).filter(F.col("_left") >= n)
+    hit = starts.join(bases.select(*profile, F.col(base).alias("_base")), list(profile)).filter(F.col(height) >= F.col("_base"))
     found = hit.groupBy(*profile).agg(F.min(height).alias("continuous"))
     return bases.join(found, list(profile), "left")
 

@@ -16,14 +16,27 @@ from skycolumn.functions.scalar import to_db, to_linear
 from skycolumn.operators.asof import asof
 from skycolumn.operators.intervals import interval_flag
 from skycolumn.operators.ordered import add_neighbours, add_running, attach_row, join_on
-from skycolumn.session import cut_lineage
+from skycolumn.session import cut_lineage, is_small
 
 
 # ---- grids -------------------------------------------------------------------------------------
+GRID_CHUNK = 4096
+
+
 def make_time_grid(bounds: DataFrame, t: str, first: str, last: str, step: int) -> DataFrame:
-    """Every grid time of each row's (first, last), made by the executors."""
+    """Every grid time of each row's (first, last), made by the executors.
+
+    A campaign's grid comes from a few rows: they are first cut into chunks of steps, and these are
+    spread over the tasks before they are expanded.
+    """
     rest = [c for c in bounds.columns if c not in (first, last)]
-    return bounds.select(*rest, F.explode(F.sequence(first, last, F.lit(step))).alias(t))
+    length = step * GRID_CHUNK
+    chunks = bounds.select(*rest, F.col(last).alias("_last"), F.explode(F.sequence(F.col(first), F.col(last), F.lit(length))).alias("_from"))
+    if not is_small(bounds):
+        tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = chunks.repartition(tasks, *rest, "_from")
+    upto = F.least(F.col("_last"), F.col("_from") + (length - step))
+    return chunks.select(*rest, F.explode(F.sequence(F.col("_from"), upto, F.lit(step))).alias(t))
 
 
 def make_grid(bounds: DataFrame, t: str, first: str, last: str, step: int, axis: str, axis_first: float,
@@ -65,9 +78,9 @@ def regrid_nearest(df: DataFrame, keys: Sequence[str], coord: str, values: Seque
     # distance first; on equal distance the side the tie rule names
     wrong_side = (c < target) if tie == "later" else (c > target)
     order = F.abs(c - target) * 2 + F.when(wrong_side, 1e-9 if isinstance(step, float) else 1).otherwise(0)
-    rows = rows.withColumn("_d", order)
-    return (rows.groupBy(*keys, "_k").agg(*[F.min_by(v, "_d").alias(v) for v in values])
-            .select(*keys, target.alias(coord), *values))
+    # grouped by the target itself, so that a join with the grid needs no further shuffle
+    rows = rows.withColumns({"_d": order, "_t": target}).drop(coord).withColumnRenamed("_t", coord)
+    return rows.groupBy(*keys, coord).agg(*[F.min_by(v, "_d").alias(v) for v in values])
 
 
 def align_to_grid(df: DataFrame, grid: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], step: int,
@@ -109,8 +122,7 @@ def time_resample(df: DataFrame, keys: Sequence[str], t: str, step: int, db: Seq
 def bin_average(df: DataFrame, keys: Sequence[str], coord: str, values: Sequence[str], step, origin=0) -> DataFrame:
     """Mean of the samples between the mid-points around each target."""
     k = _index_down(F.col(coord) + step / 2, origin, step)
-    return (df.withColumn("_k", k).groupBy(*keys, "_k").agg(*[F.avg(v).alias(v) for v in values])
-            .select(*keys, _target(F.col("_k"), origin, step).alias(coord), *values))
+    return df.withColumn(coord, _target(k, origin, step)).groupBy(*keys, coord).agg(*[F.avg(v).alias(v) for v in values])
 
 
 def regrid_average_or_nearest(df: DataFrame, keys: Sequence[str], coord: str, values: Sequence[str], step, source_step,

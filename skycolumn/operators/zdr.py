@@ -171,18 +171,18 @@ def krige_scans(observed: DataFrame, targets: DataFrame, t: str, value: str, par
     """Local ordinary kriging of ``value`` at the target times.
 
     Unlike one global system over all scans, a target uses the observations within ``radius``.
-    Observations are first averaged over ``resolution``, targets reduced to distinct times, so a
-    bucket of one radius never holds more than 3*radius/resolution of the former; buckets are
-    independent tasks. ``split`` averages the estimates at t-split and t+split (zenith scans).
+    Observations are first averaged over ``resolution`` and targets reduced to distinct times, so a
+    task of half a radius holds at most 2.5*radius/resolution of the former. ``split`` averages the estimates at t-split and t+split (zenith scans).
     Gives ``correction`` and ``std`` (NULL without an observation in reach).
     """
     means = observed.filter(F.col(value).isNotNull()).groupBy((floor_div(F.col(t), resolution) * resolution + resolution // 2).alias("o")).agg(
         F.avg(value).alias("v"))
-    lo, hi = floor_div(F.col("o") - radius, radius), floor_div(F.col("o") + radius, radius)
+    width = max(resolution, radius // 2)
+    lo, hi = floor_div(F.col("o") - radius, width), floor_div(F.col("o") + radius, width)
     around = means.withColumn("_b", F.explode(F.sequence(lo, hi)))
     shifts = [-split, split] if split else [0]
     wanted = targets.select(t).distinct().withColumn("_at", F.explode(F.array(*[F.col(t) + s for s in shifts])))
-    wanted = wanted.withColumn("_b", floor_div(F.col("_at"), radius))
+    wanted = wanted.withColumn("_b", floor_div(F.col("_at"), width))
     gamma = _model_numpy(parts, [float(p) for p in params])
 
     def solve(want: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skycolumn.operators.ordered import HOUR, epoch_us, floor_div
+from skycolumn.operators.regrid import make_time_grid
 
 SLOT = 6 * HOUR          # time step of the bound cells
 GATES = 24               # gates of the bound cells, 25 m apart
@@ -130,8 +131,8 @@ class Tables:
 
     def grid_cells(self) -> DataFrame:
         cells = self.cells()
-        grid = (cells.groupBy("radar").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-                .select("radar", F.explode(F.sequence("lo", "hi", F.lit(SLOT))).alias("t"))
+        bounds = cells.groupBy("radar").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        grid = (make_time_grid(bounds, "t", "lo", "hi", SLOT)
                 .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GATES - 1).cast("long"))).alias("gate"))
                 .withColumn("range", ((F.col("gate") + 1) * 25).cast("double")))
         return grid.join(cells.drop("range"), ["radar", "t", "gate"], "left")
@@ -141,8 +142,8 @@ class Tables:
         means = (self.events.groupBy(F.col("event_type").alias("key"), slot)
                  .agg(cents("value").alias("c"), F.count(F.lit(1)).alias("n"))
                  .select("key", "t", (F.col("c").cast("double") / F.col("n") / 100.0).alias("v")))
-        grid = (means.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-                .select("key", F.explode(F.sequence("lo", "hi", F.lit(STEP))).alias("t")))
+        bounds = means.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        grid = make_time_grid(bounds, "t", "lo", "hi", STEP)
         return grid.join(means, ["key", "t"], "left")
 
     def corrections(self) -> DataFrame:

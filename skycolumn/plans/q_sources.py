@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skycolumn.operators import joins as J
-from skycolumn.operators.ordered import DAY, HOUR, epoch_us, from_epoch_us
+from skycolumn.operators.ordered import DAY, attach_row, epoch_us, from_epoch_us
 from skycolumn.plans.bindings import SLOT, r6, sql
 from skycolumn.plans.registry import query
 from skycolumn.session import checkpoint_dir
@@ -73,7 +73,7 @@ def _(t):
         out.close()
     rows, excluded = files.read_many_safe(spark, [path], "event_id bigint, user_id bigint, event_type string, value double, props string")
     bad = excluded.agg(F.count(F.lit(1)).alias("excluded"))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value"), 4).alias("total")).crossJoin(bad)
+    return attach_row(rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value"), 4).alias("total")), bad)
 
 
 @query("file_selection", "S3", """
@@ -209,7 +209,7 @@ def _(t):
     out = streams.stream_intervals(src, "ts", ["event_type"], (F.col("value") > 30) | (F.col("value") < 0), "1 hour", "2 hours")
     done = drained(t, out)
     last = t.events.agg(F.max("ts").alias("_last"))  # one row
-    return done.crossJoin(last).filter(F.col("start") <= F.col("_last")).select(
+    return attach_row(done, last).filter(F.col("start") <= F.col("_last")).select(
         F.col("event_type").alias("key"), epoch_us(F.col("start")).alias("start"), epoch_us(F.col("end")).alias("end"), "n")
 
 

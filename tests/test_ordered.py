@@ -179,6 +179,27 @@ def test_bucket_width_looks_at_the_fullest_bucket(spark, monkeypatch):
     df = spark.range(5000).select(F.lit("a").alias("key"), (F.col("id") * 1000).alias("t"))  # 5 s of data
     assert ordered.bucket_width(df, ["key"], "t", max_rows=1000) == ordered.SECOND
     assert ordered.bucket_width(df, ["key"], "t", max_rows=10_000) == 30 * ordered.DAY
+    assert ordered.bucket_width(df, ["key"], "t", max_rows=10) == ordered.SECOND
+    assert ordered.bucket_width(df, ["key"], "t", at_least=7 * ordered.HOUR, max_rows=10) == 7 * ordered.HOUR
+    wide = spark.range(5000).select(F.lit("a").alias("key"), (F.col("id") * ordered.MINUTE).alias("t"))
+    assert ordered.bucket_width(wide, ["key"], "t", max_rows=1500) == ordered.DAY
+
+
+def test_large_inputs_take_the_same_path_to_the_same_result(spark, monkeypatch):
+    """With every size check answering "large", results stay the same."""
+    from skycolumn.operators import stats
+
+    df, _ = series(spark)
+    flagged = df.withColumn("on", F.col("v") > 3)
+    bounds = spark.createDataFrame([("a", 0, 100_000), ("b", 5, 5)], "key string, lo long, hi long")
+    make = lambda: (rows_of(intervals.mask_to_intervals(flagged, ["key"], "t", "on")),
+                    rows_of(stats.exact_quantiles(df, ["key"], "v", {"m": 0.5}, pieces=4)),
+                    rows_of(regrid.make_time_grid(bounds, "t", "lo", "hi", 7)))
+    small = make()
+    for module in (ordered, stats, regrid):
+        monkeypatch.setattr(module, "is_small", lambda df: False)
+    assert make() == small
+    assert len(small[2]) == 100_000 // 7 + 1 + 1
 
 
 def test_first_per_time(spark):

@@ -109,7 +109,7 @@ def geopotential_to_alt(h: Column) -> Column:
 
 def earth_radius(latitude_deg: Column) -> Column:
     """Radius (m) of the reference ellipsoid at a latitude."""
-    a, b = 6378137.0, 6356752.3142
+    a, b = 6378137.0, 6356752.3
     c, s = F.cos(F.radians(latitude_deg)), F.sin(F.radians(latitude_deg))
     top = F.pow(a * a * c, 2.0) + F.pow(b * b * s, 2.0)
     return F.sqrt(top / (F.pow(a * c, 2.0) + F.pow(b * s, 2.0)))
@@ -199,14 +199,23 @@ def find_nearest(df: DataFrame, keys: Sequence[str], value: str, target: float,
 
 # ---- text, lists, dates --------------------------------------------------------------------
 def format_elapsed(seconds: Column) -> Column:
-    """H:MM:SS of a duration in whole seconds."""
-    s = seconds.cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"),
-                           F.floor((s % 3600) / 60).cast("long"), s % 60)
+    """``1d 2h 3m 4s`` from the largest unit that is not zero; below a minute two decimals."""
+    whole = F.floor(seconds)
+    d, h = F.floor(whole / 86400), F.floor((whole % 86400) / 3600)
+    m, s = F.floor((whole % 3600) / 60), whole % 60
+    return (F.when(d > 0, F.format_string("%dd %dh %dm %ds", d, h, m, s))
+            .when(h > 0, F.format_string("%dh %dm %ds", h, m, s))
+            .when(m > 0, F.format_string("%dm %ds", m, s))
+            .otherwise(F.format_string("%.2fs", seconds.cast("double"))))
 
 
 def format_list(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(values, ", "), F.lit("]"))
+    """``a``, ``a and b``, ``a, b and c``; empty text for an empty list."""
+    n = F.size(values)
+    text = values.cast("array<string>")
+    head = F.array_join(F.slice(text, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
+    return (F.when(n == 0, "").when(n == 1, F.get(text, F.lit(0)))
+            .otherwise(F.concat(head, F.lit(" and "), F.get(text, n - 1))))
 
 
 def parse_list(text: Column) -> Column:

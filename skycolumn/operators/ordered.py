@@ -113,9 +113,11 @@ def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> Da
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
-    whole = row.select(F.struct(*row.columns)).scalar()
-    return df.withColumn("_row", whole).select(*df.columns, *[F.col("_row")[c].alias(c) for c in row.columns])
+    """Add the columns of a global aggregate to every row.
+
+    ``row`` has exactly one row, so this join without condition adds columns and no rows.
+    """
+    return df.join(row)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -135,11 +135,12 @@ def isotherm_linear(levels: DataFrame, column: Sequence[str], temperature: str,
 
 
 def isotherm_nearest(levels: DataFrame, column: Sequence[str], temperature: str, altitude: str, target: float,
-                     alt_range: tuple[float, float], max_diff: float = 2.0, name: str = "isotherm") -> DataFrame:
-    """Level with the temperature closest to the target, within ``max_diff``; lowest on ties."""
+                     alt_range: tuple[float, float], max_diff: float = 2.0, station: float = 0.0,
+                     name: str = "isotherm") -> DataFrame:
+    """Level with the temperature closest to the target, closer than ``max_diff``; lowest on ties."""
     gap = F.abs(F.col(temperature) - target)
-    usable = F.col(altitude).between(*alt_range) & (gap <= max_diff)
-    best = F.min_by(F.when(usable, F.col(altitude)), F.when(usable, F.struct(gap, F.col(altitude))))
+    usable = F.col(altitude).between(*alt_range) & (gap < max_diff)
+    best = F.min_by(F.when(usable, F.col(altitude) - station), F.when(usable, F.struct(gap, F.col(altitude))))
     return levels.groupBy(*column).agg(best.alias(name))
 
 

@@ -24,8 +24,12 @@ STATS: dict[str, Callable[[Column], Column]] = {
 QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
+SMALL_VALUES = 64 << 20
+
+
 # ---- exact quantiles -------------------------------------------------------------------------
-def quantiles_from_counts(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def quantiles_from_counts(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
+                          count: str | None = None) -> DataFrame:
     """Exact quantiles of values with few levels (quantised data).
 
     Equal values are counted first, on the map side and spread over all tasks; what reaches the
@@ -33,8 +37,10 @@ def quantiles_from_counts(df: DataFrame, keys: Sequence[str], value: str, probs:
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     names = list(probs)
-    found = counts.groupBy(*keys).agg(F.percentile(value, [float(probs[n]) for n in names], F.col("_n")).alias("_q"))
-    return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    found = counts.groupBy(*keys).agg(F.percentile(value, [float(probs[n]) for n in names], F.col("_n")).alias("_q"),
+                                      F.sum("_n").alias("_total"))
+    out = [F.col("_q")[i].alias(n) for i, n in enumerate(names)]
+    return found.select(*keys, *out, *([F.col("_total").alias(count)] if count else []))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
@@ -45,12 +51,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     every piece (a map-side count) says in which pieces the wanted ranks lie. Only rows of those
     pieces are shuffled, equal values counted on the map side, and ranked; while a piece may still be
     large, it is cut again in the same way. ``count`` names a column for the number of values.
+    Sources below ``SMALL_VALUES`` bytes take the direct way: their groups fit into any task.
     """
+    if rounds is None and is_small(df, SMALL_VALUES):
+        return quantiles_from_counts(df, keys, value, probs, count)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     ranks = {n: (F.col("_total") - 1) * float(p) for n, p in probs.items()}
     path: list[str] = []
     base = None
-    for depth in range(rounds or (1 if is_small(df) else 3)):
+    for depth in range(rounds or 3):
         group, piece = [*keys, *path], f"_p{depth}"
         edges = rows.groupBy(*group).agg(
             F.percentile_approx("_v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_e"))

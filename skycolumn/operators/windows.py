@@ -266,6 +266,15 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], t: str, value: str, forward: s
     return add_carried(df, keys, t, last={forward: value}, next={backward: value}, bucket=bucket)
 
 
+def interpolate_missing(df: DataFrame, keys: Sequence[str], t: str, value: str, bucket: int | None = None) -> DataFrame:
+    """Linear in time between the known values around a missing one; the end values reach outwards."""
+    rows = df.withColumn("_kt", F.when(F.col(value).isNotNull(), F.col(t)))
+    rows = add_carried(rows, keys, t, last={"_v0": value, "_t0": "_kt"}, next={"_v1": value, "_t1": "_kt"}, bucket=bucket)
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * ((F.col(t) - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
+    filled = F.when(F.col("_t0").isNull(), F.col("_v1")).when(F.col("_t1").isNull(), F.col("_v0")).otherwise(between)
+    return rows.withColumn(value, F.coalesce(F.col(value), filled)).drop("_kt", "_v0", "_t0", "_v1", "_t1")
+
+
 def savgol_weights(window: int, degree: int) -> np.ndarray:
     """Row i: weights that give the least-squares polynomial at sample i of a full window."""
     powers = np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float)

@@ -86,10 +86,10 @@ def _(t):
 
 
 @query("isotherm_nearest_level", "P8", sql("scans", LEVELS + """,
-h AS (SELECT scan, arg_min(alt, {'d': abs(temp), 'a': alt}) AS iso FROM lev WHERE alt BETWEEN 500 AND 2600 AND abs(temp) <= 2 GROUP BY 1)
-SELECT s.scan, h.iso AS isotherm FROM (SELECT DISTINCT scan FROM lev) s LEFT JOIN h USING (scan)"""))
+h AS (SELECT scan, arg_min(alt, {'d': abs(temp), 'a': alt}) AS iso FROM lev WHERE alt BETWEEN 500 AND 2600 AND abs(temp) < 2 GROUP BY 1)
+SELECT s.scan, h.iso - 100 AS isotherm FROM (SELECT DISTINCT scan FROM lev) s LEFT JOIN h USING (scan)"""))
 def _(t):
-    return P.isotherm_nearest(levels(t), ["scan"], "temp", "alt", 0.0, (500.0, 2600.0))
+    return P.isotherm_nearest(levels(t), ["scan"], "temp", "alt", 0.0, (500.0, 2600.0), station=100.0)
 
 
 @query("layer_mean_temperature", "P9", sql("scans", LEVELS + """

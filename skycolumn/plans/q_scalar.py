@@ -101,8 +101,8 @@ def _(t):
 WITH g AS (SELECT s_suppkey AS id, CAST(s_suppkey % 180 AS DOUBLE) - 90 AS lat, abs(s_acctbal) AS r,
                   CAST(s_nationkey * 3 AS DOUBLE) AS elev FROM supplier),
 r AS (SELECT *, sqrt((pow(6378137.0::DOUBLE * 6378137.0::DOUBLE * cos(radians(lat)), 2.0)
-                      + pow(6356752.3142::DOUBLE * 6356752.3142::DOUBLE * sin(radians(lat)), 2.0))
-                     / (pow(6378137.0::DOUBLE * cos(radians(lat)), 2.0) + pow(6356752.3142::DOUBLE * sin(radians(lat)), 2.0))) AS radius FROM g)
+                      + pow(6356752.3::DOUBLE * 6356752.3::DOUBLE * sin(radians(lat)), 2.0))
+                     / (pow(6378137.0::DOUBLE * cos(radians(lat)), 2.0) + pow(6356752.3::DOUBLE * sin(radians(lat)), 2.0))) AS radius FROM g)
 SELECT id, round(radius, 3) AS radius,
        round(sqrt(r * r + (radius * (4.0 / 3.0)) * (radius * (4.0 / 3.0))
              + 2.0 * r * (radius * (4.0 / 3.0)) * sin(radians(elev))) - radius * (4.0 / 3.0), 3) AS height FROM r""")
@@ -151,13 +151,15 @@ def _(t):
 
 
 @query("display_formats", "F19", """
-SELECT event_id, printf('%d:%02d:%02d', s // 3600, (s % 3600) // 60, s % 60) AS elapsed,
-       '[' || event_type || ', ' || CAST(user_id AS VARCHAR) || ']' AS listed
-FROM (SELECT event_id, event_type, user_id, CAST(floor(value * 100) AS BIGINT) AS s FROM events)""")
+WITH e AS (SELECT event_id, event_type, user_id, value * 700 AS x, CAST(floor(value * 700) AS BIGINT) AS s FROM events)
+SELECT event_id, CASE WHEN s >= 86400 THEN printf('%dd %dh %dm %ds', s // 86400, (s % 86400) // 3600, (s % 3600) // 60, s % 60)
+       WHEN s >= 3600 THEN printf('%dh %dm %ds', s // 3600, (s % 3600) // 60, s % 60)
+       WHEN s >= 60 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%.2fs', x) END AS elapsed,
+       CASE WHEN user_id % 3 = 0 THEN event_type WHEN user_id % 3 = 1 THEN event_type || ' and ' || CAST(user_id AS VARCHAR)
+            ELSE event_type || ', ' || CAST(user_id AS VARCHAR) || ' and last' END AS listed FROM e""")
 def _(t):
-    listed = S.format_list(F.array("event_type", F.col("user_id").cast("string")))
-    return t.events.select("event_id", S.format_elapsed(F.floor(F.col("value") * 100)).alias("elapsed"),
-                           listed.alias("listed"))
+    parts = F.slice(F.array("event_type", F.col("user_id").cast("string"), F.lit("last")), F.lit(1), (F.col("user_id") % 3 + 1).cast("int"))
+    return t.events.select("event_id", S.format_elapsed(F.col("value") * 700).alias("elapsed"), S.format_list(parts).alias("listed"))
 
 
 @query("clean_text_columns", "F21", """
@@ -207,14 +209,16 @@ def _(t):
     return t.events.select("event_id", S.missing_to_null(x, 998.0, [-99.0]).alias("x"))
 
 
-@query("iso0_from_lapse", "F14 W18", sql("grid_cells", """
-, z AS (SELECT radar, t, (temp - range * -0.0065::DOUBLE) AS surface FROM grid_cells WHERE gate = 0),
-h AS (SELECT radar, t, surface, surface / 0.0065::DOUBLE AS iso0 FROM z)
-SELECT radar, t, round(surface, 6) AS surface, round(coalesce(last_value(iso0 IGNORE NULLS) OVER (PARTITION BY radar ORDER BY t),
-       last_value(iso0 IGNORE NULLS) OVER (PARTITION BY radar ORDER BY t DESC)), 4) AS iso0 FROM h"""))
+@query("iso0_from_lapse", "F14 R4 W18", sql("grid_cells", """
+, z AS (SELECT radar, t, temp - range * -0.0065::DOUBLE AS surface FROM grid_cells WHERE gate = 0),
+h AS (SELECT radar, t, surface, surface / 0.0065::DOUBLE AS h, CASE WHEN surface IS NOT NULL THEN t END AS kt FROM z),
+n AS (SELECT *, last_value(h IGNORE NULLS) OVER u AS v0, last_value(kt IGNORE NULLS) OVER u AS t0, last_value(h IGNORE NULLS) OVER d AS v1, last_value(kt IGNORE NULLS) OVER d AS t1
+      FROM h WINDOW u AS (PARTITION BY radar ORDER BY t), d AS (PARTITION BY radar ORDER BY t DESC))
+SELECT radar, t, round(surface, 6) AS surface, round(CASE WHEN h IS NOT NULL THEN h WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL THEN v0
+       ELSE v0 + (v1 - v0) * ((t - t0) / CAST(t1 - t0 AS DOUBLE)) END, 4) AS iso0 FROM n"""))
 def _(t):
-    from skycolumn.operators.windows import fill_gaps
+    from skycolumn.operators.windows import interpolate_missing
     surface, zero = S.lapse_iso0(F.col("temp"), F.col("range"), -0.0065)
-    h = t.grid_cells().filter("gate = 0").select("radar", "t", surface.alias("surface"), zero.alias("h"))
-    out = fill_gaps(h, ["radar"], "t", "h", "before", "after")
-    return out.select("radar", "t", r6(F.col("surface")).alias("surface"), r6(F.coalesce("before", "after"), 4).alias("iso0"))
+    h = t.grid_cells().filter("gate = 0").select("radar", "t", surface.alias("surface"), zero.alias("iso0"))
+    out = interpolate_missing(h, ["radar"], "t", "iso0")
+    return out.select("radar", "t", r6(F.col("surface")).alias("surface"), r6(F.col("iso0"), 4).alias("iso0"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +41,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+    """Write a table to the shared folder and read it back: computed once, safe from lost executors.
+
+    Unlike a recomputed plan the result has a known size, so later joins are planned from it.
+    """
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def source_bytes(df: DataFrame) -> int:

@@ -175,7 +175,7 @@ def test_keep_runs_on_a_long_axis(spark):
 
 
 def test_bucket_width_looks_at_the_fullest_bucket(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "is_small", lambda df: False)
+    monkeypatch.setattr(ordered, "is_small", lambda df, limit=0: False)
     df = spark.range(5000).select(F.lit("a").alias("key"), (F.col("id") * 1000).alias("t"))  # 5 s of data
     assert ordered.bucket_width(df, ["key"], "t", max_rows=1000) == ordered.SECOND
     assert ordered.bucket_width(df, ["key"], "t", max_rows=10_000) == 30 * ordered.DAY
@@ -197,7 +197,7 @@ def test_large_inputs_take_the_same_path_to_the_same_result(spark, monkeypatch):
                     rows_of(regrid.make_time_grid(bounds, "t", "lo", "hi", 7)))
     small = make()
     for module in (ordered, stats, regrid):
-        monkeypatch.setattr(module, "is_small", lambda df: False)
+        monkeypatch.setattr(module, "is_small", lambda df, limit=0: False)
     assert make() == small
     assert len(small[2]) == 100_000 // 7 + 1 + 1
 

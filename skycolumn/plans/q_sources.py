@@ -1,5 +1,6 @@
 """Queries that write, read back, pack, update and stream the given tables."""
 
+import contextlib
 import os
 import uuid
 
@@ -9,7 +10,7 @@ from skycolumn.operators import joins as J
 from skycolumn.operators.ordered import DAY, attach_row, epoch_us, from_epoch_us
 from skycolumn.plans.bindings import SLOT, r6, sql
 from skycolumn.plans.registry import query
-from skycolumn.session import checkpoint_dir
+from skycolumn.session import checkpoint_dir, is_small
 from skycolumn.sources import files, packing, store
 from skycolumn.specs import VariableSpec
 from skycolumn.streaming import streams
@@ -168,10 +169,24 @@ def event_stream(t):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
 
 
+@contextlib.contextmanager
+def state_partitions(t):
+    """A stream keeps one state store per shuffle partition: for small sources as many as cores."""
+    key, spark = "spark.sql.shuffle.partitions", t.spark
+    before = spark.conf.get(key)
+    if is_small(t.events):
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drained(t, df, mode="append"):
     """Run a stream over the files that are there and read its output back."""
     out, marks = fresh(t, "out"), fresh(t, "marks")
-    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    with state_partitions(t):
+        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(df.schema).parquet(out)
 
 
@@ -231,5 +246,6 @@ def _(t):
     path = fresh(t, "store")
     twice = event_stream(t).select(F.col("event_type").alias("radar"), F.col("ts").alias("time"), F.col("user_id").cast("double").alias("range"),
                                    F.col("value").alias("z"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    streams.stream_store(twice, path, fresh(t, "marks"), (VariableSpec("z"),)).awaitTermination()
+    with state_partitions(t):
+        streams.stream_store(twice, path, fresh(t, "marks"), (VariableSpec("z"),)).awaitTermination()
     return t.spark.read.parquet(path).select("radar", epoch_us(F.col("time")).alias("t"), "range", "z")

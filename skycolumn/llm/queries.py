@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skycolumn.llm import near_dedup, quality_rules
+from skycolumn.llm import embedding_dedup, length_histogram, near_dedup, quality_rules, repack, token_matrix
 from skycolumn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,31 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.similarity_groups(table(spark, sf_dir, "documents"), size=4)
 
 
+@query
+def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as packed rows of 2048 token ids."""
+    return token_matrix.packed_rows(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors linked by a cosine of at least 0.95."""
+    return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_repack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    return repack.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every document and the verdict of the robust outlier rule."""
     return quality_rules.classify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens at each encoded length, with the totals for a context of that length."""
+    return length_histogram.length_histogram(length_histogram.encoded_lengths(table(spark, sf_dir, "documents")))

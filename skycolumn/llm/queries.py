@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skycolumn.llm import embedding_dedup, length_histogram, near_dedup, quality_rules, repack, token_matrix
+from skycolumn.llm import embedding_dedup, length_histogram, mixing, near_dedup, quality_rules, repack, token_matrix
 from skycolumn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,14 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for a budget of all tokens at 97 % of the entropy of equal sources."""
+    taken = mixing.mixture(table(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return taken.select("_row.doc_id", "_row.source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"),
+                        F.col("_block").alias("block"), F.col("_whole").alias("whole_epochs"), F.col("_last").alias("in_last_epoch"), F.col("_copies").alias("copies"))
+
+
 @query
 def op6_repack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 2048 tokens."""

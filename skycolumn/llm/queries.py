@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycolumn.llm import embedding_dedup, length_histogram, mixing, near_dedup, quality_rules, repack, token_matrix
+from skycolumn.llm import embedding_dedup, length_histogram, mixing, near_dedup, quality_rules, repack, token_matrix, warc
 from skycolumn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.classify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back, with revisits of equal payloads."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op8_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+    w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+    FROM w"""
+
+
 @query
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens at each encoded length, with the totals for a context of that length."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycolumn.llm import embedding_dedup, length_histogram, mixing, near_dedup, quality_rules, repack, token_matrix, warc
+from skycolumn.llm import embedding_dedup, length_histogram, mixing, near_dedup, perplexity, quality_rules, repack, token_matrix, warc
 from skycolumn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text of its language, and the verdict."""
+    trusted = perplexity.trusted_of(table(spark, sf_dir, "labels"))
+    judged = perplexity.judge(table(spark, sf_dir, "documents"), trusted)
+    return judged.select(F.col("id").alias("doc_id"), "lang", "n_symbols", "perplexity", "drawn_perplexity", "limit", "kept")
+
+
 @query
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents of at least 80 % common 4-word shingles."""

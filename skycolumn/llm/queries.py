@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skycolumn.llm import embedding_dedup, length_histogram, mixing, near_dedup, perplexity, quality_rules, repack, token_matrix, warc
+from skycolumn.llm import embedding_dedup, html_extract, length_histogram, mixing, near_dedup, perplexity, quality_rules, repack, token_matrix, warc
 from skycolumn.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ ORACLES["op8_warc"] = """
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens at each encoded length, with the totals for a context of that length."""
     return length_histogram.length_histogram(length_histogram.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))

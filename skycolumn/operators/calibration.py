@@ -58,7 +58,7 @@ def _fit(df: DataFrame) -> DataFrame:
     out = df.withColumns({"_xx": sxx, "_yy": syy, "_xy": sxy})
     slope = F.when(F.col("_xx") > 0, F.col("_xy") / F.col("_xx"))
     rsq = F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") * F.col("_xy") / (F.col("_xx") * F.col("_yy")))
-    left = F.greatest(F.col("_yy") - F.col("_xy") * F.col("_xy") / F.col("_xx"), F.lit(0.0))
+    left = F.when(F.col("_xx") > 0, F.greatest(F.col("_yy") - F.try_divide(F.col("_xy") * F.col("_xy"), F.col("_xx")), F.lit(0.0)))
     return out.withColumns({"slope": slope, "r_squared": rsq, "rmse": F.sqrt(left / n)}).drop("_xx", "_yy", "_xy")
 
 

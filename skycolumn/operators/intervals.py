@@ -195,14 +195,14 @@ def precip_flag(cells: DataFrame, keys: Sequence[str], t: str, gate: str, z: str
 
 def merge_events(events: DataFrame, keys: Sequence[str], gap: int, min_duration: int, stats: Sequence[str],
                  bucket: int | None = None) -> DataFrame:
-    """Merge close events: extremes of extremes, means weighted by the true durations."""
+    """Merge close events: extremes of extremes, means weighted by the true durations (plain means where all are zero)."""
     rows = add_merge_group(events, keys, "start", "end", gap, bucket)
     weight = (F.col("end") - F.col("start")).cast("double")
     aggs = [F.max("end").alias("end"), F.count(F.lit(1)).alias("n_events")]
     for s in stats:
         mean = F.col(f"{s}_mean")
         aggs += [F.min(f"{s}_min").alias(f"{s}_min"), F.max(f"{s}_max").alias(f"{s}_max"),
-                 (F.sum(mean * weight) / F.sum(F.when(mean.isNotNull(), weight))).alias(f"{s}_mean")]
+                 F.coalesce(F.try_divide(F.sum(mean * weight), F.sum(F.when(mean.isNotNull(), weight))), F.avg(mean)).alias(f"{s}_mean")]
     merged = rows.groupBy(*keys, "group").agg(*aggs).withColumnRenamed("group", "start")
     return merged.filter(F.col("end") - F.col("start") >= min_duration)
 

@@ -23,8 +23,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skycolumn.session import is_small
-
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
@@ -56,13 +54,11 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order: str, at_least: int =
                  max_rows: int = ROWS_PER_BUCKET, scale: int = 1) -> int:
     """Widest bucket whose fullest instance holds at most ``max_rows`` rows.
 
-    Small inputs get a day without looking. Otherwise an aggregation job counts rows per hour, rolls
-    the counts up to the wider candidates and returns one row per width to the driver; only when an
-    hour is too full are minutes, then seconds counted. ``scale`` is the number of ``order`` units per
-    microsecond.
+    An aggregation job counts rows per hour, rolls the counts up to the wider candidates and returns
+    one row per width to the driver; only when an hour is too full are minutes, then seconds counted.
+    ``scale`` is the number of ``order`` units per microsecond. Frames wider than any bucket that fits
+    (``at_least``) decide by themselves: their rows must meet in one task whatever the width.
     """
-    if is_small(df):
-        return max(DAY, at_least) * scale
     finer = [w for w in _WIDTHS if w >= at_least] or [at_least]
     for base in (HOUR, MINUTE, SECOND):
         widths = [w for w in finer if w >= base]

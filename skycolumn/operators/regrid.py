@@ -16,7 +16,7 @@ from skycolumn.functions.scalar import to_db, to_linear
 from skycolumn.operators.asof import asof
 from skycolumn.operators.intervals import interval_flag
 from skycolumn.operators.ordered import add_neighbours, add_running, attach_row, join_on
-from skycolumn.session import cut_lineage, is_small
+from skycolumn.session import cut_lineage
 
 
 # ---- grids -------------------------------------------------------------------------------------
@@ -32,9 +32,7 @@ def make_time_grid(bounds: DataFrame, t: str, first: str, last: str, step: int)
     rest = [c for c in bounds.columns if c not in (first, last)]
     length = step * GRID_CHUNK
     chunks = bounds.select(*rest, F.col(last).alias("_last"), F.explode(F.sequence(F.col(first), F.col(last), F.lit(length))).alias("_from"))
-    if not is_small(bounds):
-        tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = chunks.repartition(tasks, *rest, "_from")
+    chunks = chunks.repartition(int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rest, "_from")
     upto = F.least(F.col("_last"), F.col("_from") + (length - step))
     return chunks.select(*rest, F.explode(F.sequence(F.col("_from"), upto, F.lit(step))).alias(t))
 

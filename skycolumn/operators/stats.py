@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from skycolumn.functions.scalar import cloud_type, iso0_zone
 from skycolumn.operators.joins import band_self_join
 from skycolumn.operators.ordered import attach_row, join_on
-from skycolumn.session import is_small
 
 # name -> aggregate; users add their own entries. "std" is the population form.
 STATS: dict[str, Callable[[Column], Column]] = {
@@ -24,7 +23,6 @@ STATS: dict[str, Callable[[Column], Column]] = {
 QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
-SMALL_VALUES = 64 << 20
 
 
 # ---- exact quantiles -------------------------------------------------------------------------
@@ -44,22 +42,19 @@ def quantiles_from_counts(df: DataFrame, keys: Sequence[str], value: str, probs:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    count: str | None = None, pieces: int = 64, rounds: int | None = None) -> DataFrame:
+                    count: str | None = None, pieces: int = 64, rounds: int = 2) -> DataFrame:
     """Exact, linearly interpolated quantiles of any DOUBLE column; no group is held by one task.
 
     A mergeable sketch per key gives edges that cut its values into about equal pieces. The size of
     every piece (a map-side count) says in which pieces the wanted ranks lie. Only rows of those
-    pieces are shuffled, equal values counted on the map side, and ranked; while a piece may still be
-    large, it is cut again in the same way. ``count`` names a column for the number of values.
-    Sources below ``SMALL_VALUES`` bytes take the direct way: their groups fit into any task.
+    pieces are shuffled, equal values counted on the map side, and ranked; each of ``rounds`` cuts the
+    pieces again in the same way. ``count`` names a column for the number of values.
     """
-    if rounds is None and is_small(df, SMALL_VALUES):
-        return quantiles_from_counts(df, keys, value, probs, count)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     ranks = {n: (F.col("_total") - 1) * float(p) for n, p in probs.items()}
     path: list[str] = []
     base = None
-    for depth in range(rounds or 3):
+    for depth in range(rounds):
         group, piece = [*keys, *path], f"_p{depth}"
         edges = rows.groupBy(*group).agg(
             F.percentile_approx("_v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_e"))
@@ -213,10 +208,10 @@ def daily_monthly_stats(df: DataFrame, keys: Sequence[str], ts: str, value: str)
 
 # ---- histograms -----------------------------------------------------------------------------
 def bin_index(x: Column, lo: float | Column, hi: float | Column, n: int) -> Column:
-    """0-based bin of uniform edges, the last edge inclusive; NULL outside."""
+    """0-based bin of uniform edges, the last edge inclusive; NULL outside, 0 where the edges coincide."""
     width = (hi - lo) / n
     inside = (x >= lo) & (x <= hi)
-    return F.when(inside, F.least(F.floor((x - lo) / width), F.lit(n - 1)).cast("int"))
+    return F.when(inside, F.least(F.coalesce(F.floor(F.try_divide(x - lo, F.lit(width) if isinstance(width, float) else width)), F.lit(0)), F.lit(n - 1)).cast("int"))
 
 
 def hist2d(df: DataFrame, keys: Sequence[str], x: str, y: str, bins: tuple[int, int], limits, weight: Column | None = None) -> DataFrame:
@@ -292,7 +287,7 @@ def class_contrast(cells: DataFrame, keys: Sequence[str], over_zero: str, top: s
     """Per cloud type and zone: share of multi-peak cells and mean gradient per kilometre."""
     rows = cells.withColumns({"cloud_type": cloud_type(F.col(top)), "zone": iso0_zone(F.col(over_zero))})
     return rows.filter(F.col("zone").isNotNull()).groupBy(*keys, "cloud_type", "zone").agg(
-        F.count(peaks).alias("n"), (F.count_if(F.col(peaks) > 1) / F.count(peaks)).alias("multi"),
+        F.count(peaks).alias("n"), F.try_divide(F.count_if(F.col(peaks) > 1), F.count(peaks)).alias("multi"),
         (F.avg(gradient) * 1000).alias("gradient_per_km"))
 
 
@@ -318,8 +313,8 @@ def outlier_share(df: DataFrame, keys: Sequence[str], z: str, height: str) -> Da
     """Percent of valid cells that are too strong, and too weak above 3 km and the sensitivity curve."""
     v, r = F.col(z), F.col(height)
     low = (v < -20) & (r > 3000) & (r > 100 * v + 5000)
-    return df.groupBy(*keys).agg(F.count(z).alias("valid"), (F.count_if(v > 20) / F.count(z) * 100).alias("high_percent"),
-                                 (F.count_if(low) / F.count(z) * 100).alias("low_percent"))
+    return df.groupBy(*keys).agg(F.count(z).alias("valid"), (F.try_divide(F.count_if(v > 20), F.count(z)) * 100).alias("high_percent"),
+                                 (F.try_divide(F.count_if(low), F.count(z)) * 100).alias("low_percent"))
 
 
 def flag_hours(df: DataFrame, keys: Sequence[str], flags: Sequence[str], step_hours: float) -> DataFrame:
@@ -364,17 +359,20 @@ def variogram(df: DataFrame, keys: Sequence[str], t: str, value: str, bins: int,
     """Half the mean squared difference per lag bin [b, b+1), the mean lag and the pair count.
 
     Rows at the same time are first reduced to (n, sum, sum of squares): a pair of times then stands
-    for all pairs of their rows, however many there are. Bins run over the observed lags and leave
-    the largest one out.
+    for all pairs of their rows, however many there are. Values are centred per key first, so that the
+    sums do not cancel. Bins run over the observed lags and leave the largest one out; a key with a
+    single lag has one bin.
     """
-    x = F.col(value)
-    points = df.filter(x.isNotNull()).groupBy(*keys, t).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    known = df.filter(F.col(value).isNotNull())
+    middle = known.groupBy(*keys).agg(F.avg(value).alias("_m"))
+    x = F.col(value) - F.col("_m")
+    points = join_on(known, middle, keys).groupBy(*keys, t).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     pairs = band_self_join(points, keys, t, maxlag, ["n", "s", "q"])
     lag = (F.col("t2") - F.col(t)).cast("double")
     squares = F.col("n2") * F.col("q") + F.col("n") * F.col("q2") - 2 * F.col("s") * F.col("s2")
     # one row per lag before the extremes are known: the pairs are made once
     by_lag = pairs.groupBy(*keys, lag.alias("lag")).agg(F.sum(squares).alias("d"), F.sum(F.col("n") * F.col("n2")).alias("m"))
     ends = by_lag.groupBy(*keys).agg(F.min("lag").alias("_a"), F.max("lag").alias("_b"))
-    placed = join_on(by_lag, ends, keys).withColumn("bin", F.floor((F.col("lag") - F.col("_a")) / ((F.col("_b") - F.col("_a")) / bins)).cast("int"))
+    placed = join_on(by_lag, ends, keys).withColumn("bin", F.coalesce(F.floor(F.try_divide(F.col("lag") - F.col("_a"), (F.col("_b") - F.col("_a")) / bins)), F.lit(0)).cast("int"))
     return placed.filter(F.col("bin") < bins).groupBy(*keys, "bin").agg(
         (F.sum(F.col("lag") * F.col("m")) / F.sum("m")).alias("lag"), (F.sum("d") / F.sum("m") / 2).alias("gamma"), F.sum("m").alias("pairs"))

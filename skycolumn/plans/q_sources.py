@@ -1,6 +1,5 @@
 """Queries that write, read back, pack, update and stream the given tables."""
 
-import contextlib
 import os
 import uuid
 
@@ -10,7 +9,7 @@ from skycolumn.operators import joins as J
 from skycolumn.operators.ordered import DAY, attach_row, epoch_us, from_epoch_us
 from skycolumn.plans.bindings import SLOT, r6, sql
 from skycolumn.plans.registry import query
-from skycolumn.session import checkpoint_dir, is_small
+from skycolumn.session import checkpoint_dir
 from skycolumn.sources import files, packing, store
 from skycolumn.specs import VariableSpec
 from skycolumn.streaming import streams
@@ -165,53 +164,44 @@ def _(t):
 
 
 def event_stream(t):
-    spark, schema = t.spark, t.events.schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-
-
-@contextlib.contextmanager
-def state_partitions(t):
-    """A stream keeps one state store per shuffle partition: for small sources as many as cores."""
-    key, spark = "spark.sql.shuffle.partitions", t.spark
-    before = spark.conf.get(key)
-    if is_small(t.events):
-        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def drained(t, df, mode="append"):
-    """Run a stream over the files that are there and read its output back."""
-    out, marks = fresh(t, "out"), fresh(t, "marks")
-    with state_partitions(t):
-        df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(out)
+    """The events as a stream; the pattern finds one file as well as a folder of part files."""
+    return t.spark.readStream.schema(t.events.schema).parquet(os.path.join(t.dir, "events.parquet*"))
 
 
-def closed_by_end(t):
-    """Rows of a far later time that close every open window, taken from the events themselves."""
-    late = t.events.groupBy("event_type").agg(F.max("event_id").alias("event_id"), F.max("ts").alias("ts"), F.max("user_id").alias("user_id"),
-                                              F.lit(-1.0).alias("value"), F.max("props").alias("props"))
-    for days in (40, 41):
-        yield late.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {days} DAY")).select(*t.events.columns)
+def drain(df, out, marks, mode="append"):
+    """Run a stream over the files that are there; a second run goes on where the first one ended."""
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def replay(t):
-    """A folder that delivers the events and then the closing rows, one file per batch."""
-    path = fresh(t, "replay")
-    t.events.coalesce(1).write.parquet(path)
-    for more in closed_by_end(t):
-        more.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+def drained(t, df):
+    out = fresh(t, "out")
+    drain(df, out, fresh(t, "marks"))
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+def replayed(t, make):
+    """``make(stream)`` over the events, however many files they are, then over rows of a far later time.
+
+    The later rows, marked by the column ``closing``, move the watermark past every open window.
+    """
+    path, out, marks = fresh(t, "replay"), fresh(t, "out"), fresh(t, "marks")
+    parts = [t.events.withColumn("closing", F.lit(False))]
+    late = t.events.groupBy("event_type").agg(*[F.max(c).alias(c) for c in t.events.columns if c != "event_type"])
+    for days in (40, 41):
+        parts.append(late.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {days} DAY")).withColumn("closing", F.lit(True)).select(*parts[0].columns))
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        found = make(t.spark.readStream.schema(parts[0].schema).parquet(path))
+        drain(found, out, marks)
+    return t.spark.read.schema(found.schema).parquet(out)
 
 
 @query("streamed_grid", "T1s", """
 SELECT event_type AS key, epoch_us(ts) // 1800000000 * 1800000000 AS t, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1, 2""")
 def _(t):
-    out = streams.stream_grid(replay(t), "ts", ["event_type"], "30 minutes", "2 hours", {"n": F.count(F.lit(1)), "v": F.avg("value"), "last": F.max("value")})
-    return drained(t, out).filter("last >= 0").select(F.col("event_type").alias("key"), epoch_us(F.col("ts")).alias("t"), "n", r6(F.col("v")).alias("v"))
+    found = {"n": F.count(F.lit(1)), "v": F.avg("value"), "closing": F.bool_or("closing")}
+    out = replayed(t, lambda stream: streams.stream_grid(stream, "ts", ["event_type"], "30 minutes", "2 hours", found))
+    return out.filter("NOT closing").select(F.col("event_type").alias("key"), epoch_us(F.col("ts")).alias("t"), "n", r6(F.col("v")).alias("v"))
 
 
 @query("streamed_intervals", "T3s", """
@@ -220,9 +210,8 @@ g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY key ORDER BY t) < 360000
 s AS (SELECT *, sum(ch) OVER (PARTITION BY key ORDER BY t) AS id FROM g)
 SELECT key, min(t) AS start, max(t) AS "end", count(*) AS n FROM s GROUP BY key, id""")
 def _(t):
-    src = replay(t)
-    out = streams.stream_intervals(src, "ts", ["event_type"], (F.col("value") > 30) | (F.col("value") < 0), "1 hour", "2 hours")
-    done = drained(t, out)
+    on = (F.col("value") > 30) | F.col("closing")
+    done = replayed(t, lambda stream: streams.stream_intervals(stream, "ts", ["event_type"], on, "1 hour", "2 hours"))
     last = t.events.agg(F.max("ts").alias("_last"))  # one row
     return attach_row(done, last).filter(F.col("start") <= F.col("_last")).select(
         F.col("event_type").alias("key"), epoch_us(F.col("start")).alias("start"), epoch_us(F.col("end")).alias("end"), "n")
@@ -234,7 +223,7 @@ SELECT event_id, round(value + corr, 6) AS corrected FROM events e ASOF LEFT JOI
 def _(t):
     steps = (t.orders.groupBy((F.col("o_orderdate") + F.expr("INTERVAL 9000 DAY")).alias("ts"))
              .agg((F.min_by("o_totalprice", "o_orderkey") / 1000).alias("corr")))
-    table = streams.steps_per_slot(steps, "ts", [], "corr", 86400, "2026-12-31 00:00:00")
+    table = streams.steps_per_slot(steps, "ts", [], "corr", 86400)
     out = streams.stream_stepjoin(event_stream(t), table, "ts", [], "value", "corr", 86400, "corrected")
     return drained(t, out.select("event_id", "corrected")).select("event_id", r6(F.col("corrected")).alias("corrected"))
 
@@ -246,6 +235,5 @@ def _(t):
     path = fresh(t, "store")
     twice = event_stream(t).select(F.col("event_type").alias("radar"), F.col("ts").alias("time"), F.col("user_id").cast("double").alias("range"),
                                    F.col("value").alias("z"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    with state_partitions(t):
-        streams.stream_store(twice, path, fresh(t, "marks"), (VariableSpec("z"),)).awaitTermination()
+    streams.stream_store(twice, path, fresh(t, "marks"), (VariableSpec("z"),)).awaitTermination()
     return t.spark.read.parquet(path).select("radar", epoch_us(F.col("time")).alias("t"), "range", "z")

@@ -1,17 +1,16 @@
-"""Session settings and the few helpers that look at a session or a plan."""
+"""Session settings and lineage cuts."""
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Jobs whose sources hold at most this many bytes are treated as small.
-SMALL_BYTES = 256 << 20
-
 
 def build_session(app: str = "skycolumn", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on (UTC, AQE, skew join)."""
@@ -59,11 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the sources a plan reads, as Spark knows them; unknown sources count as huge."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return source_bytes(df) <= limit
+@contextlib.contextmanager
+def staged(df: DataFrame) -> Iterator[DataFrame]:
+    """A written copy of a table that is deleted at the end."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"staged-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

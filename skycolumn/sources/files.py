@@ -19,7 +19,8 @@ DFR_CORRECTIONS = ("time timestamp_ntz, num_valid_points bigint, correlation dou
 def read_many_safe(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, excluded files): corrupt or empty files are skipped and listed.
 
-    The listing is the file index Spark builds anyway. A file that gives no row is excluded.
+    The listing is the file index Spark builds anyway (a listing by ``binaryFile`` would miss files of no bytes). A
+    file that gives no row is excluded.
     """
     reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*paths)
     rows = reader.withColumn("source_file", F.col("_metadata.file_path"))

@@ -42,7 +42,7 @@ def pack_column(x: Column, p: Packing) -> Column:
     clipped = F.least(F.greatest(x, F.lit(p.vmin)), F.lit(p.vmax))
     code = F.bround((clipped - p.offset) / p.scale)
     bounded = F.least(F.greatest(code, F.lit(0.0)), F.lit(float(p.fill - 1)))
-    return F.when(x.isNull(), p.fill).otherwise(bounded).cast(p.spark_type)
+    return F.when(x.isNull() | F.isnan(x), p.fill).otherwise(bounded).cast(p.spark_type)
 
 
 def unpack_column(code: Column, p: Packing) -> Column:

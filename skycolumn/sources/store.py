@@ -56,6 +56,22 @@ def read_cells(spark: SparkSession, path: str, radar: str | None = None, start:
     return df
 
 
+# Days up to which the touched partitions are named in a filter; more are found by a join.
+NAMED_DAYS = 2000
+
+
+def touched_days(store: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows of the given (radar, date) partitions. Both ways give the same rows; the filter prunes what is read."""
+    named = days.limit(NAMED_DAYS + 1).collect()
+    if len(named) > NAMED_DAYS:
+        return store.join(days, list(PARTITION), "left_semi")
+    wanted = F.lit(False)
+    for radar in sorted({d["radar"] for d in named if d["radar"] is not None}):
+        dates = [d["date"] for d in named if d["radar"] == radar and d["date"] is not None]
+        wanted = wanted | ((F.col("radar") == radar) & F.col("date").isin(dates))
+    return store.filter(wanted)
+
+
 def update_columns(spark: SparkSession, new: DataFrame, path: str, columns: Sequence[str], staging: str,
                    on: Sequence[str] = ("radar", "time", "range")) -> DataFrame:
     """Replace some variables where ``new`` has a value; rewrites only the days ``new`` touches.
@@ -65,7 +81,7 @@ def update_columns(spark: SparkSession, new: DataFrame, path: str, columns: Sequ
     """
     dated = new.withColumn("date", F.to_date("time"))
     touched = dated.select(*PARTITION).distinct()
-    old = spark.read.parquet(path).join(touched, list(PARTITION), "left_semi")
+    old = touched_days(spark.read.parquet(path), touched)
     fresh = dated.select(*on, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = old.join(fresh, list(on), "left")
     merged = joined.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns})
@@ -87,8 +103,8 @@ def merge_daily(pieces: Sequence[DataFrame], extra: DataFrame | None, on: Sequen
 
 
 def append_calibration(rows: DataFrame, path: str) -> None:
-    """Append result rows as delimited text; floats with six decimals."""
-    out = [F.format_string("%.6f", F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+    """Append result rows as delimited text; floats with six decimals, NULL as an empty field."""
+    out = [F.when(F.col(f.name).isNotNull(), F.format_string("%.6f", F.col(f.name))).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
            for f in rows.schema]
     rows.select(*out).write.mode("append").option("header", "true").option("sep", "\t").csv(path)
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skycolumn.sources.store import upsert_region
+from skycolumn.session import staged
+from skycolumn.sources.store import touched_days, upsert_region
 from skycolumn.specs import VariableSpec
 
 
@@ -42,7 +43,12 @@ def stream_stepjoin(events: DataFrame, steps: DataFrame, ts: str, keys: Sequence
     Spark decides by size whether the table is broadcast.
     """
     slot = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / slot_seconds)
-    joined = events.withColumn("_slot", slot).join(steps, [*keys, "_slot"], "left")
+    # the last slot of a key holds for all later times
+    ends = steps.groupBy(*keys).agg(F.max("_slot").alias("_end"))
+    placed = events.withColumn("_at", slot)
+    placed = placed.join(ends, list(keys), "left") if keys else placed.join(ends)
+    placed = placed.withColumn("_slot", F.least("_at", "_end")).drop("_at", "_end")
+    joined = placed.join(steps, [*keys, "_slot"], "left")
     at = F.col(ts).cast("timestamp_ntz")
     # the slot's own steps in time order; before the first of them the value carried into the slot holds
     inside = F.filter("_steps", lambda s: s["t"] <= at)
@@ -50,9 +56,8 @@ def stream_stepjoin(events: DataFrame, steps: DataFrame, ts: str, keys: Sequence
     return joined.withColumn(correction, current).withColumn(name, F.col(value) + F.col(correction)).drop("_slot", "_steps", "_carried")
 
 
-def steps_per_slot(steps: DataFrame, t: str, keys: Sequence[str], correction: str, slot_seconds: int,
-                   last: str) -> DataFrame:
-    """Static side of ``stream_stepjoin``: per slot up to ``last`` the carried value and its own steps."""
+def steps_per_slot(steps: DataFrame, t: str, keys: Sequence[str], correction: str, slot_seconds: int) -> DataFrame:
+    """Static side of ``stream_stepjoin``: per slot, up to the one after the last step, the carried value and its own steps."""
     from skycolumn.operators.ordered import add_carried
 
     seconds = F.unix_timestamp(F.col(t).cast("timestamp"))
@@ -60,9 +65,8 @@ def steps_per_slot(steps: DataFrame, t: str, keys: Sequence[str], correction: st
     own = slotted.groupBy(*keys, "_slot").agg(
         F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(correction).alias("v")))).alias("_steps"),
         F.max_by(correction, t).alias("_final"))
-    upto = F.floor(F.unix_timestamp(F.lit(last).cast("timestamp")) / slot_seconds)
-    grid = own.groupBy(*keys).agg(F.min("_slot").alias("_a")).select(
-        *keys, F.explode(F.sequence(F.col("_a"), F.greatest(F.col("_a"), upto))).alias("_slot"))
+    grid = own.groupBy(*keys).agg(F.min("_slot").alias("_a"), (F.max("_slot") + 1).alias("_b")).select(
+        *keys, F.explode(F.sequence("_a", "_b")).alias("_slot"))
     rows = grid.join(own, [*keys, "_slot"], "left").withColumn("_next", F.col("_slot") + 1)
     carried = add_carried(rows, keys, "_slot", last={"_upto": "_final"}, bucket=100_000)
     before = carried.select(*keys, F.col("_next").alias("_slot"), F.col("_upto").alias("_carried"))
@@ -76,28 +80,29 @@ def stream_store(events: DataFrame, path: str, checkpoint: str, specs: Sequence[
                  trigger: Callable | None = None) -> StreamingQuery:
     """Write a stream into the store: each batch merges with the days it touches.
 
-    Repeated keys within the watermark are dropped; replaying a batch rewrites the same days with
-    the same rows, so the sink is idempotent.
+    Rows repeated as a whole within the watermark are dropped; of different rows of one key the smallest
+    (in the order of the other columns) stays, in a batch and against the store. Replaying a batch rewrites
+    the same days with the same rows, so the sink is idempotent.
     """
-    unique = event_time(events, ts, watermark).dropDuplicatesWithinWatermark(list(keys))
+    unique = event_time(events, ts, watermark).dropDuplicatesWithinWatermark()
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumns({"_age": F.lit(0), ts: F.col(ts).cast("timestamp_ntz")})
-        dates = batch.select("radar", F.to_date(ts).alias("date")).distinct()
+        batch = batch.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+        # the days of a batch are few: as a filter on the partition columns they prune what is read
+        days = batch.select("radar", F.to_date(ts).alias("date")).distinct()
         try:
-            old = spark.read.parquet(path).join(dates, ["radar", "date"], "left_semi").drop("date").withColumn("_age", F.lit(1))
+            old = touched_days(spark.read.parquet(path), days).drop("date")
             both = batch.unionByName(old, allowMissingColumns=True)
         except Exception as error:  # first batch: no store yet
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
             both = batch
         rest = [c for c in both.columns if c not in keys]
-        merged = both.groupBy(*keys).agg(F.min_by(F.struct(*rest), "_age").alias("_r")).select(
-            *keys, *[F.col("_r")[c].alias(c) for c in rest if c != "_age"])
-        # staged by a reliable checkpoint: the partitions that are read are replaced afterwards
-        from skycolumn.session import cut_lineage
-        upsert_region(cut_lineage(merged), path, specs)
+        merged = both.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
+        # staged, because the partitions that are read are replaced afterwards
+        with staged(merged) as rows:
+            upsert_region(rows, path, specs)
 
     writer = unique.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return (writer.trigger(availableNow=True) if trigger is None else trigger(writer)).start()

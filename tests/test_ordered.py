@@ -174,8 +174,7 @@ def test_keep_runs_on_a_long_axis(spark):
         assert [int(r["ok"]) for r in got.orderBy("t").collect()] == [1, 1, 1, 0, 0, 0, 0, 1, 1, 1, 1]
 
 
-def test_bucket_width_looks_at_the_fullest_bucket(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "is_small", lambda df, limit=0: False)
+def test_bucket_width_looks_at_the_fullest_bucket(spark):
     df = spark.range(5000).select(F.lit("a").alias("key"), (F.col("id") * 1000).alias("t"))  # 5 s of data
     assert ordered.bucket_width(df, ["key"], "t", max_rows=1000) == ordered.SECOND
     assert ordered.bucket_width(df, ["key"], "t", max_rows=10_000) == 30 * ordered.DAY
@@ -185,21 +184,15 @@ def test_bucket_width_looks_at_the_fullest_bucket(spark, monkeypatch):
     assert ordered.bucket_width(wide, ["key"], "t", max_rows=1500) == ordered.DAY
 
 
-def test_large_inputs_take_the_same_path_to_the_same_result(spark, monkeypatch):
-    """With every size check answering "large", results stay the same."""
+def test_one_path_whatever_the_cut(spark):
+    """Results do not depend on how often quantiles are cut or how many rows a bucket may hold."""
     from skycolumn.operators import stats
 
     df, _ = series(spark)
-    flagged = df.withColumn("on", F.col("v") > 3)
+    found = [rows_of(stats.exact_quantiles(df, ["key"], "v", {"m": 0.5}, pieces=pieces, rounds=rounds)) for pieces in (4, 64) for rounds in (1, 2, 3)]
+    assert all(f == found[0] for f in found)
     bounds = spark.createDataFrame([("a", 0, 100_000), ("b", 5, 5)], "key string, lo long, hi long")
-    make = lambda: (rows_of(intervals.mask_to_intervals(flagged, ["key"], "t", "on")),
-                    rows_of(stats.exact_quantiles(df, ["key"], "v", {"m": 0.5}, pieces=4)),
-                    rows_of(regrid.make_time_grid(bounds, "t", "lo", "hi", 7)))
-    small = make()
-    for module in (ordered, stats, regrid):
-        monkeypatch.setattr(module, "is_small", lambda df, limit=0: False)
-    assert make() == small
-    assert len(small[2]) == 100_000 // 7 + 1 + 1
+    assert regrid.make_time_grid(bounds, "t", "lo", "hi", 7).count() == 100_000 // 7 + 1 + 1
 
 
 def test_first_per_time(spark):

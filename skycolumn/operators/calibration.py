@@ -244,8 +244,19 @@ def scan_guard(rays: DataFrame, scan: str, t: str, nominal: float, longest: floa
                flagged: Column | None = None, unit: float = 1.0) -> DataFrame:
     """One row per scan with the reason it is left out (NULL: kept)."""
     span = (F.max(t) - F.min(t)) / unit
+    start = F.min(t).alias("start")
     share = F.avg(flagged.cast("double")) if flagged is not None else F.lit(0.0)
-    scans = rays.groupBy(scan).agg(span.alias("duration"), share.alias("flagged"), F.count(F.lit(1)).alias("rays"))
+    scans = rays.groupBy(scan).agg(start, span.alias("duration"), share.alias("flagged"), F.count(F.lit(1)).alias("rays"))
     reason = (F.when(F.col("duration") > longest * nominal, "too long").when(F.col("duration") < shortest * nominal, "too short")
               .when(F.col("flagged") >= 0.5, "flagged"))
     return scans.withColumn("reason", reason)
+
+
+def exclude_scans(scans: DataFrame, scan: str, start: str, outages: DataFrame, processed: DataFrame) -> DataFrame:
+    """Reasons that come before those of ``scan_guard``: the scan starts in an outage, or its result is there already."""
+    from skycolumn.operators.intervals import interval_flag
+
+    flagged = interval_flag(scans, outages, start, [], "_lost")
+    done = processed.select(scan).distinct().withColumn("_done", F.lit(True))
+    reason = (F.when(F.col("_lost"), "frequency lost").when(F.col("_done"), "already processed").otherwise(F.col("reason")))
+    return flagged.join(done, scan, "left").withColumn("reason", reason).drop("_lost", "_done")

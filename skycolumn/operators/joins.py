@@ -79,3 +79,29 @@ def band_self_join(df: DataFrame, keys: Sequence[str], t: str, maxlag: int, valu
                       F.explode(F.array(slot, slot - 1)).alias("_slot"))
     lag = F.col("t2") - F.col(t)
     return first.join(later, [*keys, "_slot"]).filter((lag > 0) & (lag <= maxlag)).drop("_slot")
+
+
+def instrument_pairs(cells: DataFrame, instrument: str, on: Sequence[str], value: str, name: str = "dfr") -> DataFrame:
+    """The difference ``first`` minus ``second`` for every pair of instruments on the shared grid.
+
+    The instruments of a cell meet in one group (one value each), so a cell costs one row in the shuffle and
+    the pairs, a few for a few instruments, are made from its short list.
+    """
+    known = cells.filter(F.col(value).isNotNull()).groupBy(*on).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(instrument).alias("i"), F.col(value).alias("v")))).alias("_l"))
+    pairs = F.flatten(F.transform("_l", lambda a: F.transform(F.filter("_l", lambda b: a["i"] < b["i"]), lambda b: F.struct(
+        a["i"].alias("first"), b["i"].alias("second"), (a["v"] - b["v"]).alias(name)))))
+    return known.select(*on, F.explode(pairs).alias("_p")).select(*on, "_p.*")
+
+
+def set_operation(how: str, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Set ``union``, ``intersect`` or ``except`` of two tables with the same columns (NULL equals NULL)."""
+    right = right.select(*left.columns)
+    if how == "union":
+        return left.unionByName(right).distinct()
+    return left.intersect(right) if how == "intersect" else left.subtract(right)
+
+
+def top_n(df: DataFrame, n: int, *by: Column) -> DataFrame:
+    """The first ``n`` rows of an order, at most ``n`` rows leave a task."""
+    return df.orderBy(*by).limit(n)

@@ -233,6 +233,22 @@ def interp_at(table: DataFrame, points: DataFrame, t: str, axis: str, value: str
     return joined.withColumn(name, F.when(n >= 2, at)).drop("_p")
 
 
+def gas_attenuation(cells: DataFrame, table: DataFrame, t: str, height: str, value: str, frequency: float, station: float,
+                    name: str = "corrected", tolerance: float = 1.0) -> DataFrame:
+    """Reflectivity plus the path attenuation of a model field (``t``, elevation, frequency, pia) at its time and height.
+
+    The field's frequency is the given one, else the nearest within ``tolerance`` GHz, else the job fails; levels below
+    the station are left out. A field without rows gives NULL.
+    """
+    gap = F.abs(F.col("frequency") - frequency)
+    nearest = table.agg(F.min_by("frequency", F.struct(gap, "frequency")).alias("_f"), F.min(gap).alias("_gap"))
+    known = F.when(F.col("_gap") > tolerance, F.raise_error(F.lit(f"no frequency within {tolerance} GHz of {frequency}")).cast("double")).otherwise(F.col("_f"))
+    picked = attach_row(table, nearest.select(known.alias("_f"))).filter((F.col("frequency") == F.col("_f")) & (F.col("elevation") >= station))
+    levels = picked.select(t, (F.col("elevation") - station).alias("_height"), "pia")
+    found = interp_at(levels, cells, t, "_height", "pia", height, "_pia")
+    return found.withColumn(name, F.col(value) + F.col("_pia")).drop("_pia")
+
+
 # ---- checks, blocks, edges ---------------------------------------------------------------------
 def needs_resampling(df: DataFrame, keys: Sequence[str], t: str, step: int, first: int, n: int, tolerance: int) -> DataFrame:
     """Per key: does the axis differ from first + i*step (i < n) in length or by more than tolerance?"""

@@ -291,6 +291,13 @@ def class_contrast(cells: DataFrame, keys: Sequence[str], over_zero: str, top: s
         (F.avg(gradient) * 1000).alias("gradient_per_km"))
 
 
+def class_distribution(cells: DataFrame, keys: Sequence[str], zone: str, cloud: str, value: str, bins: int,
+                       limits: tuple[float, float]) -> DataFrame:
+    """Distribution of a value per cloud type inside each zone: counts per bin and their share of the class."""
+    rows = cells.filter(F.col(zone).isNotNull() & F.col(cloud).isNotNull())
+    return normalised_hist(rows, [*keys, zone, cloud], value, bins, limits, count="n")
+
+
 def stratified_density(df: DataFrame, strata: Sequence[str], x: str, y: str, bins: int = 50) -> DataFrame:
     """``bins`` x ``bins`` counts per stratum, edges from the stratum's own extremes."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -337,12 +344,13 @@ def attenuation_summary(table: DataFrame, keys: Sequence[str], elevation: str, p
     return table.join(nearest, [*keys, elevation], "left_semi").groupBy(*keys).agg(F.min(pia).alias("min"), F.max(pia).alias("max"))
 
 
-def normalised_hist(df: DataFrame, keys: Sequence[str], value: str, bins: int, limits: tuple[float, float]) -> DataFrame:
+def normalised_hist(df: DataFrame, keys: Sequence[str], value: str, bins: int, limits: tuple[float, float],
+                    count: str | None = None) -> DataFrame:
     """Share of each source's samples per bin, so that sources of different size compare."""
     rows = df.withColumn("bin", bin_index(F.col(value), *limits, bins)).filter(F.col("bin").isNotNull())
     counts = rows.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_t"))
-    return join_on(counts, total, keys).select(*keys, "bin", (F.col("_n") / F.col("_t")).alias("share"))
+    return join_on(counts, total, keys).select(*keys, "bin", *([F.col("_n").alias(count)] if count else []), (F.col("_n") / F.col("_t")).alias("share"))
 
 
 def sounding_bias(a: DataFrame, b: DataFrame, sounding: str, altitude: str, value: str, step: float = 25.0) -> DataFrame:

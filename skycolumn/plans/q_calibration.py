@@ -76,7 +76,7 @@ def _(t):
 
 
 ROWS = """WITH r AS (SELECT o_orderkey AS o, epoch_us(o_orderdate) AS d, o_totalprice / 1e5 AS cc, o_totalprice % 977 AS rmse,
-  CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE -5 END AS sol, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + (o_custkey % 5 + 1) * 3600000000 AS e FROM orders WHERE o_orderstatus = 'F'),
+  CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE -5 END AS sol, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + (o_custkey % 5 + 1) * 3600000000 AS e FROM orders),
 sd AS (SELECT DISTINCT d FROM r WHERE sol = 1),
 cand AS (SELECT * FROM r WHERE sol = 1 UNION ALL SELECT * FROM r WHERE sol = -5 AND d NOT IN (SELECT d FROM sd)),
 used AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY d ORDER BY rmse, o) = 1),
@@ -86,7 +86,7 @@ ex AS (SELECT * FROM r WHERE sol = -5 AND d IN (SELECT d FROM sd) UNION ALL SELE
 
 def results(t):
     day = epoch_us(F.col("o_orderdate"))
-    return t.orders.filter("o_orderstatus = 'F'").select(
+    return t.orders.select(
         F.col("o_orderkey").alias("o"), day.alias("d"), (F.col("o_totalprice") / 1e5).alias("cc"), (F.col("o_totalprice") % 977).alias("rmse"),
         F.when(F.col("o_custkey") % 3 == 0, 1).otherwise(-5).alias("solution_found"), day.alias("s"),
         (day + (F.col("o_custkey") % 5 + 1) * HOUR).alias("e"))
@@ -131,14 +131,14 @@ def _(t):
 
 
 @query("calibrated_ratio_series", "C11", sql("cells", """
-, d AS (SELECT a.t, a.z - b.z + 3.35 AS d FROM cells a JOIN cells b ON a.t = b.t AND a.gate = b.gate AND a.radar = 'click' AND b.radar = 'view')
-SELECT t // 86400000000 * 86400000000 AS day, round(avg(d) FILTER (WHERE d BETWEEN -5 AND 25), 6) AS mean, count(*) FILTER (WHERE d BETWEEN 0 AND 20) AS n FROM d GROUP BY 1"""))
+, d AS (SELECT a.radar AS first, b.radar AS second, a.t, a.z - b.z + 3.35 AS d FROM cells a JOIN cells b ON a.t = b.t AND a.gate = b.gate AND a.radar < b.radar)
+SELECT first, second, t // 86400000000 * 86400000000 AS day, round(avg(d) FILTER (WHERE d BETWEEN -5 AND 25), 6) AS mean, count(*) FILTER (WHERE d BETWEEN 0 AND 20) AS n
+FROM d GROUP BY 1, 2, 3"""))
 def _(t):
-    from skycolumn.operators.joins import grid_equi_join
-    c = t.cells()
-    d = grid_equi_join(c.filter("radar = 'click'"), c.filter("radar = 'view'"), ["t", "gate"], "z")
+    from skycolumn.operators.joins import instrument_pairs
+    d = instrument_pairs(t.cells(), "radar", ["t", "gate"], "z")
     wide, narrow = (C.calibrated_ratio(F.col("dfr"), 3.35, *lim) for lim in ((-5.0, 25.0), (0.0, 20.0)))
-    return d.groupBy((F.floor(F.col("t") / DAY) * DAY).alias("day")).agg(r6(F.avg(wide)).alias("mean"), F.count(narrow).alias("n"))
+    return d.groupBy("first", "second", (F.floor(F.col("t") / DAY) * DAY).alias("day")).agg(r6(F.avg(wide)).alias("mean"), F.count(narrow).alias("n"))
 
 
 @query("scan_guard", "C13", sql("scans", """
@@ -149,6 +149,22 @@ def _(t):
     return out.select("scan", "duration", r6(F.col("flagged")).alias("flagged"), "rays", "reason")
 
 
+@query("scan_exclusions", "C13", sql("scans", """
+, s AS (SELECT scan, min(t) AS at, CAST(max(t) - min(t) AS DOUBLE) / 86400000000 AS duration, count(*) AS rays FROM scans GROUP BY 1),
+lost AS (SELECT epoch_us(o_orderdate) AS s, max(epoch_us(o_orderdate) + (o_custkey % 7) * 3600000000) AS e FROM orders WHERE o_custkey % 11 = 0 GROUP BY 1),
+far AS (SELECT s, max(e) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS e FROM lost),
+done AS (SELECT DISTINCT l_orderkey AS scan FROM lineitem WHERE l_returnflag = 'R')
+SELECT x.scan, x.duration, x.rays, CASE WHEN coalesce(x.at <= far.e, false) THEN 'frequency lost' WHEN done.scan IS NOT NULL THEN 'already processed'
+  WHEN duration > 1400 THEN 'too long' WHEN duration < 350 THEN 'too short' END AS reason
+FROM s x ASOF LEFT JOIN far ON x.at >= far.s LEFT JOIN done ON done.scan = x.scan"""))
+def _(t):
+    start = epoch_us(F.col("o_orderdate"))
+    lost = t.orders.filter("o_custkey % 11 = 0").select(start.alias("start"), (start + F.col("o_custkey") % 7 * HOUR).alias("end"))
+    done = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("scan"))
+    judged = C.scan_guard(t.scans(), "scan", "t", 700.0, unit=DAY)
+    return C.exclude_scans(judged, "scan", "start", lost, done).select("scan", "duration", "rays", "reason")
+
+
 @query("zenith_day", "C10 C9 J3 J5 P1 W1", sql("grid_cells corrections", """
 , ka AS (SELECT t, gate, range, z FROM grid_cells WHERE radar = 'click'), w0 AS (SELECT t, gate, z FROM grid_cells WHERE radar = 'view'),
 st AS (SELECT t + 800000000000000 AS t, corr / 1e5 AS corr FROM corrections),

@@ -66,12 +66,12 @@ def _(t):
 
 @query("points_per_interval", "J6", sql("series", """
 , iv AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) AS s, epoch_us(o_orderdate) + (o_custkey % 10) * 86400000000 AS e
-         FROM orders WHERE o_orderpriority = '1-URGENT'),
+         FROM orders),
 d AS (SELECT epoch_us(l_shipdate) AS t, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT id, CAST(sum(n) AS BIGINT) AS n FROM iv JOIN d ON d.t BETWEEN iv.s AND iv.e GROUP BY 1"""))
 def _(t):
     start = epoch_us(F.col("o_orderdate"))
-    spans = t.orders.filter("o_orderpriority = '1-URGENT'").select(
+    spans = t.orders.select(
         F.col("o_orderkey").alias("id"), start.alias("start"), (start + F.col("o_custkey") % 10 * DAY).alias("end"))
     days = t.lineitem.groupBy(epoch_us(F.col("l_shipdate")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
     return I.interval_join(days, spans, "t", [], 7 * DAY).groupBy("id").agg(F.sum("n").alias("n"))

@@ -158,3 +158,24 @@ def _(t):
     pairs = J.band_self_join(t.series(), ["key"], "t", HOUR, ["v"])
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("t2") - F.col("t")).alias("lag_sum"),
                                     r6(F.avg(F.abs(F.col("v2") - F.col("v")))).alias("mean_step"))
+
+
+@query("set_operations", "2.13", """
+WITH a AS (SELECT l_partkey AS id, l_linenumber AS n FROM lineitem), b AS (SELECT ps.l_partkey AS id, ps.l_linenumber + 1 AS n FROM lineitem ps WHERE l_linenumber < 5)
+SELECT 'both' AS kind, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
+UNION ALL SELECT 'first only', count(*), CAST(sum(id) AS BIGINT) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+UNION ALL SELECT 'either', count(*), CAST(sum(id) AS BIGINT) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+def _(t):
+    a = t.lineitem.select(F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("n"))
+    b = t.lineitem.filter("l_linenumber < 5").select(F.col("l_partkey").alias("id"), (F.col("l_linenumber") + 1).alias("n"))
+    out = None
+    for kind, how in (("both", "intersect"), ("first only", "except"), ("either", "union")):
+        part = J.set_operation(how, a, b).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total")).select(F.lit(kind).alias("kind"), "n", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("strongest_samples", "2.13", sql("series", """
+SELECT key, t, round(v, 6) AS v FROM series ORDER BY v DESC, key, t LIMIT 25"""))
+def _(t):
+    return J.top_n(t.series(), 25, F.desc("v"), F.asc("key"), F.asc("t")).select("key", "t", r6(F.col("v")).alias("v"))

@@ -164,6 +164,28 @@ def _(t):
     return out.filter(F.col("pia").isNotNull()).select("t", "gate", r6(F.col("z") + F.col("pia")).alias("corrected"))
 
 
+@query("gas_attenuation", "P12", sql("cells", f"""
+, pia AS (SELECT t, CAST(gate * 60 AS DOUBLE) - 150 AS elev, (avg(z) + 60) / 40 * 0.5 AS pia FROM cells WHERE gate % 3 = 0 AND t % {DAY} = 0 GROUP BY 1, 2, gate HAVING gate * 60 >= 150),
+full_t AS (SELECT t FROM pia GROUP BY 1 HAVING count(*) = 7),
+tt AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1 FROM full_t),
+seg AS (SELECT t AS t0, t1 FROM tt WHERE t1 IS NOT NULL),
+s1 AS (SELECT p.radar, p.t, p.gate, p.range, p.z, s.t0, s.t1 FROM cells p ASOF LEFT JOIN seg s ON p.t >= s.t0),
+s2 AS (SELECT radar, t, gate, range, z, coalesce(t0, (SELECT min(t0) FROM seg)) AS t0, coalesce(t1, (SELECT min(t1) FROM seg)) AS t1 FROM s1),
+v AS (SELECT s2.*, a.elev, a.pia + (b.pia - a.pia) * ((s2.t - t0) / CAST(t1 - t0 AS DOUBLE)) AS v FROM s2 JOIN pia a ON a.t = t0 JOIN pia b ON b.t = t1 AND b.elev = a.elev),
+w AS (SELECT *, lead(elev) OVER x AS e1, lead(v) OVER x AS v1, row_number() OVER x AS i FROM v WINDOW x AS (PARTITION BY radar, t, gate ORDER BY elev)),
+k AS (SELECT *, count(*) FILTER (WHERE elev <= range) OVER (PARTITION BY radar, t, gate) AS below FROM w)
+SELECT radar, t, gate, round(z + v + (v1 - v) * ((range - elev) / (e1 - elev)), 6) AS corrected FROM k WHERE i = least(greatest(below, 1), 6)"""))
+def _(t):
+    cells = t.cells()
+    field = (cells.filter((F.col("gate") % 3 == 0) & (F.col("t") % DAY == 0)).groupBy("t", (F.col("gate") * 60).cast("double").alias("elevation"))
+             .agg(((F.avg("z") + 60) / 40).alias("p")))
+    full = field.filter("elevation >= 150").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n = 7").select("t")
+    bands = F.array(*[F.struct(F.lit(f).alias("frequency"), F.lit(k).alias("k")) for f, k in ((94.95, 1.0), (35.2, 0.5), (9.41, 0.1))])
+    table = field.join(full, "t", "left_semi").withColumn("b", F.explode(bands)).select("t", "elevation", "b.frequency", (F.col("p") * F.col("b.k")).alias("pia"))
+    out = R.gas_attenuation(cells.select("radar", "t", "gate", "range", "z"), table, "t", "range", "z", 35.5, 150.0)
+    return out.filter(F.col("corrected").isNotNull()).select("radar", "t", "gate", r6(F.col("corrected")).alias("corrected"))
+
+
 @query("needs_resampling", "R6", sql("steps", """
 , g AS (SELECT key, t, row_number() OVER (PARTITION BY key ORDER BY t) - 1 AS i FROM steps)
 SELECT key, count(*) >= 2 AND (count(*) <> 4319 OR max(abs(t - (1704067200000000 + i * 600000000))) > 60000000) AS resample FROM g GROUP BY 1"""))

@@ -64,6 +64,14 @@ def _(t):
                      S.azimuth_correction(F.col("a"), 200.0).alias("azimuth"), zenith.alias("zenith"))
 
 
+@query("zenith_rows", "F22", """
+SELECT event_id, e AS elevation FROM (SELECT event_id, CAST(CASE WHEN user_id % 7 = 0 THEN -1000 ELSE user_id % 97 END AS DOUBLE) AS e FROM events)
+WHERE e = 90 OR e = -1000""")
+def _(t):
+    angle = F.when(F.col("user_id") % 7 == 0, F.lit(-1000)).otherwise(F.col("user_id") % 97).cast("double")
+    return S.zenith_only(t.events.select("event_id", angle.alias("elevation")), "elevation")
+
+
 @query("azimuth_steps", "F9", sql("scans", """
 , az AS (SELECT scan, gate, CAST((CAST(floor(price) AS BIGINT) % 360) AS DOUBLE) AS a FROM scans),
 d AS (SELECT scan, gate, coalesce(lead(a) OVER w - a, a - lag(a) OVER w) AS s FROM az

@@ -184,6 +184,19 @@ def _(t):
     return out.select("radar", "cloud_type", "zone", "n", r6(F.col("multi")).alias("multi"), r6(F.col("gradient_per_km")).alias("gradient_per_km"))
 
 
+@query("class_ratio_distribution", "A17", sql("cells", """
+, k AS (SELECT radar, CASE WHEN temp >= -10 THEN NULL WHEN temp * -100 < 3000 THEN 'orographic' ELSE 'frontal' END AS cloud_type,
+   CASE WHEN range * 6 - 400 >= 460 AND range * 6 - 400 <= 1230 THEN 1 WHEN range * 6 - 400 > 1230 AND range * 6 - 400 <= 2300 THEN 2
+        WHEN range * 6 - 400 > 2300 AND range * 6 - 400 <= 3850 THEN 3 END AS zone, vel FROM cells),
+b AS (SELECT radar, zone, cloud_type, CAST(least(floor((vel + 3) / 0.25), 23) AS INT) AS bin FROM k WHERE zone IS NOT NULL AND cloud_type IS NOT NULL AND vel BETWEEN -3 AND 3)
+SELECT radar, zone, cloud_type, bin, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY radar, zone, cloud_type) AS DOUBLE), 6) AS share FROM b GROUP BY 1, 2, 3, 4"""))
+def _(t):
+    top = F.when(F.col("temp") < -10, F.col("temp") * -100)
+    c = t.cells().select("radar", A.iso0_zone(F.col("range") * 6 - 400).alias("zone"), F.when(top.isNotNull(), A.cloud_type(top)).alias("cloud_type"), "vel")
+    out = A.class_distribution(c, ["radar"], "zone", "cloud_type", "vel", 24, (-3.0, 3.0))
+    return out.select("radar", "zone", "cloud_type", "bin", "n", r6(F.col("share")).alias("share"))
+
+
 @query("density_by_temperature_band", "A18", sql("cells", """
 , c AS (SELECT CASE WHEN temp >= -40 AND temp < -30 THEN 0 WHEN temp >= -30 AND temp < -20 THEN 1 WHEN temp >= -20 AND temp < 0 THEN 2 END AS band, z, vel FROM cells),
 e AS (SELECT band, min(z) AS x0, max(z) AS x1, min(vel) AS y0, max(vel) AS y1 FROM c WHERE band IS NOT NULL GROUP BY 1)

@@ -131,7 +131,7 @@ def _discounted(counts: DataFrame, order: int) -> DataFrame:
     tally = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"t{k}") for k in (1, 2, 3, 4)])
     t1, t2, t3, t4 = (F.col(f"t{k}") for k in (1, 2, 3, 4))
     y = F.try_divide(t1, t1 + 2 * t2)
-    bounded = lambda d, high, other: F.coalesce(F.least(F.greatest(d, F.lit(0.05)), F.lit(high)), F.lit(other))
+    bounded = lambda d, high, other: F.when(d.isNull(), other).otherwise(F.least(F.greatest(d, F.lit(0.05)), F.lit(high)))
     discounts = tally.select("lang", bounded(1 - 2 * y * F.try_divide(t2, t1), 1.0, 0.5).alias("d1"),
                              bounded(2 - 3 * y * F.try_divide(t3, t2), 2.0, 1.0).alias("d2"), bounded(3 - 4 * y * F.try_divide(t4, t3), 3.0, 1.5).alias("d3"))
     discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))

@@ -57,11 +57,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             else:  # one word longer than a segment: hash of its parts
                 while end < len(array) and not _SPACE[array[end]]:
                     end += 1
-                value = np.uint64(end - at)
+                value = np.array([end - at], dtype=np.uint64)
                 for k in range(at, end, _SEGMENT):
-                    value = mix(_segment_hashes(array[k:min(end, k + _SEGMENT)])[1] ^ (value * np.uint64(_BASE)))[0]
+                    value = mix(_segment_hashes(array[k:min(end, k + _SEGMENT)])[1] ^ (value * np.uint64(_BASE)))
                 starts.append(np.array([at]))
-                hashes.append(np.array([value], dtype=np.uint64))
+                hashes.append(value)
                 at = end
                 continue
         s, h = _segment_hashes(array[at:end])

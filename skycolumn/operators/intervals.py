@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skycolumn.operators.asof import on_times
 from skycolumn.operators.ordered import (
-    BUCKET, HOUR, MINUTE, add_groups, add_neighbours, add_running, bucket_width, enter, halo, in_bucket,
+    BUCKET, HOUR, MINUTE, add_groups, add_neighbours, add_running, bucket_width, edges_of, enter, halo, in_bucket,
     join_summary, owned)
 
 
@@ -100,7 +100,7 @@ def add_merge_group(intervals: DataFrame, keys: Sequence[str], start: str, end:
     rows = rows.withColumn("_fresh", F.when(reach.isNull() | (F.col(start) - reach > gap), F.col(start)))
     across = Window.partitionBy(*keys).orderBy(BUCKET)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.groupBy(*keys, BUCKET).agg(F.max(end).alias("_far"), F.max("_fresh").alias("_last"))
+    edge = edges_of(rows, keys, [F.max(end).alias("_far"), F.max("_fresh").alias("_last")])
     edge = edge.withColumn("_reach", F.max("_far").over(earlier))
     stands = F.col("_reach").isNull() | (F.col("_last") - F.col("_reach") > gap)
     edge = edge.withColumn("_open", F.when(stands, F.col("_last")))

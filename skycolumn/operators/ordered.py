@@ -54,12 +54,15 @@ def bucket_width(df: DataFrame, keys: Sequence[str], order: str, at_least: int =
                  max_rows: int = ROWS_PER_BUCKET, scale: int = 1) -> int:
     """Widest bucket whose fullest instance holds at most ``max_rows`` rows.
 
-    An aggregation job counts rows per hour, rolls the counts up to the wider candidates and returns
-    one row per width to the driver; only when an hour is too full are minutes, then seconds counted.
+    Where all rows together are no more than that, their number settles it. Else an aggregation job counts
+    rows per hour, rolls the counts up to the wider candidates and returns one row per width to the
+    driver; only when an hour is too full are minutes, then seconds counted.
     ``scale`` is the number of ``order`` units per microsecond. Frames wider than any bucket that fits
     (``at_least``) decide by themselves: their rows must meet in one task whatever the width.
     """
     finer = [w for w in _WIDTHS if w >= at_least] or [at_least]
+    if df.select(*keys, order).count() <= max_rows:
+        return max(finer) * scale
     for base in (HOUR, MINUTE, SECOND):
         widths = [w for w in finer if w >= base]
         if not widths:
@@ -122,10 +125,25 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def enter(df: DataFrame, keys: Sequence[str], order: str, bucket: int | None) -> tuple[DataFrame, bool]:
-    """Add the bucket column; when it is there already, keep it so that chained steps share a shuffle."""
+    """Add the bucket column and deal the rows by (keys, bucket); a bucket that is there already is kept, so that
+    chained steps share a shuffle. Rows without a key or a place in the order are left out."""
     if BUCKET in df.columns:
         return df, True
-    return with_bucket(df, order, bucket or bucket_width(df, keys, order)), False
+    rows = with_bucket(df, order, bucket or bucket_width(df, keys, order))
+    for c in (*keys, BUCKET):
+        rows = rows.filter(F.col(c).isNotNull())
+    return rows.repartition(*keys, BUCKET), False
+
+
+def edges_of(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """One summary row per bucket.
+
+    The summary and the rows it is joined back to come from the same exchange, read once from the source, if
+    both ask it for the same columns; the digest of all columns, which is never NULL, sees to that.
+    """
+    rest = [c for c in rows.columns if c not in keys and c != BUCKET]
+    return (rows.groupBy(*keys, BUCKET).agg(*aggs, F.bit_xor(F.xxhash64(*rest)).alias("_all"))
+            .filter(F.col("_all").isNotNull()).drop("_all"))
 
 
 def _leave(df: DataFrame, kept: bool, drop: Sequence[str]) -> DataFrame:
@@ -139,7 +157,7 @@ def add_neighbours(df: DataFrame, keys: Sequence[str], order: str, prev: Sequenc
     aggs = [F.max_by(c, order).alias(f"_l_{c}") for c in prev]
     aggs += [F.min_by(c, order).alias(f"_f_{c}") for c in next]
     across = _summary_window(keys)
-    edge = rows.groupBy(*keys, BUCKET).agg(*aggs).select(
+    edge = edges_of(rows, keys, aggs).select(
         *keys, BUCKET,
         *[F.lag(f"_l_{c}").over(across).alias(f"_pv_{c}") for c in prev],
         *[F.lead(f"_f_{c}").over(across).alias(f"_nx_{c}") for c in next])
@@ -162,7 +180,7 @@ def add_carried(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[st
     aggs += [F.min_by(c, known(c)).alias(f"_f_{n}") for n, c in next.items()]
     before = _summary_window(keys).rowsBetween(Window.unboundedPreceding, -1)
     after = _summary_window(keys, True).rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.groupBy(*keys, BUCKET).agg(*aggs).select(
+    edge = edges_of(rows, keys, aggs).select(
         *keys, BUCKET,
         *[F.last(f"_l_{n}", True).over(before).alias(f"_pv_{n}") for n in last],
         *[F.last(f"_f_{n}", True).over(after).alias(f"_nx_{n}") for n in next])
@@ -193,7 +211,7 @@ def add_running(df: DataFrame, keys: Sequence[str], order: str, running: Mapping
         aggs.append(fold(f"_x_{n}").alias(f"_s_{n}"))
         bases.append(fold(f"_s_{n}").over(before).alias(f"_b_{n}"))
         cols[n] = join(F.col(f"_b_{n}"), fold(f"_x_{n}").over(inside))
-    edge = rows.groupBy(*keys, BUCKET).agg(*aggs).select(*keys, BUCKET, *bases)
+    edge = edges_of(rows, keys, aggs).select(*keys, BUCKET, *bases)
     out = join_summary(rows, edge, keys).withColumns(cols)
     return _leave(out, kept, [f"_b_{n}" for n in running] + [f"_x_{n}" for n in running])
 
@@ -216,10 +234,9 @@ def add_groups(df: DataFrame, keys: Sequence[str], order: str, joined, prev: Seq
     cut = first | ~F.coalesce(joined(lambda c: F.lag(c).over(inside), row), F.lit(False))
     rows = rows.withColumn("_cut", cut).withColumn(start, F.last(F.when(F.col("_cut"), F.col("_at")), True).over(up))
     needed = list(dict.fromkeys([*prev, "_at"]))
-    edge = rows.groupBy(*keys, BUCKET).agg(
-        F.min("_at").alias("_a"), F.max("_at").alias("_z"), F.max(start).alias("_s"),
-        F.count_if("_cut").alias("_cuts"),
-        *[F.min_by(c, "_at").alias(f"_f_{c}") for c in needed], *[F.max_by(c, "_at").alias(f"_l_{c}") for c in needed])
+    edge = edges_of(rows, keys, [
+        F.min("_at").alias("_a"), F.max("_at").alias("_z"), F.max(start).alias("_s"), F.count_if("_cut").alias("_cuts"),
+        *[F.min_by(c, "_at").alias(f"_f_{c}") for c in needed], *[F.max_by(c, "_at").alias(f"_l_{c}") for c in needed]])
     across = _summary_window(keys)
     link = F.coalesce(joined(lambda c: F.lag(f"_l_{c}").over(across), lambda c: F.col(f"_f_{c}")), F.lit(False))
     edge = edge.withColumn("_link", link)

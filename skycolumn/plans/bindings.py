@@ -151,11 +151,10 @@ class Tables:
                 .agg(F.min_by("o_totalprice", "o_orderkey").alias("corr")))
 
     def scans(self) -> DataFrame:
-        by = "l_extendedprice"
+        line = F.struct(F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"),
+                        F.col("l_tax").alias("tax"), epoch_us(F.col("l_shipdate")).alias("t"))
         return (self.lineitem.groupBy(F.col("l_orderkey").alias("scan"), F.col("l_linenumber").alias("gate"))
-                .agg(F.min_by("l_quantity", by).alias("qty"), F.min(by).alias("price"),
-                     F.min_by("l_discount", by).alias("disc"), F.min_by("l_tax", by).alias("tax"),
-                     F.min_by(epoch_us(F.col("l_shipdate")), F.col(by)).alias("t")))
+                .agg(F.min_by(line, F.col("l_extendedprice")).alias("_l")).select("scan", "gate", "_l.*"))
 
     def spectra(self) -> DataFrame:
         power = F.transform("embedding", lambda e: F.abs(e.cast("double")) + 1e-3)

@@ -11,7 +11,7 @@ from skycolumn.plans.bindings import SLOT, r6, sql
 from skycolumn.plans.registry import query
 from skycolumn.session import checkpoint_dir
 from skycolumn.sources import files, packing, store
-from skycolumn.specs import VariableSpec
+from skycolumn.specs import INSTRUMENT_SPECS, VariableSpec
 from skycolumn.streaming import streams
 
 SPECS = (VariableSpec("z", -60.0, 45.0, 0.1), VariableSpec("vel", -2.0, 2.0, 0.05), VariableSpec("temp", -60.0, 40.0, 0.001))
@@ -146,6 +146,20 @@ def _(t):
     return packing.pack(df, packing.packing_spec(SPECS)).select("radar", "t", "gate", "z", "vel", "temp", "strong")
 
 
+_X, _KA = ({s.name: s for s in INSTRUMENT_SPECS[k]} for k in ("X", "Ka"))
+
+
+@query("instrument_packing", "S7 S8", f"""
+WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity / 9.7 AS spectrumwidth, l_tax * 13.1 AS rhohv FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST({_pack_sql(0.0, 6.0, 0.001, 65535, 'spectrumwidth')} AS INT) AS width_ka,
+  CAST({_pack_sql(0.0, 3.0, 0.01, 65535, 'spectrumwidth')} AS INT) AS width_x, CAST({_pack_sql(0.0, 1.0, 0.01, 255, 'rhohv')} AS SMALLINT) AS rhohv_x FROM w""")
+def _(t):
+    w = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 9.7).alias("spectrumwidth"), (F.col("l_tax") * 13.1).alias("rhohv"))
+    ka, x = (packing.packing_spec(s.values()) for s in (_KA, _X))
+    return w.select("l_orderkey", "l_linenumber", packing.pack_column(F.col("spectrumwidth"), ka["spectrumwidth"]).alias("width_ka"),
+                    packing.pack_column(F.col("spectrumwidth"), x["spectrumwidth"]).alias("width_x"), packing.pack_column(F.col("rhohv"), x["rhohv"]).alias("rhohv_x"))
+
+
 @query("unpacked_cells", "S9", sql("grid_cells", f"""
 , p AS (SELECT radar, t, gate, CAST({_pack_sql(-60.0, 45.0, 0.1, 65535, 'z')} AS INT) AS z FROM grid_cells)
 SELECT radar, t, gate, round(CASE WHEN z <> 65535 THEN z * 0.1::DOUBLE + -60.0 END, 6) AS z FROM p"""))

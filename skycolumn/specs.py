@@ -34,6 +34,33 @@ STORE_SPECS = (
     VariableSpec("zdi", 0.0, 15000.0, 1.0, ("time",)),
 )
 
+# What each instrument stores, where it differs from or adds to the shared specifications.
+_SHARED = ("reflectivity", "velocity", "snrh", "snrv", "zdi")
+_RATIO = lambda name: VariableSpec(name, 0.0, 15.0, 0.1)
+_SPECTRA = (VariableSpec("sZh", -45.0, 15.0, 0.01, ("time", "range", "doppler")), VariableSpec("sZv", -45.0, 15.0, 0.01, ("time", "range", "doppler")))
+_PRECIP = VariableSpec("is_precip", dims=("time",), flag=True)
+
+
+def _like(name: str, other: str) -> VariableSpec:
+    spec = next(s for s in STORE_SPECS if s.name == other)
+    return VariableSpec(name, spec.vmin, spec.vmax, spec.precision, spec.dims)
+
+
+def _of(*names: str) -> tuple[VariableSpec, ...]:
+    return tuple(s for s in STORE_SPECS if s.name in names)
+
+
+INSTRUMENT_SPECS = {
+    "X": (*_of(*_SHARED, "rhohv"), _like("reflectivity_raw", "reflectivity"), _like("snrh_raw", "snrh"), _like("snrv_raw", "snrv"),
+          VariableSpec("spectrumwidth", 0.0, 3.0, 0.01), VariableSpec("zdr", 0.0, 5.0, 0.01), _RATIO("DFR_XKa"), _RATIO("DFR_XW"), _PRECIP, *_SPECTRA),
+    "Ka": (*_of(*_SHARED, "skewness", "spectrumwidth", "LDR", "numpeaks", "cloudtop"), _RATIO("DFR_XKa"), _RATIO("DFR_KaW"), _PRECIP, *_SPECTRA,
+           VariableSpec("sLDR", -35.0, 5.0, 0.01, ("time", "range", "doppler"))),
+    "W": (*_of("reflectivity", "velocity", "cloudtop", "zdi"), *[_like(n, "reflectivity") for n in ("reflectivity_raw", "z_30s", "z_120s")],
+          *[_like(n, "velocity") for n in ("vel_30s", "vel_120s")], _RATIO("DFR_KaW"), _RATIO("DFR_XW"), _PRECIP),
+    "peaks": (*_of("reflectivity", "velocity", "LDR", "numpeaks", "cloudtop", "zdi"), VariableSpec("skewness", -2.5, 2.5, 0.01),
+              VariableSpec("spectrumwidth", 0.0, 3.0, 0.01), _PRECIP),
+}
+
 # Native time steps (s) and range tolerances (m) of the instruments.
 TIME_STEP_S = {"X": 1, "Ka": 5, "W": 3}
 RANGE_TOLERANCE_M = {"X": 15.0, "Ka": 16.0, "W": 12.5}

@@ -289,10 +289,10 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text:
     drawn = lambda m: (F.col("surprise") + PRIOR * m) / (F.col("n") + PRIOR)
     upper = (held.join(middle, "lang").groupBy("lang").agg(F.percentile_approx(drawn(F.col("middle")), QUANTILE, 10000).alias("upper"), F.first("middle").alias("middle")))
     limits = cut_lineage(upper.select("lang", "middle", (F.col("middle") + F.greatest(F.lit(GAP), MARGIN * (F.col("upper") - F.col("middle")))).alias("limit")))
-    pool = F.broadcast(limits.filter(F.col("lang") == "=" + POOL).select(F.col("middle").alias("_middle"), F.col("limit").alias("_limit")).limit(1))
-    # A language without held-out texts takes the limits of all; one row, joined by a constant.
-    out = scored.join(limits, "lang", "left").join(pool, F.lit(True), "left")
-    middle, limit = F.coalesce("middle", "_middle"), F.coalesce("limit", "_limit")
+    # A language without held-out texts takes the limits of all, two numbers.
+    pool = limits.filter(F.col("lang") == "=" + POOL).first()
+    out = scored.join(limits, "lang", "left")
+    middle, limit = (F.coalesce(F.col(c), F.lit(pool[c] if pool else None).cast("double")) for c in ("middle", "limit"))
     value = drawn(middle)
     return out.select("id", "mark", F.expr("substring(lang, 2)").alias("lang"), F.col("n").alias("n_symbols"), F.exp("mean").alias("perplexity"), F.exp(value).alias("drawn_perplexity"),
                       F.exp(limit).alias("limit"), ((F.col("n") > 0) & F.coalesce(value <= limit, F.lit(True))).alias("kept"))

@@ -41,17 +41,16 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, doc_id: str, text:
 def _rows(capacity: int, pad_id: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         bins, offsets, loads = best_fit_decreasing(group["length"].to_numpy(np.int64), capacity)
-        group = group.assign(bin=bins, offset=offsets).sort_values(["bin", "offset"], kind="stable")
-        out = []
-        for bin_, part in group.groupby("bin", sort=True):
-            n, used = part["length"].to_numpy(), int(loads[bin_])
-            ids = np.full(capacity, pad_id, dtype="<u2")
-            ids[:used] = np.frombuffer(b"".join(part["ids"]), "<u2")
-            begin = np.cumsum(n) - n
-            positions = np.zeros(capacity, dtype="<u2")
-            positions[:used] = np.arange(used) - np.repeat(begin, n)
-            out.append((int(group["group"].iloc[0]) * (1 << 24) + int(bin_), used, ids.tobytes(), [0, *np.cumsum(n).tolist()], positions.tobytes(),
-                        part["doc_id"].tolist(), part["piece"].tolist(), part["start"].tolist()))
+        order, number = np.lexsort((offsets, bins)), int(group["group"].iloc[0]) << 24
+        lengths = group["length"].to_numpy(np.int64)[order]
+        doc_ids, pieces, starts, ids = (group[c].to_numpy()[order] for c in ("doc_id", "piece", "start", "ids"))
+        cuts = np.searchsorted(bins[order], np.arange(len(loads) + 1)).tolist()
+        steps, padding, out = np.arange(capacity, dtype="<u2").tobytes(), np.full(capacity, pad_id, dtype="<u2").tobytes(), []
+        for bin_, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            used, n = 2 * int(loads[bin_]), lengths[a:b]
+            positions = b"".join([steps[:2 * k] for k in n.tolist()]) + bytes(2 * capacity - used)
+            out.append((number + bin_, used // 2, b"".join(ids[a:b]) + padding[used:], [0, *np.cumsum(n).tolist()], positions,
+                        doc_ids[a:b].tolist(), pieces[a:b].tolist(), starts[a:b].tolist()))
         return pd.DataFrame(out, columns=["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "pieces", "starts"])
 
     return run

@@ -42,6 +42,8 @@ QUANTILE, MARGIN = 0.99, 1.5
 GAP = 0.3
 # Texts of a block and of a compressed part of it; longer texts are cut with an overlap of ORDER - 1 symbols.
 BLOCK_CHARS, PART_CHARS = 24 << 20, 1 << 20
+# Bits of the map of trusted ids that sifts texts before they are joined: at most 2^17 words of 64 bits are broadcast.
+SIEVE_BITS = 1 << 23
 POOL = "*"
 
 _LATIN = "àáâäçèéêëìíîïñòóôöùúûüß"
@@ -135,19 +137,24 @@ def _discounted(counts: DataFrame, order: int) -> DataFrame:
     discounts = tally.select("lang", bounded(1 - 2 * y * F.try_divide(t2, t1), 1.0, 0.5).alias("d1"),
                              bounded(2 - 3 * y * F.try_divide(t3, t2), 2.0, 1.0).alias("d2"), bounded(3 - 4 * y * F.try_divide(t4, t3), 3.0, 1.5).alias("d3"))
     discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(discounts, "lang").withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")).withColumn("off", discount)
+    # At most LANGUAGES + 1 rows.
+    rows = counts.join(F.broadcast(discounts), "lang").withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")).withColumn("off", discount)
     contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("left"))
     return (rows.join(contexts, ["lang", "context"])
             .select("lang", "gram", "context", ((F.col("n") - F.col("off")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("back")))
 
 
 def fit(trusted: DataFrame, lang: str = "lang", text: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """Per order from 1 to ORDER: (lang, gram, p) of the n-grams seen, and (lang, context, back) of their contexts."""
+    """Per order from 1 to ORDER: (lang, gram, p) of the n-grams seen, and (lang, context, back) of their contexts.
+
+    ``trusted`` has at most LANGUAGES values of ``lang`` besides the one for all others, whose texts only enter the model
+    of all trusted text.
+    """
     rows = trusted.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counted = rows.mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted)
-    pooled = counted.filter(F.col("lang") != POOL).groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("=" + POOL).alias("lang"), "gram", "n")
-    current, model = cut_lineage(counted.unionByName(pooled)), []
+    pooled = counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("=" + POOL).alias("lang"), "gram", "n")
+    current, model = cut_lineage(counted.filter(F.col("lang") != "=" + POOL).unionByName(pooled)), []
     for order in range(ORDER, 0, -1):
         shares = cut_lineage(_discounted(current, order))
         model.append((shares.select("lang", "gram", "p"), shares.groupBy("lang", "context").agg(F.first("back").alias("back"))))
@@ -269,6 +276,18 @@ def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], total_chars
     return cut_lineage(scored.groupBy("id", "mark", "lang").agg(F.sum("surprise").alias("surprise"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")))
 
 
+def sift(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is in ``ids``. A bit map of fixed size drops nearly all others before any text moves."""
+    bit = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(SIEVE_BITS))
+    shift = lambda name, value, by: F.call_function(name, value, by.cast("int"))
+    word, place = F.floor(bit / 64).cast("int"), bit.bitwiseAND(F.lit(63).cast("long"))
+    words = cut_lineage(ids.select(word.alias("_word"), shift("shiftleft", F.lit(1).cast("long"), place).alias("_bit"))
+                        .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    hit = shift("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1).cast("long")) == 1
+    sifted = rows.join(F.broadcast(words), (word == F.col("_word")) & hit, "left_semi")
+    return sifted.join(ids.select("id"), "id", "left_semi")
+
+
 def judge(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per distinct (id, text) and language: id, mark (hash of the text), lang, n_symbols, perplexity, limit, kept."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), null_safe(F.col(f"`{lang}`")).alias("lang"),
@@ -280,8 +299,9 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text:
     named = [r["lang"] for r in sizes.join(trusted.filter("NOT held_out"), "id").groupBy("lang").agg(F.sum("c").alias("c")).filter((F.col("c") >= LEAST) & (F.col("lang") != ""))
              .orderBy(F.col("c").desc(), "lang").limit(LANGUAGES).collect()]
     known = F.col("lang").isin(named) if named else F.lit(False)
-    model = fit(rows.join(trusted.filter("NOT held_out").select("id"), "id", "left_semi").select("lang", "text"))
-    scored = score(rows.withColumn("lang", F.when(known, F.col("lang")).otherwise(F.lit("=" + POOL))), model, total)
+    rows = rows.withColumn("lang", F.when(known, F.col("lang")).otherwise(F.lit("=" + POOL)))
+    model = fit(sift(rows, trusted.filter("NOT held_out")).select("lang", "text"))
+    scored = score(rows, model, total)
     scored = scored.withColumn("mean", F.try_divide("surprise", "n"))
     held = scored.join(trusted.filter("held_out").select("id"), "id", "left_semi").filter("n > 0")
     held = held.unionByName(held.filter(F.col("lang") != "=" + POOL).withColumn("lang", F.lit("=" + POOL)))

@@ -139,10 +139,10 @@ def mcd_estimates(points: DataFrame, keys: list[str], vector: list[str], floors:
     """One row per group: the minimum covariance determinant estimate (means ``m*``, factor ``l**``, ``scale``)."""
     x, p, on = [F.col(v) for v in vector], len(vector), [*keys, "_start"]
     # Deterministic starts: distances from median and MAD, as a sum of squares and as the largest coordinate.
-    middle = points.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"c{i}") for i, c in enumerate(x)])
-    spread = (points.join(middle, keys).groupBy(*keys)
+    middle = cut_lineage(points.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"c{i}") for i, c in enumerate(x)]))
+    spread = cut_lineage(points.join(middle, keys).groupBy(*keys)
               .agg(*[F.percentile_approx(F.abs(c - F.col(f"c{i}")), 0.5, 1000).alias(f"a{i}") for i, c in enumerate(x)]))
-    starts = middle.join(spread, keys)
+    starts = cut_lineage(middle.join(spread, keys))
     z = [(c - F.col(f"c{i}")) / (MAD * F.col(f"a{i}") + F.lit(floors[i])) for i, c in enumerate(x)]
     both = F.array(sum((a * a for a in z[1:]), z[0] * z[0]), F.greatest(*[F.abs(a) for a in z]))
     measured = points.join(starts, keys).select(*keys, *vector, F.posexplode(both).alias("_start", "_d"))
@@ -150,14 +150,15 @@ def mcd_estimates(points: DataFrame, keys: list[str], vector: list[str], floors:
     for _ in range(steps + 1):
         if estimates is not None:
             measured = points.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1)))).join(estimates, on).select(*on, *vector, _distance(x).alias("_d"))
-        radius = measured.groupBy(*on).agg(F.percentile_approx("_d", core, 1000).alias("_r"))
+        # Written, so that its known size decides how it is joined; the points need not move to meet a few rows.
+        radius = cut_lineage(measured.groupBy(*on).agg(F.percentile_approx("_d", core, 1000).alias("_r")))
         inside = measured.join(radius, on).filter("_d <= _r")
         sums = inside.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)],
                                        *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(p) for j in range(i + 1)])
         estimates = cut_lineage(_factored(sums, floors, on))
-    best = estimates.groupBy(*keys).agg(F.min_by(F.struct(*estimates.columns[len(on):]), F.struct("log_det", "_start")).alias("e")).select(*keys, "e.*")
+    best = cut_lineage(estimates.groupBy(*keys).agg(F.min_by(F.struct(*estimates.columns[len(on):]), F.struct("log_det", "_start")).alias("e")).select(*keys, "e.*"))
     # The core has less spread than the group: the median distance is brought up to its expected value.
-    median = points.join(best, keys).select(*keys, _distance(x).alias("_d")).groupBy(*keys).agg(F.percentile_approx("_d", 0.5, 1000).alias("_m"))
+    median = cut_lineage(points.join(best, keys).select(*keys, _distance(x).alias("_d")).groupBy(*keys).agg(F.percentile_approx("_d", 0.5, 1000).alias("_m")))
     return cut_lineage(best.join(median, keys).withColumn("scale", F.greatest(F.lit(1.0), F.col("_m") / MEDIAN_CHI2)).drop("_m", "n", "log_det"))
 
 
@@ -173,7 +174,7 @@ def judge(rows: DataFrame, language: str, source: str, prefix: str = "") -> Data
     grouped = (keyed.join(large, [name("k0"), name("k1")], "left")
                .withColumn(keys[0], F.col(name("k0"))).withColumn(keys[1], F.when(F.col(name("own")), F.col(name("k1"))).otherwise(F.lit("*"))))
     points = cut_lineage(grouped.filter(~F.col(name("base_failed"))).select(*keys, *vector))
-    enough = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_GROUP).select(*keys)
+    enough = cut_lineage(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_GROUP).select(*keys))
     estimates = mcd_estimates(points.join(enough, keys, "left_semi"), keys, vector, floors)
     estimates = estimates.withColumnsRenamed({c: name(f"e_{c}") for c in estimates.columns if c not in keys})
     distance = _distance([F.col(v) for v in vector], name("e_l"), name("e_m")) / F.col(name("e_scale"))

@@ -129,3 +129,9 @@ def test_empty(spark):
 
 def test_fold():
     assert perplexity.fold("aZ é\U0001f600\ud800").tolist() == [0, 0, 0, 2, 28, 1, 39 + "àáâäçèéêëìíîïñòóôöùúûüß".index("é"), 62, 62, 0]
+
+
+def test_sift(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) AS text")
+    ids = spark.range(0, 9000, 7)
+    assert sorted(r.id for r in perplexity.sift(rows, ids).collect()) == list(range(0, 5000, 7))

@@ -250,14 +250,14 @@ def _score(parts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     keys = answers["gram"].to_numpy(np.int64)
     order = np.argsort(keys)
     keys, values = keys[order], answers["s"].to_numpy(np.float32)[order]
-    place = np.full(SYMBOLS ** ORDER, -1, dtype=np.int32)
-    place[keys] = np.arange(len(keys), dtype=np.int32)
+    keys = keys.astype(np.int32)
     for lang, ids, marks, sizes, blob in zip(parts["lang"], parts["ids"], parts["marks"], parts["sizes"], parts["symbols"]):
         symbols, at = _open(blob), 0
         for key, mark, n in zip(ids, marks, sizes):
-            at_gram = place[grams(symbols[at:at + n])]
+            asked = grams(symbols[at:at + n])
+            at_gram = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             at += n
-            if (at_gram < 0).any():
+            if (keys[at_gram] != asked).any():
                 raise ValueError("a block holds n-grams that it has not asked for")
             out.append((key, mark, lang, float(values[at_gram].sum(dtype=np.float64)), len(at_gram)))
     return pd.DataFrame(out, columns=["id", "mark", "lang", "surprise", "n"])

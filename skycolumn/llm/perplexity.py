@@ -1,18 +1,15 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text, perplexity per document, thresholds by language.
 
-The units are characters folded to ``SYMBOLS`` classes (lower-case letters of western languages, one class for capitals,
-digits, kinds of punctuation), so an n-gram is one integer and a model holds at most SYMBOLS^ORDER of them; words would make
-nearly every 3-gram of a block unique, and the joins below as large as the texts.
-
-* Fit. All trusted texts (none is left out but the held-out fifth, which sets the thresholds) are counted per task and summed
-  by n-gram and language, so what the model gathers grows with the trusted text. Lower orders count distinct predecessors. Discounts for
-  counts of one, two, three and more come from the counts of counts of each language and order.
-* Score. Folded texts are packed into compressed blocks by language. A block asks for its distinct n-grams; requests
-  meet the sharded counts of all orders in equi-joins, which give each n-gram's log-probability, and the answers go back to
-  the blocks. Nothing is broadcast or collected but a bounded list of languages (``LANGUAGES``).
+The model is that of ``word_model``: word 3-grams as 64-bit hashes over the spelling of words in code points, nothing folded.
+All trusted texts are counted but the held-out fifth, which sets the thresholds. The surprise of a text's words is divided by
+its number of characters.
+
 * Decide. A text's mean surprise is drawn to its language's median by ``PRIOR`` symbols (short texts carry little
   evidence) and compared with median + ``MARGIN`` * (upper quantile - median), at least ``GAP``, of the held-out trusted texts of its language.
 
+``fit``, ``surprise`` and ``score`` of this module are the small model of characters folded to ``SYMBOLS`` classes; ``judge``
+does not use them.
+
 Languages with less than ``LEAST`` trusted symbols, and NULL, use the model and the thresholds of all trusted text.
 Defined cases: NULL and empty texts have no perplexity and are rejected. Rows that repeat an id are judged each by its
 text. A very long text is scored in parts whose sums are added. Without any trusted text nothing with a word is
@@ -29,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skycolumn.llm import word_model
 from skycolumn.llm.common import null_safe
+from skycolumn.llm.word_model import POOL, discounted
 from skycolumn.session import cut_lineage
 
 ORDER, SYMBOLS = 4, 64
@@ -44,7 +43,6 @@ GAP = 0.3
 BLOCK_CHARS, PART_CHARS = 24 << 20, 1 << 20
 # Bits of the map of trusted ids that sifts texts before they are joined: at most 2^17 words of 64 bits are broadcast.
 SIEVE_BITS = 1 << 23
-POOL = "*"
 
 _LATIN = "àáâäçèéêëìíîïñòóôöùúûüß"
 
@@ -127,23 +125,6 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(lang)
 
 
-def _discounted(counts: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) of one order to (lang, gram, context, p, ...): the discounted share and, per context, the weight left."""
-    # Counts of counts of each language; where a count of counts is missing the discount is half, one, one and a half.
-    tally = counts.groupBy("lang").agg(*[F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"t{k}") for k in (1, 2, 3, 4)])
-    t1, t2, t3, t4 = (F.col(f"t{k}") for k in (1, 2, 3, 4))
-    y = F.try_divide(t1, t1 + 2 * t2)
-    bounded = lambda d, high, other: F.when(d.isNull(), other).otherwise(F.least(F.greatest(d, F.lit(0.05)), F.lit(high)))
-    discounts = tally.select("lang", bounded(1 - 2 * y * F.try_divide(t2, t1), 1.0, 0.5).alias("d1"),
-                             bounded(2 - 3 * y * F.try_divide(t3, t2), 2.0, 1.0).alias("d2"), bounded(3 - 4 * y * F.try_divide(t4, t3), 3.0, 1.5).alias("d3"))
-    discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # At most LANGUAGES + 1 rows.
-    rows = counts.join(F.broadcast(discounts), "lang").withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")).withColumn("off", discount)
-    contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("left"))
-    return (rows.join(contexts, ["lang", "context"])
-            .select("lang", "gram", "context", ((F.col("n") - F.col("off")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("back")))
-
-
 def fit(trusted: DataFrame, lang: str = "lang", text: str = "text") -> list[tuple[DataFrame, DataFrame]]:
     """Per order from 1 to ORDER: (lang, gram, p) of the n-grams seen, and (lang, context, back) of their contexts.
 
@@ -156,7 +137,7 @@ def fit(trusted: DataFrame, lang: str = "lang", text: str = "text") -> list[tupl
     pooled = counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("=" + POOL).alias("lang"), "gram", "n")
     current, model = cut_lineage(counted.filter(F.col("lang") != "=" + POOL).unionByName(pooled)), []
     for order in range(ORDER, 0, -1):
-        shares = cut_lineage(_discounted(current, order))
+        shares = cut_lineage(discounted(current.withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")), ["gram"], ["context"]))
         model.append((shares.select("lang", "gram", "p"), shares.groupBy("lang", "context").agg(F.first("back").alias("back"))))
         # The next order counts the distinct symbols before an n-gram.
         current = current.groupBy("lang", F.pmod("gram", F.lit(SYMBOLS ** (order - 1))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
@@ -300,8 +281,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text:
              .orderBy(F.col("c").desc(), "lang").limit(LANGUAGES).collect()]
     known = F.col("lang").isin(named) if named else F.lit(False)
     rows = rows.withColumn("lang", F.when(known, F.col("lang")).otherwise(F.lit("=" + POOL)))
-    model = fit(sift(rows, trusted.filter("NOT held_out")).select("lang", "text"))
-    scored = score(rows, model, total)
+    scored = word_model.score(rows, sift(rows, trusted.filter("NOT held_out")).select("lang", "text"), total)
     scored = scored.withColumn("mean", F.try_divide("surprise", "n"))
     held = scored.join(trusted.filter("held_out").select("id"), "id", "left_semi").filter("n > 0")
     held = held.unionByName(held.filter(F.col("lang") != "=" + POOL).withColumn("lang", F.lit("=" + POOL)))

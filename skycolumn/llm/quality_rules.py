@@ -30,8 +30,9 @@ MIN_GROUP = 40
 # Share of a group that the estimate is taken from.
 CORE = 0.75
 STEPS = 5
-# Variables of the vector and the standard deviation that is at least assumed for each (natural logarithms).
-VECTOR = {"v_length": 0.05, "v_symbols": 0.30, "v_lines": 1.00, "v_repeats": 1.20}
+# Variables of the vector and the standard deviation, given the variables before, that is at least assumed for each (natural
+# logarithms). Shares run to log(101), so that each variable alone can reach CUTOFF.
+VECTOR = {"v_length": 0.05, "v_symbols": 0.30, "v_lines": 0.30, "v_repeats": 0.30}
 # Quantiles of the chi-squared distribution with four degrees of freedom: 0.99999 and 0.5.
 CUTOFF = 28.47
 MEDIAN_CHI2 = 3.357
@@ -122,12 +123,10 @@ def _factored(sums: DataFrame, floors: list[float], keys: list[str]) -> DataFram
     for i in range(p):
         for j in range(i + 1):
             value = F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + floors[i] ** 2
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            # The floor keeps the matrix positive definite; rounding must not undo it.
-            value = F.sqrt(F.greatest(value, F.lit(floors[i] ** 2 * 1e-3))) if i == j else value / F.col(f"l{j}{j}")
+            # A bound, not a term: where the data vary more, the floor has no part in the estimate.
+            value = F.sqrt(F.greatest(value, F.lit(floors[i] ** 2))) if i == j else value / F.col(f"l{j}{j}")
             out = out.withColumn(f"l{i}{j}", value)
     log_det = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, p)), F.log(F.col("l00"))) * 2
     return out.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)],

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skycolumn.session import checkpoint_dir
+
 ROW = "_row"
 
 
@@ -15,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """A table written to the shared folder, and what deletes it once its last reader is done."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"step-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+
+    def delete() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), delete
+
+
 def null_safe(column: Column) -> Column:
     """A text key that is never NULL; NULL and the empty text stay different."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skycolumn.functions.scalar import cloud_type, iso0_zone
 from skycolumn.operators.joins import band_self_join
 from skycolumn.operators.ordered import attach_row, join_on
+from skycolumn.session import cut_lineage
 
 # name -> aggregate; users add their own entries. "std" is the population form.
 STATS: dict[str, Callable[[Column], Column]] = {
@@ -21,8 +22,10 @@ STATS: dict[str, Callable[[Column], Column]] = {
 }
 # quantile statistics, found by ``exact_quantiles`` where a group may be large
 QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
-
-
+# rows of a piece of values that one task ranks
+PIECE_ROWS = 1_000_000
+# steps per power of two, as a power of two, of the codes that values are cut by
+CODE_BITS = 42
 
 
 # ---- exact quantiles -------------------------------------------------------------------------
@@ -41,51 +44,62 @@ def quantiles_from_counts(df: DataFrame, keys: Sequence[str], value: str, probs:
     return found.select(*keys, *out, *([F.col("_total").alias(count)] if count else []))
 
 
+def ordered_code(x: Column) -> Column:
+    """A LONG for a DOUBLE that never falls where the values rise: the logarithm of the magnitude in steps of 2^-42, negated below
+    zero. (A logarithm may be off by its last digit, but it is monotone.) Infinities and NaN come last."""
+    a = F.abs(x)
+    steps = F.coalesce(F.floor((F.log2(a) + 1076) * float(1 << CODE_BITS)), F.lit(0).cast("long"))
+    top = F.lit(2200 << CODE_BITS)
+    return F.when(F.isnan(x), top + F.lit(1)).when(a == float("inf"), F.signum(x).cast("long") * top).otherwise(F.signum(x).cast("long") * steps)
+
+
+def _digits(code: str, shift: int) -> Column:
+    """The leading digits of a code: all bits but the last ``shift``."""
+    return F.call_function("shiftright", F.col(code), F.lit(shift))
+
+
+def _of_pieces(coded: DataFrame, pieces: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
+    """Rows whose leading digits are those of a piece. ``pieces`` is a written table of at most two rows per key and rank, so Spark
+    knows its size: it is sent to the rows where it is small and meets them in a shuffle where it is not."""
+    return coded.withColumn("_piece", _digits("_code", shift)).join(pieces.drop("_size"), [*keys, "_piece"])
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    count: str | None = None, pieces: int = 64, rounds: int = 2) -> DataFrame:
+                    count: str | None = None, shifts: Sequence[int] = (34, 12), piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Exact, linearly interpolated quantiles of any DOUBLE column; no group is held by one task.
 
-    A mergeable sketch per key gives edges that cut its values into about equal pieces. The size of
-    every piece (a map-side count) says in which pieces the wanted ranks lie. Only rows of those
-    pieces are shuffled, equal values counted on the map side, and ranked; each of ``rounds`` cuts the
-    pieces again in the same way. ``count`` names a column for the number of values.
+    Selection by digits: values become order-preserving LONGs, whose leading bits (all but ``shifts[0]``: 256 pieces per power of
+    two) are counted on the map side. The sums over the pieces of a key say which of them hold the wanted ranks. While one of these has more
+    than ``piece_rows`` rows its rows are counted by the next bits, and what is left is counted by value and
+    ranked. Each pass reads the source once and shuffles counts alone; the pieces found are written, one row or two per key and
+    rank. ``count`` names a column for the number of values.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ranks = {n: (F.col("_total") - 1) * float(p) for n, p in probs.items()}
-    path: list[str] = []
-    base = None
-    for depth in range(rounds):
-        group, piece = [*keys, *path], f"_p{depth}"
-        edges = rows.groupBy(*group).agg(
-            F.percentile_approx("_v", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("_e"))
-        rows = (join_on(rows, edges, group)
-                .withColumn(piece, F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e"))
-        whole = Window.partitionBy(*group)
-        earlier = whole.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-        sizes = (rows.groupBy(*group, piece).agg(F.count(F.lit(1)).alias("_s"))
-                 .withColumns({"_before": F.coalesce(F.sum("_s").over(earlier), F.lit(0).cast("long")),
-                               "_total": F.sum("_s").over(whole)}))
-        if base is not None:
-            sizes = (sizes.drop("_total").join(base, group)
-                     .withColumn("_before", F.col("_before") + F.col("_base")).drop("_base"))
-        wanted = F.lit(False)
-        for r in ranks.values():
-            wanted = wanted | ((F.ceil(r) >= F.col("_before")) & (F.floor(r) < F.col("_before") + F.col("_s")))
-        base = sizes.filter(wanted).select(*group, piece, F.col("_before").alias("_base"), "_total")
-        path.append(piece)
-        rows = rows.join(base.select(*keys, *path), [*keys, *path], "left_semi")
-    counts = rows.groupBy(*keys, *path, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (counts.join(base, [*keys, *path]).withColumn("_hi", F.col("_base") + F.sum("_n").over(inside))
-              .withColumn("_lo", F.col("_hi") - F.col("_n")))
-    aggs = []
-    for n, r in ranks.items():
-        at = lambda k: F.max(F.when((F.col("_lo") <= k) & (k < F.col("_hi")), F.col("_v")))
-        aggs += [at(F.floor(r)).alias(f"_a_{n}"), at(F.ceil(r)).alias(f"_b_{n}"), F.max(r - F.floor(r)).alias(f"_f_{n}")]
-    extra = [F.max("_total").alias(count)] if count else []
-    found = ranked.groupBy(*keys).agg(*aggs, *extra)
-    part = lambda n, x: F.col(f"_{x}_{n}")
-    out = [(part(n, "a") + (part(n, "b") - part(n, "a")) * part(n, "f")).alias(n) for n in probs]
+    v = F.col(value).cast("double")
+    coded = df.filter(v.isNotNull()).select(*keys, v.alias("_v")).withColumn("_code", ordered_code(F.col("_v")))
+    # Conditions of the ranks as SQL text: each is one expression, however many quantiles are asked for.
+    ranks = {n: f"((_total - 1) * {float(p)!r}D)" for n, p in probs.items()}
+    wanted = " OR ".join(f"(ceil({r}) >= _base AND floor({r}) < _base + _size)" for r in ranks.values())
+    pieces, at = None, 64
+    for shift in shifts:
+        inside = coded if pieces is None else _of_pieces(coded, pieces, keys, at).withColumnRenamed("_piece", "_parent")
+        parent = [] if pieces is None else ["_parent", "_base", "_total"]
+        sizes = inside.groupBy(*keys, *parent, _digits("_code", shift).alias("_piece")).agg(F.count(F.lit(1)).alias("_size"))
+        whole = Window.partitionBy(*keys, *parent[:1])
+        before = F.coalesce(F.sum("_size").over(whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        placed = sizes.withColumns({"_before": before} if parent else {"_before": before, "_total": F.sum("_size").over(whole)})
+        placed = placed.withColumn("_base", F.col("_before") + (F.col("_base") if parent else 0)).filter(wanted)
+        largest = Observation()
+        pieces, at = cut_lineage(placed.select(*keys, "_piece", "_base", "_total", "_size").observe(largest, F.max("_size").alias("size"))), shift
+        if (largest.get["size"] or 0) <= piece_rows:
+            break
+    counts = _of_pieces(coded, pieces, keys, at).groupBy(*keys, "_piece", "_base", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("_hi", F.col("_base") + F.sum("_n").over(inside))
+    value_at = lambda k: f"max(CASE WHEN _hi - _n <= {k} AND {k} < _hi THEN _v END)"
+    found = ranked.groupBy(*keys).agg(*[F.expr(f"struct({value_at(f'floor({r})')} AS a, {value_at(f'ceil({r})')} AS b, max({r} - floor({r})) AS f)").alias(f"_{n}") for n, r in ranks.items()],
+                                      *([F.max("_total").alias(count)] if count else []))
+    # equal neighbours, infinite ones among them, are taken as they are
+    out = [F.expr(f"CASE WHEN _{n}.a = _{n}.b THEN _{n}.a ELSE _{n}.a + (_{n}.b - _{n}.a) * _{n}.f END").alias(n) for n in probs]
     return found.select(*keys, *out, *([count] if count else []))
 
 

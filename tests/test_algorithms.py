@@ -118,20 +118,34 @@ def test_noise_level(spark):
         assert abs(r["q"] - np.quantile(power[r["i"]], 0.1)) < 1e-9
 
 
-@pytest.mark.parametrize("rounds", [1, 2, 3])
-def test_exact_quantiles(spark, rounds):
+@pytest.mark.parametrize("shifts, rows", [((34, 12), 10**6), ((34, 12), 1), ((52, 45, 40, 0), 3), ((63,), 0)])
+def test_exact_quantiles(spark, shifts, rows):
     rnd = np.random.default_rng(3)
-    data = {"hot": rnd.normal(size=4000), "same": np.full(50, 2.5), "few": np.array([1.0, 2.0]), "one": np.array([7.0])}
+    data = {"hot": rnd.normal(size=4000), "same": np.full(50, 2.5), "few": np.array([1.0, 2.0]), "one": np.array([7.0]), "zeros": np.array([0.0, -0.0, -1e-310, 5e-324, -3.0]), "wide": 10.0 ** rnd.uniform(-300, 300, 300) * rnd.choice([-1, 1], 300),
+            "close": 1.7e15 + rnd.integers(0, 40, 500)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs], "k string, v double")
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.75, "e": 1.0}
-    for r in stats.exact_quantiles(df, ["k"], "v", probs, "n", pieces=5, rounds=rounds).collect():
+    for r in stats.exact_quantiles(df, ["k"], "v", probs, "n", shifts=shifts, piece_rows=rows).collect():
         assert r["n"] == len(data[r["k"]])
         for name, p in probs.items():
-            assert abs(r[name] - np.quantile(data[r["k"]], p)) < 1e-9
+            assert r[name] == pytest.approx(np.quantile(data[r["k"]], p), rel=1e-9, abs=1e-9)
     for r in stats.quantiles_from_counts(df, ["k"], "v", probs).collect():
         assert abs(r["c"] - np.quantile(data[r["k"]], 0.5)) < 1e-9
 
 
+def test_ordered_code(spark):
+    rnd = np.random.default_rng(9)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), rnd.normal(size=500), [0.0, np.inf, 1.7976931348623157e308]])
+    x = np.unique(np.concatenate([x, -x]))
+    df = spark.createDataFrame([(float(v),) for v in x] + [(float("nan"),)], "v double").select("v", stats.ordered_code(F.col("v")).alias("c"))
+    rows = df.collect()
+    code = {r["v"]: r["c"] for r in rows[:-1]}
+    codes = [code[v] for v in x]
+    assert all(a <= b for a, b in zip(codes, codes[1:])) and rows[-1]["c"] > max(codes)
+    assert len({code[v] for v in powers}) == len(powers) and all(code[v] == -code[-v] for v in powers)
+
+
 def test_variogram_counts_repeated_times(spark):
     rnd = np.random.default_rng(5)
     t, v = rnd.integers(0, 60, 120), rnd.normal(size=120)

@@ -189,7 +189,7 @@ def test_one_path_whatever_the_cut(spark):
     from skycolumn.operators import stats
 
     df, _ = series(spark)
-    found = [rows_of(stats.exact_quantiles(df, ["key"], "v", {"m": 0.5}, pieces=pieces, rounds=rounds)) for pieces in (4, 64) for rounds in (1, 2, 3)]
+    found = [rows_of(stats.exact_quantiles(df, ["key"], "v", {"m": 0.5}, shifts=shifts, piece_rows=rows)) for shifts in ((34, 12), (50, 30, 8)) for rows in (0, 20, 10**6)]
     assert all(f == found[0] for f in found)
     bounds = spark.createDataFrame([("a", 0, 100_000), ("b", 5, 5)], "key string, lo long, hi long")
     assert regrid.make_time_grid(bounds, "t", "lo", "hi", 7).count() == 100_000 // 7 + 1 + 1

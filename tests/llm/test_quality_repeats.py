@@ -58,6 +58,6 @@ def test_lines_alone(spark):
     points = spark.range(400).selectExpr("'en' AS g0", "'s' AS g1", "1.7D + (id % 7) * 0.01D AS v_length", "0D AS v_symbols", "0D AS v_lines", "0D AS v_repeats")
     names, floors = list(quality_rules.VECTOR), list(quality_rules.VECTOR.values())
     estimate = quality_rules.mcd_estimates(points, ["g0", "g1"], names, floors)
-    far = "SELECT 'en' AS g0, 's' AS g1, 1.73D AS v_length, 0D AS v_symbols, ln(51D) AS v_lines, 0D AS v_repeats UNION ALL SELECT 'en', 's', 1.73D, 0D, 0D, ln(46D)"
+    far = "SELECT 'en' AS g0, 's' AS g1, 1.73D AS v_length, 0D AS v_symbols, asin(sqrt(0.5D)) AS v_lines, 0D AS v_repeats UNION ALL SELECT 'en', 's', 1.73D, 0D, 0D, asin(sqrt(0.45D))"
     d = spark.sql(far).join(estimate, ["g0", "g1"]).select((quality_rules._distance([F.col(v) for v in names]) / F.col("scale")).alias("d")).collect()
     assert len(d) == 2 and all(r.d > quality_rules.CUTOFF for r in d)

@@ -7,9 +7,6 @@ its number of characters.
 * Decide. A text's mean surprise is drawn to its language's median by ``PRIOR`` symbols (short texts carry little
   evidence) and compared with median + ``MARGIN`` * (upper quantile - median), at least ``GAP``, of the held-out trusted texts of its language.
 
-``fit``, ``surprise`` and ``score`` of this module are the small model of characters folded to ``SYMBOLS`` classes; ``judge``
-does not use them.
-
 Languages with less than ``LEAST`` trusted symbols, and NULL, use the model and the thresholds of all trusted text.
 Defined cases: NULL and empty texts have no perplexity and are rejected. Rows that repeat an id are judged each by its
 text. A very long text is scored in parts whose sums are added. Without any trusted text nothing with a word is
@@ -18,20 +15,14 @@ rejected. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skycolumn.llm import word_model
 from skycolumn.llm.common import null_safe
-from skycolumn.llm.word_model import POOL, discounted
+from skycolumn.llm.word_model import POOL
 from skycolumn.session import cut_lineage
 
-ORDER, SYMBOLS = 4, 64
 HELD_OUT = 5
 LEAST = 20_000
 LANGUAGES = 1000
@@ -39,223 +30,9 @@ PRIOR = 150
 QUANTILE, MARGIN = 0.99, 1.5
 # The limit lies at least so many nats per symbol above the median, however few texts are held out.
 GAP = 0.3
-# Texts of a block and of a compressed part of it; longer texts are cut with an overlap of ORDER - 1 symbols.
-BLOCK_CHARS, PART_CHARS = 24 << 20, 1 << 20
 # Bits of the map of trusted ids that sifts texts before they are joined: at most 2^17 words of 64 bits are broadcast.
 SIEVE_BITS = 1 << 23
 
-_LATIN = "àáâäçèéêëìíîïñòóôöùúûüß"
-
-
-def _fold_table() -> np.ndarray:
-    """Class of each code point below 0x250, and of the rest in the last two places (letters, others)."""
-    classes = np.full(0x252, 63, dtype=np.uint8)
-    for c in range(0x250):
-        ch = chr(c)
-        if ch == "\n":
-            k = 0
-        elif ch.isspace():
-            k = 1
-        elif "a" <= ch <= "z":
-            k = 2 + c - ord("a")
-        elif "A" <= ch <= "Z":
-            k = 28
-        elif "0" <= ch <= "9":
-            k = 29
-        elif ch in "#*$%&|<>":
-            k = 36
-        elif ch in ".,\"'-!?":
-            k = {".": 30, ",": 31, "\"": 32, "'": 32, "-": 33, "!": 34, "?": 34}[ch]
-        elif ch in "()[]{}:;/":
-            k = 35
-        elif c < 128:
-            k = 37
-        elif ch in _LATIN:
-            k = 39 + _LATIN.index(ch)
-        elif ch.isalpha():
-            k = 38 if ch.isupper() else 62
-        else:
-            k = 63
-        classes[c] = k
-    classes[0x250] = 62
-    return classes
-
-
-_CLASSES = _fold_table()
-
-
-def fold(text: str) -> np.ndarray:
-    """The classes of a text's characters between a start of ORDER - 1 line ends and one line end."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.zeros(len(points) + ORDER, dtype=np.uint8)
-    out[ORDER - 1:-1] = _CLASSES[np.minimum(points, 0x250)]
-    return out
-
-
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """The n-grams that end at each symbol from the ORDER-th on, as integers of base SYMBOLS."""
-    n = max(0, len(symbols) - ORDER + 1)
-    key = np.zeros(n, dtype=np.int32)
-    for k in range(ORDER):
-        key = key * SYMBOLS + symbols[k:k + n]
-    return key
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n), summed over parts of bounded size."""
-    held: dict[str, list[np.ndarray]] = {}
-    size: dict[str, int] = {}
-
-    def flush(lang: str) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-        size.pop(lang)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            value = text.as_py()
-            if not value:
-                continue
-            key = grams(fold(value))
-            held.setdefault(lang, []).append(key)
-            size[lang] = size.get(lang, 0) + len(key)
-            if size[lang] >= 4 * PART_CHARS:
-                yield flush(lang)
-    for lang in list(held):
-        yield flush(lang)
-
-
-def fit(trusted: DataFrame, lang: str = "lang", text: str = "text") -> list[tuple[DataFrame, DataFrame]]:
-    """Per order from 1 to ORDER: (lang, gram, p) of the n-grams seen, and (lang, context, back) of their contexts.
-
-    ``trusted`` has at most LANGUAGES values of ``lang`` besides the one for all others, whose texts only enter the model
-    of all trusted text.
-    """
-    rows = trusted.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counted = cut_lineage(counted)
-    pooled = counted.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("=" + POOL).alias("lang"), "gram", "n")
-    current, model = cut_lineage(counted.filter(F.col("lang") != "=" + POOL).unionByName(pooled)), []
-    for order in range(ORDER, 0, -1):
-        shares = cut_lineage(discounted(current.withColumn("context", F.floor(F.col("gram") / SYMBOLS).cast("int")), ["gram"], ["context"]))
-        model.append((shares.select("lang", "gram", "p"), shares.groupBy("lang", "context").agg(F.first("back").alias("back"))))
-        # The next order counts the distinct symbols before an n-gram.
-        current = current.groupBy("lang", F.pmod("gram", F.lit(SYMBOLS ** (order - 1))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    return model[::-1]
-
-
-def surprise(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """Distinct (lang, gram) to (lang, gram, s): s = -ln p, by joins with the sharded counts of every order."""
-    out, p = requests, F.lit(1.0 / SYMBOLS)
-    for order, (seen, contexts) in enumerate(model, 1):
-        key = F.pmod("gram", F.lit(SYMBOLS ** order)).cast("int")
-        out = (out.withColumn("_g", key).withColumn("_c", F.floor(F.col("_g") / SYMBOLS).cast("int"))
-               .join(seen.select("lang", F.col("gram").alias("_g"), F.col("p").alias(f"p{order}")), ["lang", "_g"], "left")
-               .join(contexts.select("lang", F.col("context").alias("_c"), F.col("back").alias(f"b{order}")), ["lang", "_c"], "left").drop("_g", "_c"))
-        p = F.coalesce(F.col(f"p{order}"), F.lit(0.0)) + F.coalesce(F.col(f"b{order}"), F.lit(1.0)) * p
-    return out.select("lang", "gram", (-F.log(p)).cast("float").alias("s"))
-
-
-def _parts(blocks: int):
-    """(id, mark, lang, text) to compressed parts of blocks: (lang, block, ids, marks, sizes, symbols)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        import zstandard
-
-        press, held, size = zstandard.ZstdCompressor(level=3), {}, {}
-
-        def flush(lang: str) -> pa.RecordBatch:
-            ids, marks, texts = zip(*held.pop(lang))
-            size.pop(lang)
-            raw = b"".join(t.tobytes() for t in texts)
-            blob = press.compress(raw)
-            arrays = [pa.array([lang]), pa.array([zlib.crc32(raw) % blocks], pa.int32()), pa.array([list(ids)], pa.list_(kind)), pa.array([list(marks)], pa.list_(pa.int64())),
-                      pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "block", "ids", "marks", "sizes", "symbols"])
-
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for key, mark, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                value = text.as_py()
-                symbols = fold(value) if value else np.zeros(0, np.uint8)
-                for at in range(0, max(1, len(symbols) - ORDER + 1), PART_CHARS):
-                    part = symbols[at:at + PART_CHARS + ORDER - 1]
-                    held.setdefault(lang, []).append((key, mark, part))
-                    size[lang] = size.get(lang, 0) + len(part) + 16
-                    if size[lang] >= PART_CHARS:
-                        yield flush(lang)
-            if len(held) > 16:  # many languages: their parts may not pile up
-                for lang in list(held):
-                    yield flush(lang)
-        for lang in list(held):
-            yield flush(lang)
-
-    return run
-
-
-def _open(blob: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(blob)), np.uint8)
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of the blocks of a task, each block's parts as they come."""
-    seen: dict[tuple[str, int], np.ndarray] = {}
-    for batch in batches:
-        for lang, block, sizes, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            symbols, at, new = _open(blob.as_py()), 0, []
-            for n in sizes:
-                new.append(grams(symbols[at:at + n]))
-                at += n
-            known = seen.get((lang, block))
-            seen[lang, block] = np.unique(np.concatenate(([] if known is None else [known]) + new))
-        if len(seen) > 64:
-            yield from _asked(seen)
-            seen = {}
-    yield from _asked(seen)
-
-
-def _asked(seen: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for (lang, block), keys in seen.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), block, np.int32)), pa.array(keys.astype(np.int32))],
-                                         names=["lang", "block", "gram"])
-
-
-def _score(parts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if not len(parts):
-        return pd.DataFrame({"id": [], "mark": [], "lang": [], "surprise": [], "n": []})
-    keys = answers["gram"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    keys, values = keys[order], answers["s"].to_numpy(np.float32)[order]
-    keys = keys.astype(np.int32)
-    for lang, ids, marks, sizes, blob in zip(parts["lang"], parts["ids"], parts["marks"], parts["sizes"], parts["symbols"]):
-        symbols, at = _open(blob), 0
-        for key, mark, n in zip(ids, marks, sizes):
-            asked = grams(symbols[at:at + n])
-            at_gram = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            at += n
-            if (keys[at_gram] != asked).any():
-                raise ValueError("a block holds n-grams that it has not asked for")
-            out.append((key, mark, lang, float(values[at_gram].sum(dtype=np.float64)), len(at_gram)))
-    return pd.DataFrame(out, columns=["id", "mark", "lang", "surprise", "n"])
-
-
-def score(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], total_chars: int) -> DataFrame:
-    """``docs`` (id, mark, lang, text) to a written table (id, mark, lang, surprise, n): sums over each text's symbols."""
-    blocks = 1 + total_chars // BLOCK_CHARS
-    kind = docs.schema["id"].dataType.simpleString()
-    parts = docs.mapInArrow(_parts(blocks), f"lang string, block int, ids array<{kind}>, marks array<long>, sizes array<int>, symbols binary")
-    asked = parts.select("lang", "block", "sizes", "symbols").mapInArrow(_ask, "lang string, block int, gram int").distinct()
-    asked = cut_lineage(asked)
-    answers = asked.join(cut_lineage(surprise(asked.select("lang", "gram").distinct(), model)), ["lang", "gram"])
-    scored = (parts.groupBy("lang", "block").cogroup(answers.groupBy("lang", "block"))
-              .applyInPandas(_score, f"id {kind}, mark long, lang string, surprise double, n long"))
-    return cut_lineage(scored.groupBy("id", "mark", "lang").agg(F.sum("surprise").alias("surprise"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")))
-
 
 def sift(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose ``id`` is in ``ids``. A bit map of fixed size drops nearly all others before any text moves."""

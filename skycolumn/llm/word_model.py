@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skycolumn.llm.common import written
 from skycolumn.session import cut_lineage
 
 WORDS, SPELLING = 3, 4
@@ -104,12 +105,18 @@ def padded(text: str) -> np.ndarray:
     return np.concatenate([np.zeros(WORDS - 1, np.int64), *[units(p)[2] for p in cut(text)], np.zeros(1, np.int64)])
 
 
+def hashed(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the n-grams whose units stand in these columns."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for k, column in enumerate(columns):
+        out = _mix(out + np.uint64(k + 1) + column.view(np.uint64))
+    return out.view(np.int64)
+
+
 def keys(ids: np.ndarray) -> np.ndarray:
     """Hashes of the WORDS-grams that end at each unit from the WORDS-th on."""
-    n, out = len(ids) - WORDS + 1, np.zeros(max(0, len(ids) - WORDS + 1), np.uint64)
-    for k in range(WORDS):
-        out = _mix(out + np.uint64(k + 1) + ids[k:k + n].view(np.uint64))
-    return out.view(np.int64)
+    n = max(0, len(ids) - WORDS + 1)
+    return hashed([ids[k:k + n] for k in range(WORDS)])
 
 
 def _first(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -210,22 +217,29 @@ def discounted(counts: DataFrame, gram: list[str], context: list[str]) -> DataFr
             .select("lang", *dict.fromkeys([*gram, *context]), ((F.col("n") - F.col("off")) / F.col("total")).alias("p"), (F.col("left") / F.col("total")).alias("back")))
 
 
-def fit(counts: DataFrame, columns: list[str]) -> list[tuple[DataFrame, DataFrame]]:
-    """(lang, columns, n) to, per order from 1: (lang, gram, p) of the n-grams seen and (lang, context, back) of their contexts."""
+def fit(counts: DataFrame, columns: list[str]) -> tuple[list[tuple[DataFrame, DataFrame]], list[Callable[[], None]]]:
+    """(lang, columns, n) to, per order from 1: (lang, gram, p) of the n-grams seen and (lang, context, back) of their contexts; and
+    what deletes these tables."""
+    drops: list[Callable[[], None]] = []
     pooled = counts.groupBy(*columns).agg(F.sum("n").alias("n")).select(F.lit("=" + POOL).alias("lang"), *columns, "n")
-    current, model = cut_lineage(counts.filter(F.col("lang") != "=" + POOL).unionByName(pooled)), []
+    start, delete = written(counts.filter(F.col("lang") != "=" + POOL).unionByName(pooled))
+    current, model = start, []
     for order in range(len(columns), 0, -1):
         gram = columns[-order:]
-        shares = cut_lineage(discounted(current, gram, gram[:-1]))
-        model.append((shares.select("lang", *gram, "p"), cut_lineage(shares.groupBy("lang", *gram[:-1]).agg(F.first("back").alias("back")))))
+        shares, drop = written(discounted(current, gram, gram[:-1]))
+        contexts, drop_contexts = written(shares.groupBy("lang", *gram[:-1]).agg(F.first("back").alias("back")))
+        model.append((shares.select("lang", *gram, "p"), contexts))
+        drops += [drop, drop_contexts]
         # The next order counts the distinct units before an n-gram.
         current = current.groupBy("lang", *gram[1:]).agg(F.count(F.lit(1)).alias("n"))
-    return model[::-1]
+    delete()
+    return model[::-1], drops
 
 
-def surprise(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]], columns: list[str], base: DataFrame | None) -> DataFrame:
-    """Distinct (lang, columns) to (lang, columns, s): s = -ln p. ``base`` is (lang, last column, s), or all code points alike."""
-    below = base
+def surprise(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]], columns: list[str], base: DataFrame | None) -> tuple[DataFrame, Callable[[], None]]:
+    """Distinct (lang, columns) to (lang, columns, s), written, and what deletes it: s = -ln p. ``base`` is (lang, last column, s), or
+    all code points alike."""
+    below, delete = base, None
     for order, (seen, contexts) in enumerate(model, 1):
         gram = columns[-order:]
         asked = requests if order == len(columns) else requests.select("lang", *gram).distinct()
@@ -239,8 +253,11 @@ def surprise(requests: DataFrame, model: list[tuple[DataFrame, DataFrame]], colu
         back = F.coalesce("back", F.lit(1.0))
         # What was not seen stays a logarithm: long words have probabilities below the least double.
         s: Column = F.when(F.col("p") > 0, -F.log(F.col("p") + back * F.exp(-F.col("s")))).otherwise(F.col("s") - F.log(back))
-        below = cut_lineage(rows.select("lang", *gram, s.alias("s")))
-    return below
+        below, done = written(rows.select("lang", *gram, s.alias("s")))
+        if delete:
+            delete()
+        delete = done
+    return below, delete
 
 
 def _parts(blocks: int):
@@ -292,14 +309,14 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block, sizes, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
             sequences = [x for x in _open(sizes, blob.as_py()) if len(x)]
             if sequences:
-                hashes, n, columns = _first(sequences)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), block, np.int32)), pa.array(hashes), *map(pa.array, columns)],
-                                                 names=["lang", "block", "gram", *U])
+                _, n, columns = _first(sequences)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), block, np.int32)), *map(pa.array, columns)],
+                                                 names=["lang", "block", *U])
 
 
 def _score(parts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     out = []
-    known = answers["gram"].to_numpy(np.int64)
+    known = hashed([answers[u].to_numpy(np.int64) for u in U])
     order = np.argsort(known)
     known, values = known[order], answers["s"].to_numpy(np.float64)[order]
     for lang, ids, marks, sizes, chars, blob in zip(parts["lang"], parts["ids"], parts["marks"], parts["sizes"], parts["chars"], parts["units"]):
@@ -317,22 +334,33 @@ def score(docs: DataFrame, trusted: DataFrame, total_chars: int) -> DataFrame:
     under the model of ``trusted`` (lang, text), and its characters with one end."""
     layout = ", ".join(f"{u} long" for u in U)
     counts = trusted.mapInArrow(_counts, f"lang string, {layout}, n long")
-    counts = cut_lineage(counts.groupBy("lang", *U).agg(F.sum("n").alias("n")))
+    counts, drop_counts = written(counts.groupBy("lang", *U).agg(F.sum("n").alias("n")))
     words = docs.select("lang", "text").mapInArrow(_words, "lang string, w long, word binary")
-    words = cut_lineage(words.groupBy("lang", "w").agg(F.min("word").alias("word")))
-    letters = cut_lineage(words.mapInArrow(_spelled, "lang string, w long, " + ", ".join(f"{c} long" for c in C)))
+    words, drop_words = written(words.groupBy("lang", "w").agg(F.min("word").alias("word")))
+    spell = lambda rows: rows.mapInArrow(_spelled, "lang string, w long, " + ", ".join(f"{c} long" for c in C))
     # The trusted words; those of small languages enter the pool alone.
     types = counts.select("lang", F.col(U[-1]).alias("w")).distinct()
-    spelling = fit(cut_lineage(letters.join(types, ["lang", "w"], "left_semi").groupBy("lang", *C).agg(F.count(F.lit(1)).alias("n"))), C)
-    spelled = letters.join(surprise(letters.select("lang", *C).distinct(), spelling, C, None), ["lang", *C])
-    base = cut_lineage(spelled.groupBy("lang", F.col("w").alias(U[-1])).agg(F.sum("s").alias("s")))
+    spelled, drop_spelled = written(spell(words.join(types, ["lang", "w"], "left_semi").select("lang", "w", "word")).groupBy("lang", *C).agg(F.count(F.lit(1)).alias("n")))
+    spelling, drops = fit(spelled, C)
+    drop_spelled()
+    known, drop_known = surprise(spell(words).select("lang", *C).distinct(), spelling, C, None)
+    base, drop_base = written(spell(words).join(known, ["lang", *C]).groupBy("lang", F.col("w").alias(U[-1])).agg(F.sum("s").alias("s")))
+    for drop in (drop_words, drop_known, *drops):
+        drop()
+    model, drops = fit(counts, U)
+    drop_counts()
     kind = docs.schema["id"].dataType.simpleString()
     parts = docs.mapInArrow(_parts(1 + total_chars // BLOCK_CHARS), f"lang string, block int, ids array<{kind}>, marks array<long>, sizes array<int>, chars array<long>, units binary")
-    parts = cut_lineage(parts)
-    asked = parts.select("lang", "block", "sizes", "units").mapInArrow(_ask, f"lang string, block int, gram long, {layout}")
-    asked = cut_lineage(asked.dropDuplicates(["lang", "block", "gram"]))
-    known = surprise(asked.select("lang", *U).distinct(), fit(counts, U), U, base)
-    answers = asked.join(known, ["lang", *U]).select("lang", "block", "gram", "s")
+    parts, drop_parts = written(parts)
+    asked = parts.select("lang", "block", "sizes", "units").mapInArrow(_ask, f"lang string, block int, {layout}")
+    asked, drop_asked = written(asked.dropDuplicates(["lang", "block", *U]))
+    known, drop_known = surprise(asked.select("lang", *U).distinct(), model, U, base)
+    for drop in (drop_base, *drops):
+        drop()
+    answers = asked.join(known, ["lang", *U]).select("lang", "block", *U, "s")
     scored = (parts.groupBy("lang", "block").cogroup(answers.groupBy("lang", "block"))
               .applyInPandas(_score, f"id {kind}, mark long, lang string, surprise double, n long"))
-    return cut_lineage(scored.groupBy("id", "mark", "lang").agg(F.sum("surprise").alias("surprise"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+    out = cut_lineage(scored.groupBy("id", "mark", "lang").agg(F.sum("surprise").alias("surprise"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+    for drop in (drop_parts, drop_asked, drop_known):
+        drop()
+    return out

@@ -1,64 +1,14 @@
-"""The model against a plain one, sums of long texts, verdicts and defined cases."""
+"""Verdicts and defined cases; the model itself is tested in test_word_model."""
 
-import math
 import random
-from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from skycolumn.llm import perplexity
-from skycolumn.llm.perplexity import ORDER, SYMBOLS
 
 SCHEMA = "doc_id long, text string, lang string, mark int, n string"
 
 
-def codes(text):
-    return perplexity.fold(text).tolist()
-
-
-def plain_model(texts):
-    """Interpolated modified Kneser-Ney from its definition, with dictionaries."""
-    seen = Counter()
-    for t in texts:
-        s = codes(t)
-        seen.update(tuple(s[i:i + ORDER]) for i in range(len(s) - ORDER + 1))
-    levels, current = {}, seen
-    for order in range(ORDER, 0, -1):
-        levels[order] = current
-        lower = defaultdict(set)
-        for g in current:
-            lower[g[1:]].add(g[0])
-        current = Counter({g: len(v) for g, v in lower.items()})
-    discounts, contexts = {}, {}
-    for order, counts in levels.items():
-        t = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
-        ratio = lambda a, b: a / b if b else None
-        y = ratio(t[0], t[0] + 2 * t[1])
-
-        def one(base, k, high, other):
-            r = ratio(t[k], t[k - 1])
-            return other if y is None or r is None else min(max(base - (base + 1) * y * r, 0.05), high)
-
-        discounts[order] = [one(1, 1, 1.0, 0.5), one(2, 2, 2.0, 1.0), one(3, 3, 3.0, 1.5)]
-        contexts[order] = defaultdict(list)
-        for g, v in counts.items():
-            contexts[order][g[:-1]].append(v)
-
-    def p(g):
-        order = len(g)
-        if not order:
-            return 1 / SYMBOLS
-        off = lambda v: discounts[order][min(v, 3) - 1]
-        below = contexts[order].get(g[:-1])
-        if not below:
-            return p(g[1:])
-        v = levels[order].get(g, 0)
-        return ((v - off(v)) if v else 0) / sum(below) + sum(map(off, below)) / sum(below) * p(g[1:])
-
-    return p
-
-
 def prose(rng, n, words):
     return " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
 
@@ -73,22 +23,6 @@ def corpus():
     return rows, list(range(0, 400, 2))
 
 
-def test_model(spark, corpus):
-    rows, trusted = corpus
-    texts = [r[1] for r in rows if r[0] in set(trusted)][:60]
-    model = perplexity.fit(spark.createDataFrame([("=en", t) for t in texts], "lang string, text string"))
-    p = plain_model(texts)
-    asked = np.unique(np.concatenate([perplexity.grams(perplexity.fold(t)) for t in [rows[1][1], rows[405][1], texts[3]]]))
-    got = perplexity.surprise(spark.createDataFrame([("=en", int(g)) for g in asked], "lang string, gram int"), model).collect()
-    assert len(got) == len(asked)
-    for r in got:
-        g = tuple(r.gram // SYMBOLS ** k % SYMBOLS for k in range(ORDER - 1, -1, -1))
-        assert r.s == pytest.approx(-math.log(p(g)), rel=1e-5)
-    # a distribution: the symbols after any context sum to one
-    for context in [codes(texts[0])[5:8], codes(rows[405][1])[5:8]]:
-        assert sum(p((*context, w)) for w in range(SYMBOLS)) == pytest.approx(1)
-
-
 def test_judge(spark, corpus, monkeypatch):
     rows, trusted = corpus
     monkeypatch.setattr(perplexity, "LEAST", 2000)
@@ -104,22 +38,6 @@ def test_judge(spark, corpus, monkeypatch):
     assert out.columns == docs.columns and out.count() == 405 - 0 - 1
 
 
-def test_parts_sum_to_the_whole(spark, corpus, monkeypatch):
-    rows, _ = corpus
-    texts = [r[1] for r in rows[:20]] + [" ".join(r[1] for r in rows[:100])]
-    model = perplexity.fit(spark.createDataFrame([("=en", t) for t in texts[:10]], "lang string, text string"))
-    docs = spark.createDataFrame([(i, i, "=en", t) for i, t in enumerate(texts)], "id long, mark long, lang string, text string")
-    whole = {r.id: (r.surprise, r.n) for r in perplexity.score(docs, model, 1000).collect()}
-    p = plain_model(texts[:10])
-    s = codes(texts[-1])
-    assert whole[20][0] == pytest.approx(sum(-math.log(p(tuple(s[i:i + ORDER]))) for i in range(len(s) - ORDER + 1)), rel=1e-5)
-    assert whole[20][1] == len(texts[-1]) + 1
-    # the closure of a worker cannot see a patched constant; the cut itself is plain
-    symbols = perplexity.fold(texts[-1])
-    cut = [perplexity.grams(symbols[a:a + 50 + ORDER - 1]) for a in range(0, len(symbols) - ORDER + 1, 50)]
-    assert np.concatenate(cut).tolist() == perplexity.grams(symbols).tolist()
-
-
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert perplexity.judge(spark.createDataFrame([], SCHEMA), none).collect() == []
@@ -127,10 +45,6 @@ def test_empty(spark):
     assert {r.id: r.kept for r in got} == {1: True, 2: False}
 
 
-def test_fold():
-    assert perplexity.fold("aZ é\U0001f600\ud800").tolist() == [0, 0, 0, 2, 28, 1, 39 + "àáâäçèéêëìíîïñòóôöùúûüß".index("é"), 62, 62, 0]
-
-
 def test_sift(spark):
     rows = spark.range(5000).selectExpr("id", "cast(id as string) AS text")
     ids = spark.range(0, 9000, 7)

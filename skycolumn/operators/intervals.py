@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skycolumn.operators.asof import on_times
 from skycolumn.operators.ordered import (
-    BUCKET, HOUR, MINUTE, add_groups, add_neighbours, add_running, bucket_width, edges_of, enter, halo, in_bucket,
-    join_summary, owned)
+    BUCKET, HOUR, MINUTE, add_groups, add_neighbours, add_running, attach_row, bucket_width, edges_of, enter, floor_div, halo, in_bucket,
+    join_summary, owned, scan_summary)
 
 
 # ---- runs --------------------------------------------------------------------------------------
@@ -98,13 +98,11 @@ def add_merge_group(intervals: DataFrame, keys: Sequence[str], start: str, end:
     up = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_fresh", F.when(reach.isNull() | (F.col(start) - reach > gap), F.col(start)))
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     edge = edges_of(rows, keys, [F.max(end).alias("_far"), F.max("_fresh").alias("_last")])
-    edge = edge.withColumn("_reach", F.max("_far").over(earlier))
+    edge = scan_summary(edge, keys, {"_reach": ("max", F.col("_far"))})
     stands = F.col("_reach").isNull() | (F.col("_last") - F.col("_reach") > gap)
-    edge = edge.withColumn("_open", F.when(stands, F.col("_last")))
-    edge = edge.select(*keys, BUCKET, "_reach", F.last("_open", True).over(earlier).alias("_in"))
+    edge = scan_summary(edge.select(*keys, BUCKET, "_reach", F.when(stands, F.col("_last")).alias("_open")), keys, {"_in": ("last", F.col("_open"))})
+    edge = edge.select(*keys, BUCKET, "_reach", "_in")
     out = join_summary(rows, edge, keys)
     real = F.when(F.col("_reach").isNull() | (F.col("_fresh") - F.col("_reach") > gap), F.col("_fresh"))
     out = out.withColumn("group", F.coalesce(F.last(real, True).over(up), F.col("_in")))
@@ -139,17 +137,63 @@ def interval_flag(points: DataFrame, intervals: DataFrame, t: str, keys: Sequenc
 intervals_to_mask = interval_flag
 
 
+def _level(length: Column, width: int) -> Column:
+    """Smallest level whose slots, ``width`` times a power of two, are as long as the interval, give or take a rounding."""
+    return F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1)).cast("double") / width)), F.lit(0)).cast("int")
+
+
+def _slot(value: Column, level: Column, width: int) -> Column:
+    return floor_div(value, F.call_function("shiftleft", F.lit(width).cast("long"), level))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, t: str, keys: Sequence[str], width: int) -> DataFrame:
-    """Every (point, interval) pair with start <= t <= end, by equality on time slots of ``width``.
+    """Every (point, interval) pair with start <= t <= end, by equality on slots of ``width`` times powers of two.
 
-    Intervals are copied into the slots they touch, points stay where they are; a hot slot is split
-    by the skew join.
+    An interval goes to the level whose slots are just longer than it is, where it touches two (three after a rounding), however long it
+    is. A point asks for its slot on each level that any interval uses, at most 64 and few in practice; a
+    slot's candidates are at most four interval lengths away. A hot slot is split by the skew join.
     """
-    slot = lambda c: F.floor(F.col(c) / width)
-    right = intervals.withColumn("_slot", F.explode(F.sequence(slot("start"), slot("end"))))
-    left = points.withColumn("_slot", slot(t))
+    length = F.col("end") - F.col("start") + 1
+    right = intervals.filter(F.col("start") <= F.col("end")).withColumn("_level", _level(length, width))
+    used = right.agg(F.array_sort(F.collect_set("_level")).alias("_levels"))
+    slots = F.sequence(_slot(F.col("start"), F.col("_level"), width), _slot(F.col("end"), F.col("_level"), width))
+    right = right.withColumn("_slot", F.explode(slots))
+    left = attach_row(points, used).withColumn("_level", F.explode("_levels")).drop("_levels")
+    left = left.withColumn("_slot", _slot(F.col(t), F.col("_level"), width))
     inside = F.col(t).between(F.col("start"), F.col("end"))
-    return left.join(right, [*keys, "_slot"]).filter(inside).drop("_slot")
+    return left.join(right, [*keys, "_level", "_slot"]).filter(inside).drop("_level", "_slot")
+
+
+# how an interval set takes part in a sweep: the wanted combination of "inside the first" and "inside the second"
+_ALGEBRA = {
+    "union": lambda a, b: a | b,
+    "intersection": lambda a, b: a & b,
+    "difference": lambda a, b: a & ~b,
+}
+
+
+def combine_intervals(first: DataFrame, second: DataFrame, keys: Sequence[str], how: str, bucket: int | None = None) -> DataFrame:
+    """``union``, ``intersection`` or ``difference`` of two sets of half-open intervals [start, end) as disjoint intervals.
+
+    One sweep: each interval is a step up and a step down of its set's depth; steps at one time are summed, the depths are running
+    sums over the times, and stretches on which the wanted combination holds are the result. Overlaps within a set count once.
+    """
+    def steps(df: DataFrame, a: int, b: int) -> DataFrame:
+        ends = F.array(F.struct(F.col("start").alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct(F.col("end").alias("t"), F.lit(-a).alias("a"), F.lit(-b).alias("b")))
+        return df.filter(F.col("start") < F.col("end")).select(*keys, F.explode(ends).alias("_s")).select(*keys, "_s.t", "_s.a", "_s.b")
+
+    times = steps(first, 1, 0).unionByName(steps(second, 0, 1)).groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    depths = add_running(times, keys, "t", {"_a": ("sum", F.col("a")), "_b": ("sum", F.col("b"))}, bucket)
+    state = depths.select(*keys, "t", _ALGEBRA[how](F.col("_a") > 0, F.col("_b") > 0).alias("_on"))
+    # A stretch ends where the next one, of the other state, begins.
+    changes = add_neighbours(state, keys, "t", prev=["_on"], bucket=bucket).filter(~F.col("_on").eqNullSafe(F.coalesce("prev__on", F.lit(False)))).select(*keys, "t", "_on")
+    return (add_neighbours(changes.withColumn("_at", F.col("t")), keys, "t", next=["_at"], bucket=bucket).filter("_on")
+            .select(*keys, F.col("t").alias("start"), F.col("next__at").alias("end")))
+
+
+def complement(intervals: DataFrame, spans: DataFrame, keys: Sequence[str], bucket: int | None = None) -> DataFrame:
+    """What the intervals leave of each key's span (keys, start, end)."""
+    return combine_intervals(spans, intervals, keys, "difference", bucket)
 
 
 def outside_outages(points: DataFrame, outages: DataFrame, t: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -216,11 +260,11 @@ def precip_type(temp: Column, melt: Column, temp_limit: float, melt_limit: float
 
 def hourly_events(events: DataFrame, keys: Sequence[str], code: str, step: int = HOUR) -> DataFrame:
     """0 or the code of the last event per hour; an event fills the hour starts from ceil(start) to ceil(end)."""
+    from skycolumn.operators.regrid import make_time_grid
     up = lambda c: (F.ceil(F.col(c) / step) * step).cast("long")
-    filled = (events.withColumn("t", F.explode(F.sequence(up("start"), up("end"), F.lit(step))))
-              .groupBy(*keys, "t").agg(F.max_by(code, "start").alias(code)))
-    grid = (events.groupBy(*keys).agg(F.min(up("start")).alias("_a"), F.max(up("end")).alias("_b"))
-            .select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step))).alias("t")))
+    spans = events.select(*keys, code, F.col("start").alias("_start"), up("start").alias("_a"), up("end").alias("_b"))
+    filled = make_time_grid(spans, "t", "_a", "_b", step).groupBy(*keys, "t").agg(F.max_by(code, "_start").alias(code))
+    grid = make_time_grid(spans.groupBy(*keys).agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")), "t", "_a", "_b", step)
     return grid.join(filled, [*keys, "t"], "left").fillna(0, [code])
 
 
@@ -270,3 +314,34 @@ def availability_bars(cells: DataFrame, keys: Sequence[str], t: str, valid: Colu
     near = lambda prev, row: row("_at") - prev("_at") <= max(gap, step)
     return (add_groups(times, keys, t, near, bucket=bucket).groupBy(*keys, "run")
             .agg(F.max(t).alias("end")).withColumnRenamed("run", "start").select(*keys, "start", "end"))
+
+
+def mask_bars(times: DataFrame, keys: Sequence[str], t: str, mask: Column, gap: int, bucket: int | None = None) -> DataFrame:
+    """Runs of samples on which ``mask`` is True, close ones merged; a sample without the mask ends a run."""
+    flagged = times.select(*keys, t, F.coalesce(mask, F.lit(False)).alias("_on"))
+    found = mask_to_intervals(flagged, keys, t, "_on", bucket=bucket)
+    return merge_close(found, keys, gap, bucket=bucket)
+
+
+def ratio_outside(cells: DataFrame, keys: Sequence[str], t: str, valid: Column, ratio: str, constant: tuple[float, float], gap: int,
+                  spreads: float = 2.0, bucket: int | None = None) -> DataFrame:
+    """Bars of times with any valid gate whose ratio lies outside the calibration constant (mean, spread) by more than ``spreads`` spreads."""
+    mean, spread = constant
+    times = cells.groupBy(*keys, t).agg(F.bool_or(F.coalesce(valid, F.lit(False))).alias("_any"), F.max(ratio).alias("_ratio"))
+    outside = (F.col("_ratio") < mean - spreads * spread) | (F.col("_ratio") > mean + spreads * spread)
+    return mask_bars(times, keys, t, F.col("_any") & outside, gap, bucket)
+
+
+def listed_bars(times: DataFrame, listed: DataFrame, keys: Sequence[str], t: str, gap: int, bucket: int | None = None) -> DataFrame:
+    """Listed periods (ends included) as bars of the samples they hold, close ones merged."""
+    flagged = interval_flag(times, listed, t, keys, "_listed", bucket)
+    return mask_bars(flagged, keys, t, F.col("_listed"), gap, bucket)
+
+
+def weekly_bars(bars: DataFrame, keys: Sequence[str], week: int, origin: int = 0) -> DataFrame:
+    """Bars cut at the ends of weeks counted from ``origin``: (keys, week, start, end), both ends included."""
+    from skycolumn.operators.regrid import make_time_grid
+    first = floor_div(F.col("start") - origin, week) * week + origin
+    spans = bars.select(*keys, "start", "end", first.alias("_a"), F.col("end").alias("_b"))
+    cut = make_time_grid(spans, "week", "_a", "_b", week)
+    return cut.select(*keys, "week", F.greatest("start", "week").alias("start"), F.least(F.col("end"), F.col("week") + week - 1).alias("end"))

@@ -2,7 +2,9 @@
 
 A window partitioned by the instrument alone puts a whole campaign into one task. Every operator
 here cuts the series into time buckets instead, and carries what crosses a bucket edge through a
-summary that has one row per bucket:
+summary that has one row per bucket. A bucket is as wide as ``ROWS_PER_BUCKET`` allows, so a key has few of them; where a
+series has no keys to spread by, its summary is cut once more (``scan_summary``), so that no task holds more of its rows than
+``BUCKETS_PER_GROUP``, or one row per group of that many:
 
 * ``add_neighbours``   previous / next row (lag and lead)
 * ``add_carried``      last / next non-null value (forward and backward fill)
@@ -29,7 +31,10 @@ HOUR = 3600 * SECOND
 DAY = 24 * HOUR
 
 BUCKET = "_bucket"
+GROUP = "_bucket_group"
 OWN = "_own"
+# Rows of a summary that one task scans; a second level has one row for each such group.
+BUCKETS_PER_GROUP = 4096
 ROWS_PER_BUCKET = 2_000_000
 _WIDTHS = (30 * DAY, 7 * DAY, DAY, 6 * HOUR, HOUR, 10 * MINUTE, MINUTE, 10 * SECOND, SECOND)
 
@@ -101,9 +106,45 @@ def in_bucket(keys: Sequence[str], order: str, descending: bool = False):
     return Window.partitionBy(*keys, BUCKET).orderBy(by)
 
 
-def _summary_window(keys: Sequence[str], descending: bool = False):
-    by = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
-    return Window.partitionBy(*keys).orderBy(by)
+# how a fold combines within a level, and a level with what came before it
+_FOLDS = {
+    "last": (None, F.coalesce),
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "max": (F.max, F.greatest),
+    "min": (F.min, F.least),
+}
+
+
+def scan_summary(edge: DataFrame, keys: Sequence[str], folds: Mapping[str, tuple[str, Column]], descending: bool = False) -> DataFrame:
+    """Adds, per summary row, the fold of a column over all rows of its key before it (after it, if ``descending``): {name: (fold, column)}.
+
+    ``last`` is the nearest value that is not NULL, ``row`` the value of the adjacent row, NULL or not. With keys, each key's summary is one
+    window. Without, there are two levels: inside groups of buckets, and over one row per group; both come from one exchange.
+    """
+    if keys:
+        whole = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET).asc())
+        before = whole.rowsBetween(Window.unboundedPreceding, -1)
+        over = {"row": lambda c: F.lag(c).over(whole), "last": lambda c: F.last(c, True).over(before), **{how: (lambda c, f=f: f(c).over(before)) for how, (f, _) in _FOLDS.items() if f}}
+        return edge.withColumns({n: over[how](c) for n, (how, c) in folds.items()})
+    rows = edge.withColumns({f"_in_{n}": F.struct(c.alias("v")) if how == "row" else c for n, (how, c) in folds.items()})
+    rows = rows.withColumn(GROUP, floor_div(F.col(BUCKET), BUCKETS_PER_GROUP)).repartition(*keys, GROUP)
+    kinds = {n: "last" if how == "row" else how for n, (how, _) in folds.items()}
+
+    def window(by: Sequence[str], order: str):
+        return Window.partitionBy(*by).orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def folded(how: str, column: str, w) -> Column:
+        return F.last(column, True).over(w) if how == "last" else _FOLDS[how][0](column).over(w)
+
+    nearest = F.min_by if descending else F.max_by
+    aggs = [nearest(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.col(BUCKET))).alias(f"_in_{n}") if how == "last" else _FOLDS[how][0](f"_in_{n}").alias(f"_in_{n}")
+            for n, how in kinds.items()]
+    groups = edges_of(rows, keys, aggs, GROUP).select(*keys, GROUP, *[folded(how, f"_in_{n}", window(keys, GROUP)).alias(f"_top_{n}") for n, how in kinds.items()])
+    inside = window([*keys, GROUP], BUCKET)
+    out = rows.withColumns({f"_low_{n}": folded(how, f"_in_{n}", inside) for n, how in kinds.items()}).join(groups, [*keys, GROUP], "left")
+    joined = {n: _FOLDS[kinds[n]][1](F.col(f"_low_{n}"), F.col(f"_top_{n}")) for n in folds}
+    cols = [F.col(c) for c in edge.columns] + [(joined[n].getField("v") if how == "row" else joined[n]).alias(n) for n, (how, _) in folds.items()]
+    return out.select(*cols)
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -135,17 +176,23 @@ def enter(df: DataFrame, keys: Sequence[str], order: str, bucket: int | None) ->
     return rows.repartition(*keys, BUCKET), False
 
 
-def edges_of(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
-    """One summary row per bucket.
+def edges_of(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], by: str = BUCKET) -> DataFrame:
+    """One summary row per bucket (or group of buckets).
 
     The summary and the rows it is joined back to come from the same exchange, read once from the source, if
     both ask it for the same columns; the digest of all columns, which is never NULL, sees to that.
     """
-    rest = [c for c in rows.columns if c not in keys and c != BUCKET]
-    return (rows.groupBy(*keys, BUCKET).agg(*aggs, F.bit_xor(F.xxhash64(*rest)).alias("_all"))
+    rest = [c for c in rows.columns if c not in keys and c != by]
+    return (rows.groupBy(*keys, by).agg(*aggs, F.bit_xor(F.xxhash64(*rest)).alias("_all"))
             .filter(F.col("_all").isNotNull()).drop("_all"))
 
 
+def _both_ways(edge: DataFrame, keys: Sequence[str], before: Mapping[str, tuple[str, Column]], after: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    out = scan_summary(edge, keys, before) if before else edge
+    out = scan_summary(out, keys, after, True) if after else out
+    return out.select(*keys, BUCKET, *before, *after)
+
+
 def _leave(df: DataFrame, kept: bool, drop: Sequence[str]) -> DataFrame:
     return df.drop(*drop) if kept else df.drop(BUCKET, *drop)
 
@@ -156,11 +203,8 @@ def add_neighbours(df: DataFrame, keys: Sequence[str], order: str, prev: Sequenc
     rows, kept = enter(df, keys, order, bucket)
     aggs = [F.max_by(c, order).alias(f"_l_{c}") for c in prev]
     aggs += [F.min_by(c, order).alias(f"_f_{c}") for c in next]
-    across = _summary_window(keys)
-    edge = edges_of(rows, keys, aggs).select(
-        *keys, BUCKET,
-        *[F.lag(f"_l_{c}").over(across).alias(f"_pv_{c}") for c in prev],
-        *[F.lead(f"_f_{c}").over(across).alias(f"_nx_{c}") for c in next])
+    edge = _both_ways(edges_of(rows, keys, aggs), keys, {f"_pv_{c}": ("row", F.col(f"_l_{c}")) for c in prev},
+                      {f"_nx_{c}": ("row", F.col(f"_f_{c}")) for c in next})
     inside = in_bucket(keys, order)
     out = join_summary(rows, edge, keys)
     first = F.lag(F.lit(True)).over(inside).isNull()
@@ -178,12 +222,8 @@ def add_carried(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[st
     known = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
     aggs = [F.max_by(c, known(c)).alias(f"_l_{n}") for n, c in last.items()]
     aggs += [F.min_by(c, known(c)).alias(f"_f_{n}") for n, c in next.items()]
-    before = _summary_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    after = _summary_window(keys, True).rowsBetween(Window.unboundedPreceding, -1)
-    edge = edges_of(rows, keys, aggs).select(
-        *keys, BUCKET,
-        *[F.last(f"_l_{n}", True).over(before).alias(f"_pv_{n}") for n in last],
-        *[F.last(f"_f_{n}", True).over(after).alias(f"_nx_{n}") for n in next])
+    edge = _both_ways(edges_of(rows, keys, aggs), keys, {f"_pv_{n}": ("last", F.col(f"_l_{n}")) for n in last},
+                      {f"_nx_{n}": ("last", F.col(f"_f_{n}")) for n in next})
     out = join_summary(rows, edge, keys)
     up = in_bucket(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     down = in_bucket(keys, order, True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -192,26 +232,18 @@ def add_carried(df: DataFrame, keys: Sequence[str], order: str, last: Mapping[st
     return _leave(out.withColumns(cols), kept, [f"_pv_{n}" for n in last] + [f"_nx_{n}" for n in next])
 
 
-_COMBINE = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
-    "max": (F.max, F.greatest),
-    "min": (F.min, F.least),
-}
-
-
 def add_running(df: DataFrame, keys: Sequence[str], order: str, running: Mapping[str, tuple[str, Column]],
                 bucket: int | None = None, descending: bool = False) -> DataFrame:
     """Cumulative {new column: ("sum" | "max" | "min", operand)} over (keys, order), inclusive."""
     rows, kept = enter(df.withColumns({f"_x_{n}": c for n, (_, c) in running.items()}), keys, order, bucket)
-    before = _summary_window(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
     inside = in_bucket(keys, order, descending).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    aggs, bases, cols = [], [], {}
+    aggs, cols = [], {}
     for n, (how, _) in running.items():
-        fold, join = _COMBINE[how]
+        fold, join = _FOLDS[how]
         aggs.append(fold(f"_x_{n}").alias(f"_s_{n}"))
-        bases.append(fold(f"_s_{n}").over(before).alias(f"_b_{n}"))
         cols[n] = join(F.col(f"_b_{n}"), fold(f"_x_{n}").over(inside))
-    edge = edges_of(rows, keys, aggs).select(*keys, BUCKET, *bases)
+    edge = scan_summary(edges_of(rows, keys, aggs), keys, {f"_b_{n}": (how, F.col(f"_s_{n}")) for n, (how, _) in running.items()}, descending)
+    edge = edge.select(*keys, BUCKET, *[f"_b_{n}" for n in running])
     out = join_summary(rows, edge, keys).withColumns(cols)
     return _leave(out, kept, [f"_b_{n}" for n in running] + [f"_x_{n}" for n in running])
 
@@ -237,13 +269,11 @@ def add_groups(df: DataFrame, keys: Sequence[str], order: str, joined, prev: Seq
     edge = edges_of(rows, keys, [
         F.min("_at").alias("_a"), F.max("_at").alias("_z"), F.max(start).alias("_s"), F.count_if("_cut").alias("_cuts"),
         *[F.min_by(c, "_at").alias(f"_f_{c}") for c in needed], *[F.max_by(c, "_at").alias(f"_l_{c}") for c in needed]])
-    across = _summary_window(keys)
-    link = F.coalesce(joined(lambda c: F.lag(f"_l_{c}").over(across), lambda c: F.col(f"_f_{c}")), F.lit(False))
-    edge = edge.withColumn("_link", link)
-    opened = F.when(~F.col("_link") | (F.col("_cuts") > 1), F.col("_s"))
-    edge = edge.withColumn("_open", F.last(opened, True).over(across.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("_in", F.when(F.col("_link"), F.lag("_open").over(across)))
-    edge = edge.select(*keys, BUCKET, "_a", "_in")
+    edge = scan_summary(edge, keys, {f"_b_{c}": ("row", F.col(f"_l_{c}")) for c in needed})
+    link = F.coalesce(joined(lambda c: F.col(f"_b_{c}"), lambda c: F.col(f"_f_{c}")), F.lit(False))
+    edge = edge.select(*keys, BUCKET, "_a", link.alias("_link"), F.when(~link | (F.col("_cuts") > 1), F.col("_s")).alias("_opened"))
+    edge = scan_summary(edge, keys, {"_open": ("last", F.col("_opened"))})
+    edge = edge.select(*keys, BUCKET, "_a", F.when(F.col("_link"), F.col("_open")).alias("_in"))
     out = join_summary(rows, edge, keys)
     out = out.withColumn(start, F.when((F.col(start) == F.col("_a")) & F.col("_in").isNotNull(), F.col("_in"))
                          .otherwise(F.col(start)))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skycolumn.functions.scalar import cloud_type, iso0_zone
-from skycolumn.operators.joins import band_self_join
-from skycolumn.operators.ordered import attach_row, join_on
+from skycolumn.operators.ordered import attach_row, floor_div, join_on
 from skycolumn.session import cut_lineage
 
 # name -> aggregate; users add their own entries. "std" is the population form.
@@ -288,6 +289,28 @@ def hex_grid_size(df: DataFrame, keys: Sequence[str], x: str, y: str, **how) ->
     return both.select(*keys, F.greatest(F.lit(10), size).cast("int").alias("gridsize"))
 
 
+def hex_bins(df: DataFrame, keys: Sequence[str], x: str, y: str, across: int) -> DataFrame:
+    """Density on a lattice of hexagons: per key the hexagons with points, their centre and count.
+
+    The lattice is two rectangular ones, ``across`` cells wide and sqrt(3) times fewer high, the second moved by half a cell both ways; a
+    point belongs to the nearer of its two candidate centres (heights count threefold squared, which makes the cells hexagons).
+    Edges are the key's extremes; an axis without extent has one cell.
+    """
+    high = max(1, int(across / 3**0.5))
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ends = rows.groupBy(*keys).agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"))
+    scaled = lambda v, a, b, n: F.when(F.col(a) == F.col(b), F.lit(0.0)).otherwise((F.col(v) - F.col(a)) / (F.col(b) - F.col(a)) * n)
+    placed = join_on(rows, ends, keys).withColumns({"_u": scaled("_x", "_x0", "_x1", float(across)), "_w": scaled("_y", "_y0", "_y1", float(high))})
+    u, w = F.col("_u"), F.col("_w")
+    whole = F.struct(F.floor(u + 0.5).cast("double").alias("i"), F.floor(w + 0.5).cast("double").alias("j"))
+    half = F.struct((F.floor(u) + 0.5).cast("double").alias("i"), (F.floor(w) + 0.5).cast("double").alias("j"))
+    far = lambda c: (u - c["i"]) * (u - c["i"]) + 3 * ((w - c["j"]) * (w - c["j"]))
+    cell = F.when(far(whole) < far(half), whole).otherwise(half).alias("_c")
+    counts = placed.select(*keys, "_x0", "_x1", "_y0", "_y1", cell).groupBy(*keys, "_c", "_x0", "_x1", "_y0", "_y1").agg(F.count(F.lit(1)).alias("n"))
+    back = lambda c, a, b, n: F.col(a) + F.col(c) / n * (F.col(b) - F.col(a))
+    return counts.select(*keys, back("_c.i", "_x0", "_x1", float(across)).alias("x"), back("_c.j", "_y0", "_y1", float(high)).alias("y"), "n")
+
+
 def binned_profile(df: DataFrame, keys: Sequence[str], height: str, value: str, width: float = 100.0,
                    lo: float = -500.0, hi: float = 4900.0, more_than: int = 10) -> DataFrame:
     """Mean per height bin [lo, hi) with more than ``more_than`` samples."""
@@ -377,23 +400,58 @@ def sounding_bias(a: DataFrame, b: DataFrame, sounding: str, altitude: str, valu
 
 
 # ---- variogram ------------------------------------------------------------------------------
-def variogram(df: DataFrame, keys: Sequence[str], t: str, value: str, bins: int, maxlag: int) -> DataFrame:
+# steps of the resolution in one block of the lag sums, or the largest lag if that is more
+LAG_BLOCK = 2048
+MOST_LAGS = 1 << 15
+
+
+def lag_sums(points: DataFrame, keys: Sequence[str], t: str, maxlag: int) -> DataFrame:
+    """(keys, lag, d, m) for 0 < lag <= ``maxlag``: over all pairs of rows of a key that far apart, the sum of squared differences and the
+    number of pairs.
+
+    ``points`` has one row per (key, t) with the moments n, s, q (count, sum, sum of squares) of the rows at t, a whole number of steps. No pair is
+    made: the axis is cut into blocks, each with the ``maxlag`` steps after it, and the sums of a lag are products of
+    the moments shifted against each other, lag by lag on dense arrays. What leaves a block is one row per lag.
+    """
+    if maxlag > MOST_LAGS:
+        raise ValueError(f"{maxlag} lags of one step: take a resolution that makes at most {MOST_LAGS}")
+    block = max(LAG_BLOCK, maxlag)
+    own = floor_div(F.col(t), block)
+    rows = points.select(*keys, F.col(t).alias("_t"), "n", "s", "q", F.explode(F.when(F.pmod(F.col(t), F.lit(block)) < maxlag, F.array(own, own - 1)).otherwise(F.array(own))).alias("_b"))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = group[keys].iloc[:1]
+        place = (group["_t"] - group["_b"] * block).to_numpy()
+        n, s, q = np.zeros((3, block + maxlag))
+        n[place], s[place], q[place] = group["n"], group["s"], group["q"]
+        lags = np.arange(1, maxlag + 1)
+        a, sa, qa = n[:block], s[:block], q[:block]
+        m = np.array([a @ n[k:block + k] for k in lags])
+        d = np.array([a @ q[k:block + k] + qa @ n[k:block + k] - 2 * (sa @ s[k:block + k]) for k in lags])
+        some = m > 0
+        out = pd.DataFrame({"lag": lags[some], "d": d[some], "m": m[some].astype(np.int64)})
+        return first.merge(out, how="cross") if keys else out
+
+    keys = list(keys)
+    layout = ", ".join([f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys] + ["lag long", "d double", "m long"])
+    parts = rows.groupBy(*keys, "_b").applyInPandas(lambda group: run(group)[[*keys, "lag", "d", "m"]], layout)
+    return parts.groupBy(*keys, "lag").agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
+
+
+def variogram(df: DataFrame, keys: Sequence[str], t: str, value: str, bins: int, maxlag: int, resolution: int = 1) -> DataFrame:
     """Half the mean squared difference per lag bin [b, b+1), the mean lag and the pair count.
 
-    Rows at the same time are first reduced to (n, sum, sum of squares): a pair of times then stands
-    for all pairs of their rows, however many there are. Values are centred per key first, so that the
-    sums do not cancel. Bins run over the observed lags and leave the largest one out; a key with a
-    single lag has one bin.
+    Lags are counted in steps of ``resolution`` and are exact where the times are multiples of it; rows within one step are
+    no pair. Rows of a step are first reduced to (n, sum, sum of squares): a pair of steps then stands for all pairs of
+    their rows, however many there are. Values are centred per key first, so that the sums do not cancel. Bins run over the
+    observed lags and leave the largest one out; a key with a single lag has one bin.
     """
     known = df.filter(F.col(value).isNotNull())
     middle = known.groupBy(*keys).agg(F.avg(value).alias("_m"))
     x = F.col(value) - F.col("_m")
-    points = join_on(known, middle, keys).groupBy(*keys, t).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    pairs = band_self_join(points, keys, t, maxlag, ["n", "s", "q"])
-    lag = (F.col("t2") - F.col(t)).cast("double")
-    squares = F.col("n2") * F.col("q") + F.col("n") * F.col("q2") - 2 * F.col("s") * F.col("s2")
-    # one row per lag before the extremes are known: the pairs are made once
-    by_lag = pairs.groupBy(*keys, lag.alias("lag")).agg(F.sum(squares).alias("d"), F.sum(F.col("n") * F.col("n2")).alias("m"))
+    step = F.floor(F.col(t) / resolution).cast("long").alias(t)
+    points = join_on(known, middle, keys).groupBy(*keys, step).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    by_lag = lag_sums(points, keys, t, maxlag // resolution).withColumn("lag", (F.col("lag") * resolution).cast("double"))
     ends = by_lag.groupBy(*keys).agg(F.min("lag").alias("_a"), F.max("lag").alias("_b"))
     placed = join_on(by_lag, ends, keys).withColumn("bin", F.coalesce(F.floor(F.try_divide(F.col("lag") - F.col("_a"), (F.col("_b") - F.col("_a")) / bins)), F.lit(0)).cast("int"))
     return placed.filter(F.col("bin") < bins).groupBy(*keys, "bin").agg(

@@ -240,6 +240,18 @@ def hypsometric(levels: DataFrame, column: Sequence[str], level: str, temperatur
     return rows.withColumn(name, F.sum("_part").over(up) / gravity).drop("_part")
 
 
+def hybrid_pressure(levels: DataFrame, coefficients: DataFrame, surface: DataFrame, t: str, level: str, p0: float, keys: Sequence[str] = (),
+                    tolerance: int | None = None) -> DataFrame:
+    """Adds ``p`` = a * p0 + b * ps on hybrid levels: ``coefficients`` (level, a, b), ``surface`` (keys, t, ps) aligned by the nearest time.
+
+    The surface pressure is looked up once per time, not once per level. Levels without coefficients or surface pressure have no pressure.
+    """
+    from skycolumn.operators.asof import asof_nearest
+    times = asof_nearest(levels.select(*keys, t).distinct(), surface, t, keys, ["ps"], tolerance)
+    known = levels.join(times.select(*keys, t, "ps"), [*keys, t], "left").join(coefficients.select(level, "a", "b"), level, "left")
+    return known.withColumn("p", F.col("a") * p0 + F.col("b") * F.col("ps")).drop("a", "b")
+
+
 # ---- time series -----------------------------------------------------------------------------
 def count_within(times: DataFrame, keys: Sequence[str], t: str, windows: Mapping[str, int],
                  bucket: int | None = None) -> DataFrame:

@@ -195,6 +195,78 @@ def _(t):
     return I.availability_bars(cells, ["key"], "t", F.col("z") > -40, SLOT, 2 * SLOT)
 
 
+BARS = """
+c AS (SELECT *, lag(t) OVER (PARTITION BY key ORDER BY t) AS pt FROM f WHERE flag),
+g AS (SELECT *, sum(CASE WHEN pt IS NULL OR t - pt > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY t) AS id FROM c),
+b AS (SELECT key, min(t) AS s, max(t) AS e FROM g GROUP BY key, id)"""
+
+
+@query("availability_ratio", "I11", sql("grid_cells", """
+, f AS (SELECT radar AS key, t, bool_or(coalesce(z > -40, false)) AND coalesce(max(vel) < 3.35 - 2 * 0.91 OR max(vel) > 3.35 + 2 * 0.91, false) AS flag FROM grid_cells GROUP BY 1, 2),""" + BARS + """
+SELECT key, s AS start, e AS "end" FROM b"""))
+def _(t):
+    """Times with echo whose ratio lies outside the calibration constant by more than two spreads."""
+    from skycolumn.specs import CALIBRATION_DB
+    cells = t.grid_cells().withColumnRenamed("radar", "key")
+    return I.ratio_outside(cells, ["key"], "t", F.col("z") > -40, "vel", CALIBRATION_DB["W"], 2 * SLOT)
+
+
+@query("availability_lost", "I11 I3", sql("series grid_cells", MERGE.format(gap=0) + """,
+x AS (SELECT DISTINCT radar AS key, t FROM grid_cells),
+f AS (SELECT x.key, x.t, coalesce(x.t <= m.e, false) AS flag FROM x ASOF LEFT JOIN m ON x.key = m.key AND x.t >= m.s),""" + BARS + """
+SELECT key, s AS start, e AS "end" FROM b"""))
+def _(t):
+    """Listed periods as bars of the samples that lie in them."""
+    times = t.grid_cells().select(F.col("radar").alias("key"), "t").distinct()
+    return I.listed_bars(times, event_intervals(t), ["key"], "t", 2 * SLOT)
+
+
+WEEK = 7 * DAY
+
+
+@query("weekly_type_bars", "I11 F13", sql("grid_cells", """
+, tp AS (SELECT radar, t, max(range) FILTER (WHERE z > -45) AS top FROM grid_cells GROUP BY 1, 2),
+f AS (SELECT radar || '/' || kind AS key, t, coalesce(CASE WHEN top < 500 THEN 'orographic' ELSE 'frontal' END = kind AND top IS NOT NULL, false) AS flag
+      FROM tp, (SELECT unnest(['orographic', 'frontal']) AS kind)),""" + BARS + f""",
+w AS (SELECT key, s, e, unnest(generate_series(s // {WEEK}, e // {WEEK})) * {WEEK} AS week FROM b)
+SELECT split_part(key, '/', 1) AS key, split_part(key, '/', 2) AS kind, week, greatest(s, week) AS start, least(e, week + {WEEK} - 1) AS "end" FROM w"""))
+def _(t):
+    """Per cloud type the bars of its times, cut at the ends of weeks."""
+    from skycolumn.functions.scalar import cloud_type
+    tops = t.grid_cells().groupBy(F.col("radar").alias("key"), "t").agg(F.max(F.when(F.col("z") > -45, F.col("range"))).alias("top"))
+    typed = tops.withColumn("_type", F.when(F.col("top").isNotNull(), cloud_type(F.col("top"), 500.0)))
+    flags = typed.withColumn("kind", F.explode(F.array(F.lit("orographic"), F.lit("frontal"))))
+    bars = I.mask_bars(flags, ["key", "kind"], "t", F.col("_type") == F.col("kind"), 2 * SLOT)
+    return I.weekly_bars(bars, ["key", "kind"], WEEK)
+
+
+@query("interval_algebra", "I2 I3 I11", sql("series", """
+, a AS (SELECT event_type AS key, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 10000000) AS BIGINT) AS e FROM events),
+b AS (SELECT event_type AS key, epoch_us(ts) - 1800000000 AS s, epoch_us(ts) + 1800000000 AS e FROM events WHERE value > 150),
+d AS (SELECT key, min(s) // 86400000000 * 86400000000 AS s, max(e) AS e FROM a GROUP BY 1),
+u AS (SELECT key, s AS t, 1 AS x, 0 AS y, 0 AS z FROM a WHERE s < e UNION ALL SELECT key, e, -1, 0, 0 FROM a WHERE s < e UNION ALL SELECT key, s, 0, 1, 0 FROM b
+      UNION ALL SELECT key, e, 0, -1, 0 FROM b UNION ALL SELECT key, s, 0, 0, 1 FROM d UNION ALL SELECT key, e, 0, 0, -1 FROM d),
+v AS (SELECT DISTINCT key, t, sum(x) OVER w > 0 AS ia, sum(y) OVER w > 0 AS ib, sum(z) OVER w > 0 AS id FROM u WINDOW w AS (PARTITION BY key ORDER BY t)),
+l AS (SELECT *, lead(t) OVER (PARTITION BY key ORDER BY t) - t AS len FROM v),
+k AS (SELECT key, unnest([{'how': 'union', 'ok': ia OR ib}, {'how': 'intersection', 'ok': ia AND ib}, {'how': 'difference', 'ok': ia AND NOT ib}, {'how': 'complement', 'ok': id AND NOT ia}]) AS h, t, len FROM l),
+c AS (SELECT key, h.how AS how, h.ok AS ok, t, len, lag(h.ok) OVER (PARTITION BY key, h.how ORDER BY t) AS p FROM k)
+SELECT key, how, count(*) FILTER (WHERE ok AND NOT coalesce(p, false)) AS n, CAST(coalesce(sum(len) FILTER (WHERE ok), 0) AS BIGINT) AS total FROM c GROUP BY 1, 2"""))
+def _(t):
+    """Number and total length of the stretches of each combination of two sets of intervals."""
+    first = event_intervals(t)
+    at = epoch_us(F.col("ts"))
+    second = t.events.filter("value > 150").select(F.col("event_type").alias("key"), (at - 30 * MINUTE).alias("start"), (at + 30 * MINUTE).alias("end"))
+    span = first.groupBy("key").agg((floor_div(F.min("start"), DAY) * DAY).alias("start"), F.max("end").alias("end"))
+    made = {how: I.combine_intervals(first, second, ["key"], how) for how in ("union", "intersection", "difference")} | {"complement": I.complement(first, span, ["key"])}
+    out = None
+    for how, found in made.items():
+        rows = found.select("key", F.lit(how).alias("how"), (F.col("end") - F.col("start")).alias("len"))
+        out = rows if out is None else out.unionByName(rows)
+    kinds = span.select("key", F.explode(F.array(*[F.lit(h) for h in made])).alias("how"))
+    sums = out.groupBy("key", "how").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
+    return kinds.join(sums, ["key", "how"], "left").fillna(0, ["n", "total"])
+
+
 @query("spectral_patches", "I12", sql("spectra", """
 , x AS (SELECT vec_id, vec_id % 10 AS scan, b, power[b] > 0.08 AS ok FROM spectra, (SELECT unnest(generate_series(1, 64)) AS b)),
 a AS (SELECT *, sum(ch) OVER (PARTITION BY vec_id ORDER BY b) AS id FROM

@@ -105,15 +105,16 @@ def _(t):
 
 
 @query("sounding_texts", "S5", sql("scans", """
-SELECT scan, gate AS line, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (scan % 28) * 86400000000 + gate * 60000000 AS t, CAST(1000 - gate AS DOUBLE) AS p, qty - 20 AS temp FROM scans"""))
+SELECT scan, gate AS line, epoch_us(TIMESTAMP '2024-01-01 00:00:00') + (scan % 28) * 86400000000 + gate * 60000000 AS t, CAST(1000 - gate AS DOUBLE) AS p, CASE WHEN disc = 0.1 THEN NULL ELSE qty - 20 END AS temp FROM scans"""))
 def _(t):
     """One text per scan is built from its rows and parsed back."""
     num = lambda c: F.format_string("%.2f", c.cast("double"))
+    # a line in ten has an empty field
     line = F.concat_ws("\t", F.format_string("%d.0", F.col("gate") * 60), F.format_string("00:%02d:00", F.col("gate")), num(1000.0 - F.col("gate")),
-                       num(F.col("qty") - 20), num(F.col("disc")), num(F.col("tax")), F.lit("0.0"), F.lit("22.0"), F.lit("38.0"), num(F.col("gate") * 100), F.lit("-5.0"))
+                       F.when(F.col("disc") == 0.1, "").otherwise(num(F.col("qty") - 20)), num(F.col("disc")), num(F.col("tax")), F.lit("0.0"), F.lit("22.0"), F.lit("38.0"), num(F.col("gate") * 100), F.lit("-5.0"))
     body = t.scans().groupBy("scan").agg(F.array_sort(F.collect_list(F.struct("gate", line.alias("l")))).alias("rows"))
-    text = F.concat(F.lit("Station: x\nBalloon 1.0\nProfile Data:\nTime\tUTC\tP\tT\tRH\tWs\tWd\tLon\tLat\tAlt\tTd\n"),
-                    F.array_join(F.transform("rows", lambda r: r["l"]), "\n"), F.lit("\nTropopauses\n1.0\t2.0\n"))
+    head = "Station: x\nBalloon 1.0\nProfile Data:\nTime\tUTC Time\tP\tT\tHu\tWs\tWd\tLong.\tLat.\tGeopot\tDewp.\n[s]\t[h]\t[hPa]\t[C]\t[%]\t[m/s]\t[deg]\t[deg]\t[deg]\t[m]\t[C]\n"
+    text = F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["l"]), "\n"), F.lit("\nTropopauses\n1.0\t2.0\n"))
     name = F.concat(F.lit("profile_"), F.format_string("202401%02d", (F.col("scan") % 28 + 1).cast("int")), F.lit("_"), F.col("scan").cast("string"), F.lit(".txt"))
     out = files.parse_soundings(body.select(text.alias("value"), name.alias("file")))
     return out.select(F.regexp_extract("file", r"_(\d+)\.txt", 1).cast("long").alias("scan"), F.floor(F.col("time_sec") / 60).cast("int").alias("line"),

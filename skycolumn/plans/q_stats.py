@@ -208,6 +208,36 @@ def _(t):
     return A.stratified_density(c, ["band"], "z", "vel", 20)
 
 
+@query("hex_density", "A15 A18", sql("cells", """
+, e AS (SELECT radar, min(z) AS x0, max(z) AS x1, min(vel) AS y0, max(vel) AS y1 FROM cells WHERE z IS NOT NULL AND vel IS NOT NULL GROUP BY 1),
+s AS (SELECT radar, x0, x1, y0, y1, CASE WHEN x0 = x1 THEN 0.0 ELSE (z - x0) / (x1 - x0) * 20.0::DOUBLE END AS u,
+      CASE WHEN y0 = y1 THEN 0.0 ELSE (vel - y0) / (y1 - y0) * 11.0::DOUBLE END AS w FROM cells JOIN e USING (radar) WHERE z IS NOT NULL AND vel IS NOT NULL),
+c AS (SELECT *, floor(u + 0.5) AS i1, floor(w + 0.5) AS j1, floor(u) + 0.5 AS i2, floor(w) + 0.5 AS j2 FROM s),
+k AS (SELECT *, (u - i1) * (u - i1) + 3 * ((w - j1) * (w - j1)) < (u - i2) * (u - i2) + 3 * ((w - j2) * (w - j2)) AS one FROM c)
+SELECT radar, round(x0 + (CASE WHEN one THEN i1 ELSE i2 END) / 20.0::DOUBLE * (x1 - x0), 6) AS x, round(y0 + (CASE WHEN one THEN j1 ELSE j2 END) / 11.0::DOUBLE * (y1 - y0), 6) AS y,
+       count(*) AS n FROM k GROUP BY ALL"""))
+def _(t):
+    out = A.hex_bins(t.cells(), ["radar"], "z", "vel", 20)
+    return out.select("radar", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "n")
+
+
+@query("sketched_monthly_quantiles", "A1 A8", sql("cells", """
+SELECT radar, epoch_us(date_trunc('month', make_timestamp(t))) AS month, count(*) AS n, round(min(z), 6) AS low, round(max(z), 6) AS high, true AS within
+FROM cells GROUP BY 1, 2"""))
+def _(t):
+    """Daily sketches per gate, merged over gates and days of a month; ``within``: all quantiles keep the bound against the exact ranks."""
+    from skycolumn.operators import sketches as S
+    from skycolumn.operators.ordered import from_epoch_us
+    month = lambda c: epoch_us(F.date_trunc("month", from_epoch_us(F.col(c))).cast("timestamp_ntz"))
+    probs = {"q25": 0.25, "median": 0.5, "q75": 0.75, "q99": 0.99}
+    daily = S.period_sketches(t.cells(), ["radar", "gate"], "t", "z", DAY)
+    monthly = S.sketch_quantiles(S.merge_sketches(daily.withColumn("month", month("t")), ["radar", "month"]), probs)
+    errors = S.rank_errors(t.cells().withColumn("month", month("t")), monthly, ["radar", "month"], "z", probs)
+    within = F.greatest(*probs) <= 2 * S.rank_error()
+    return (monthly.select("radar", "month", "n", r6(F.col("min")).alias("low"), r6(F.col("max")).alias("high"))
+            .join(errors.select("radar", "month", within.alias("within")), ["radar", "month"]))
+
+
 @query("outlier_shares", "A19", """
 SELECT event_type AS key, count(z) AS valid, round(count(*) FILTER (WHERE z > 20) / CAST(count(z) AS DOUBLE) * 100, 6) AS high_percent,
        round(count(*) FILTER (WHERE z < -20 AND r > 3000 AND r > 100 * z + 5000) / CAST(count(z) AS DOUBLE) * 100, 6) AS low_percent

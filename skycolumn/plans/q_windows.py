@@ -144,6 +144,28 @@ def _(t):
     return out.select("scan", "gate", r6(F.col("height"), 4).alias("height"))
 
 
+@query("hybrid_heights", "W12 J1", sql("scans corrections", """
+, l AS (SELECT scan, gate, max(t) OVER (PARTITION BY scan) AS t, 220 + qty AS temp FROM scans),
+k AS (SELECT gate, avg(gate) * 3.0 AS a, avg(gate) / 8.0 AS b FROM scans GROUP BY 1),
+x AS (SELECT DISTINCT t FROM l),
+y AS (SELECT x.t, c.t AS bt, c.corr AS bc FROM x ASOF LEFT JOIN corrections c ON x.t >= c.t),
+n AS (SELECT y.*, c.t AS ft, c.corr AS fc FROM y ASOF LEFT JOIN corrections c ON y.t <= c.t),
+s AS (SELECT t, CASE WHEN bt IS NULL OR (ft IS NOT NULL AND ft - t < t - bt) THEN fc ELSE bc END / 997.3 + 700 AS ps FROM n),
+p AS (SELECT scan, gate, temp, a * 10.0 + b * ps AS p FROM l JOIN k USING (gate) JOIN s USING (t)),
+d AS (SELECT *, coalesce(287.05 * temp * ln(lead(p) OVER (PARTITION BY scan ORDER BY gate) / p), 0) AS part FROM p)
+SELECT scan, gate, round(p, 4) AS p, round(sum(part) OVER (PARTITION BY scan ORDER BY gate DESC) / 9.80665, 4) AS height FROM d"""))
+def _(t):
+    """Levels of each scan, coefficients per level, surface pressure from the nearest order day."""
+    s = t.scans()
+    last = s.groupBy("scan").agg(F.max("t").alias("t"))
+    levels = s.select("scan", "gate", (220 + F.col("qty")).alias("temp")).join(last, "scan")
+    coefficients = s.groupBy("gate").agg((F.avg("gate") * 3.0).alias("a"), (F.avg("gate") / 8.0).alias("b"))
+    surface = t.corrections().select("t", (F.col("corr") / 997.3 + 700).alias("ps"))
+    placed = W.hybrid_pressure(levels, coefficients, surface, "t", "gate", 10.0)
+    out = W.hypsometric(placed, ["scan"], "gate", "temp", "p", 287.05, 9.80665)
+    return out.select("scan", "gate", r6(F.col("p"), 4).alias("p"), r6(F.col("height"), 4).alias("height"))
+
+
 @query("count_within_window", "W13", sql("series", """
 SELECT key, t, count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 1800000000 PRECEDING AND 1800000000 FOLLOWING) AS n_hour,
        count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 43200000000 PRECEDING AND 43200000000 FOLLOWING) AS n_day FROM series"""))

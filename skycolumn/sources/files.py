@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Column order of a sounding text and of the side tables.
-SOUNDING_COLUMNS = ("time_sec", "time_UTC", "P_hPa", "T_degC", "RH_perc", "Wsp_mps", "Wd_deg", "lon_deg",
-                    "lat_deg", "elv_masl", "Tdew_degC")
+# Names in the header of a sounding text with the columns they become; columns of the side tables.
+SOUNDING_COLUMNS = {"Time": "time_sec", "UTC Time": "time_UTC", "P": "P_hPa", "T": "T_degC", "Hu": "RH_perc", "Ws": "Wsp_mps", "Wd": "Wd_deg",
+                    "Long.": "lon_deg", "Lat.": "lat_deg", "Geopot": "elv_masl", "Dewp.": "Tdew_degC"}
 ZDR_CORRECTIONS = "filename string, datetime timestamp_ntz, correction_dB double, std_dB double"
 DFR_CORRECTIONS = ("time timestamp_ntz, num_valid_points bigint, correlation double, mean_DFR double, "
                    "ratio_DFR_var double, cloudtop_ranges string, cloudtop_times string, DFR string")
@@ -54,18 +54,26 @@ def read_csv_table(spark: SparkSession, path: str | Sequence[str], schema: str,
 def parse_soundings(texts: DataFrame, text: str = "value", file: str = "file") -> DataFrame:
     """Rows of sounding texts, one text per row of ``texts``.
 
-    The preamble ends with the line "Profile Data:", the block from "Tropopause" on is dropped; the
-    date comes from the file name (yyyymmdd), the time of day from the table.
+    The preamble ends with the line "Profile Data:", the block from "Tropopause" on is dropped. The next line names the columns, which
+    are separated by single tabs and found by these names in any order; a column that is not there is NULL, and so are
+    empty fields and what is no number. Lines whose first field is no number (units, remarks) are no rows. The date comes from the file name
+    (yyyymmdd), the time of day from the table.
     """
-    body = F.regexp_replace(F.col(text), r"(?s)^.*?Profile Data:[^\n]*\n", "")
+    body = F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), r"(?s)^.*?Profile Data:[^\n]*\n", "")
     body = F.regexp_replace(body, r"(?s)\n[^\n]*Tropopause.*$", "")
-    lines = texts.select(file, F.posexplode(F.split(body, "\n")).alias("line", "_l")).withColumn("_l", F.trim("_l"))
-    parts = F.split("_l", r"[\s,;]+")
-    lines = lines.withColumn("_p", parts).filter((F.size("_p") == len(SOUNDING_COLUMNS)) & F.get("_p", F.lit(0)).try_cast("double").isNotNull())
-    named = [F.get("_p", F.lit(i)).alias(c) if c == "time_UTC" else F.get("_p", F.lit(i)).try_cast("double").alias(c)
-             for i, c in enumerate(SOUNDING_COLUMNS)]
+    lines = texts.select(file, F.split(body, "\n").alias("_lines")).withColumn("_names", F.transform(F.split(F.get("_lines", F.lit(0)), "\t"), F.trim))
+    lines = lines.select(file, "_names", F.posexplode("_lines").alias("line", "_l")).withColumn("_p", F.split("_l", "\t"))
+
+    def field(name: str) -> Column:
+        place = F.array_position("_names", name).cast("int")
+        value = F.when(place > 0, F.trim(F.get("_p", place - 1)))
+        return F.when(value != "", value)
+
+    number = lambda name: F.nanvl(field(name).try_cast("double"), F.lit(None).cast("double"))
+    rows = lines.filter((F.col("line") > 0) & F.trim(F.get("_p", F.lit(0))).try_cast("double").isNotNull())
+    named = [(field(n) if c == "time_UTC" else number(n)).alias(c) for n, c in SOUNDING_COLUMNS.items()]
     day = F.regexp_extract(file, r"(\d{8})", 1)
-    return lines.select(file, "line", *named).withColumn(
+    return rows.select(file, "line", *named).withColumn(
         "time", F.try_to_timestamp(F.concat(day, F.lit(" "), "time_UTC"), F.lit("yyyyMMdd HH:mm:ss")).cast("timestamp_ntz"))
 
 

@@ -100,14 +100,20 @@ def test_csv_rejects(spark, tmp_path):
 
 
 def test_soundings(spark, tmp_path):
-    head = "Station\nProfile Data:\nElapsed UTC P T RH Ws Wd Lon Lat Alt Td\n"
-    body = "0.0 23:59:58 890.0 -1.5 80 3 200 22.0 38.0 1690 -3\n2.0 23:59:59 889.0 -1.6 81 3 201 22.0 38.0 1700 -3.1"
-    (tmp_path / "x_20241105_a.txt").write_text(head + body + "\nTropopauses:\n1 2 3\n")
-    (tmp_path / "x_20241106_b.txt").write_text(head + body)
-    got = files.read_soundings(spark, str(tmp_path))
-    assert got.count() == 4
-    first = got.filter("file = 'x_20241105_a.txt'").orderBy("line").first()
-    assert first["time"] == dt.datetime(2024, 11, 5, 23, 59, 58) and first["T_degC"] == -1.5
+    names = ["Time", "UTC Time", "P", "T", "Hu", "Ws", "Wd", "Long.", "Lat.", "Geopot", "Dewp."]
+    head = lambda n: "Station\nProfile Data:\n" + "\t".join(n) + "\n" + "\t".join("[u]" for _ in n) + "\n"
+    rows = [["0.0", "23:59:58", "890.0", "-1.5", "80", "3", "200", "22.0", "38.0", "1690", "-3"], ["2.0", "23:59:59", "", "-1.6", "NaN", "-", "201", "22.0", "38.0", "1700", ""]]
+    body = lambda order: "\n".join("\t".join(r[i] for i in order) for r in rows)
+    (tmp_path / "x_20241105_a.txt").write_text(head(names) + body(range(11)) + "\nTropopauses:\n1\t2\t3\n")
+    turned = [0, 3, 2, 1, *range(4, 9)]  # other order, two columns less
+    (tmp_path / "x_20241106_b.txt").write_text((head([names[i] + " " for i in turned]) + body(turned)).replace("\n", "\r\n"))
+    got = files.read_soundings(spark, str(tmp_path)).orderBy("file", "line").collect()
+    assert len(got) == 4
+    for day, r in zip((5, 5, 6, 6), got):
+        assert r["time"].date() == dt.date(2024, 11, day)
+    assert got[0]["time"] == dt.datetime(2024, 11, 5, 23, 59, 58) and got[0]["T_degC"] == -1.5 and got[0]["Tdew_degC"] == -3
+    assert (got[1]["P_hPa"], got[1]["RH_perc"], got[1]["Wsp_mps"], got[1]["Tdew_degC"], got[1]["T_degC"]) == (None, None, None, None, -1.6)
+    assert (got[2]["P_hPa"], got[2]["T_degC"], got[2]["elv_masl"], got[2]["lat_deg"]) == (890.0, -1.5, None, 38.0)
 
 
 def test_append_and_total(spark, tmp_path):

@@ -61,7 +61,7 @@ def parse_soundings(texts: DataFrame, text: str = "value", file: str = "file") -
     """
     body = F.regexp_replace(F.regexp_replace(F.col(text), "\r", ""), r"(?s)^.*?Profile Data:[^\n]*\n", "")
     body = F.regexp_replace(body, r"(?s)\n[^\n]*Tropopause.*$", "")
-    lines = texts.select(file, F.split(body, "\n").alias("_lines")).withColumn("_names", F.transform(F.split(F.get("_lines", F.lit(0)), "\t"), F.trim))
+    lines = texts.select(file, F.split(body, "\n").alias("_lines")).withColumn("_names", F.transform(F.split(F.get("_lines", F.lit(0)), "\t"), lambda x: F.trim(x)))
     lines = lines.select(file, "_names", F.posexplode("_lines").alias("line", "_l")).withColumn("_p", F.split("_l", "\t"))
 
     def field(name: str) -> Column:

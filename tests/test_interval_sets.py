@@ -122,7 +122,8 @@ def test_hexagons(spark):
     # every point belongs to the nearest of all centres of both lattices
     nx, ny = 10, int(10 / math.sqrt(3))
     u, w = (x - x.min()) / np.ptp(x) * nx, (y - y.min()) / np.ptp(y) * ny
-    centres = [(i + h, j + h) for h in (0, 0.5) for i in range(-1, nx + 2) for j in range(-1, ny + 2)]
+    # ties between neighbours, at the extremes, go to the larger
+    centres = [(i + h, j + h) for h in (0, 0.5) for i in range(nx + 1, -2, -1) for j in range(ny + 1, -2, -1)]
     far = np.array([(u - i) ** 2 + 3 * (w - j) ** 2 for i, j in centres])
     want = np.bincount(far.argmin(0), minlength=len(centres))
     place = lambda c: (round(x.min() + c[0] / nx * np.ptp(x), 6), round(y.min() + c[1] / ny * np.ptp(y), 6))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skycolumn.operators.ordered import HOUR, epoch_us, floor_div
@@ -48,6 +48,9 @@ CTE = {
         LEFT JOIN (SELECT event_type AS key, epoch_us(ts) // {STEP} * {STEP} AS t,
                           CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n
                    FROM events GROUP BY 1, 2) s ON s.key = g.key AND s.t = g.t)""",
+    # each instrument and the one before it in a ring, so that every instrument meets the next one
+    "ring": """ring AS (
+        SELECT key, coalesce(lag(key) OVER (ORDER BY key), max(key) OVER ()) AS before FROM (SELECT DISTINCT event_type AS key FROM events))""",
     # step function of corrections: one per order day, smallest order id of the day
     "corrections": """corrections AS (
         SELECT epoch_us(o_orderdate) AS t, arg_min(o_totalprice, o_orderkey) AS corr
@@ -146,6 +149,13 @@ class Tables:
         grid = make_time_grid(bounds, "t", "lo", "hi", STEP)
         return grid.join(means, ["key", "t"], "left")
 
+    def under_previous(self, df: DataFrame, key: str) -> DataFrame:
+        """Every row under the instrument before its own in a ring of all instruments (a handful of rows)."""
+        names = self.events.select(F.col("event_type").alias(key)).distinct()
+        ordered, every = Window.orderBy(key), Window.partitionBy()
+        ring = names.select(key, F.coalesce(F.lag(key).over(ordered), F.max(key).over(every)).alias("_before"))
+        return df.join(ring, key).drop(key).withColumnRenamed("_before", key)
+
     def corrections(self) -> DataFrame:
         return (self.orders.groupBy(epoch_us(F.col("o_orderdate")).alias("t"))
                 .agg(F.min_by("o_totalprice", "o_orderkey").alias("corr")))

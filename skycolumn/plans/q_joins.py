@@ -9,26 +9,26 @@ from skycolumn.operators.ordered import DAY, HOUR, MINUTE, epoch_us
 from skycolumn.plans.bindings import SLOT, STEP, r6, sql
 from skycolumn.plans.registry import query
 
+# every instrument's samples looked up among those of the next instrument
 NEAREST = """
-, l AS (SELECT key, t FROM series WHERE key = 'error'),
-r AS (SELECT t, v FROM series WHERE key = 'click'),
-b AS (SELECT l.t, r.t AS bt, r.v AS bv FROM l ASOF LEFT JOIN r ON l.t >= r.t),
-f AS (SELECT b.*, r.t AS ft, r.v AS fv FROM b ASOF LEFT JOIN r ON b.t <= r.t),
-n AS (SELECT t, CASE WHEN bt IS NULL OR ft - t < t - bt THEN ft ELSE bt END AS matched_t,
+, r AS (SELECT before AS key, t, v FROM series JOIN ring USING (key)),
+b AS (SELECT l.key, l.t, r.t AS bt, r.v AS bv FROM series l ASOF LEFT JOIN r ON l.key = r.key AND l.t >= r.t),
+f AS (SELECT b.*, r.t AS ft, r.v AS fv FROM b ASOF LEFT JOIN r ON b.key = r.key AND b.t <= r.t),
+n AS (SELECT key, t, CASE WHEN bt IS NULL OR ft - t < t - bt THEN ft ELSE bt END AS matched_t,
              CASE WHEN bt IS NULL OR ft - t < t - bt THEN fv ELSE bv END AS v FROM f)"""
 
 
 def _two(t):
     s = t.series()
-    return s.filter("key = 'error'").select("t"), s.filter("key = 'click'").select("t", "v")
+    return s.select("key", "t"), t.under_previous(s, "key").select("key", "t", "v")
 
 
-@query("asof_nearest", "J1", sql("series", NEAREST + """
-SELECT t, CASE WHEN abs(matched_t - t) <= 600000000 THEN matched_t END AS matched_t,
+@query("asof_nearest", "J1", sql("series ring", NEAREST + """
+SELECT key, t, CASE WHEN abs(matched_t - t) <= 600000000 THEN matched_t END AS matched_t,
        CASE WHEN abs(matched_t - t) <= 600000000 THEN v END AS v FROM n"""))
 def _(t):
     left, right = _two(t)
-    return A.asof_nearest(left, right, "t", [], ["v"], 10 * MINUTE)
+    return A.asof_nearest(left, right, "t", ["key"], ["v"], 10 * MINUTE)
 
 
 @query("asof_step_function", "J2 C9", sql("corrections", """
@@ -56,49 +56,50 @@ def _(t):
             .select("id", "line", "part", "zdr"))
 
 
-@query("dual_frequency_ratio", "J5 S14", sql("cells", """
-SELECT a.t, a.range, b.z AS z_b, c.z AS z_c, a.z - b.z AS dfr_ab, a.z - c.z AS dfr_ac, b.z - c.z AS dfr_bc
-FROM cells a LEFT JOIN cells b ON b.radar = 'view' AND a.t = b.t AND a.range = b.range
-             LEFT JOIN cells c ON c.radar = 'error' AND a.t = c.t AND a.range = c.range WHERE a.radar = 'click'"""))
+BANDS = {"Ka": "click", "W": "view", "X": "error", "C": "purchase", "S": "signup"}
+PAIRS = [(a, b) for i, a in enumerate(BANDS) for b in list(BANDS)[i + 1:]]
+
+
+@query("dual_frequency_ratio", "J5 S14", sql("cells", f"""
+SELECT a.t, a.range, {', '.join(f"{b}.z AS z_{b}" for b in list(BANDS)[1:])}, {', '.join(f"{a if a != 'Ka' else 'a'}.z - {b}.z AS dfr_{a}_{b}" for a, b in PAIRS)}
+FROM cells a {' '.join(f"LEFT JOIN cells {b} ON {b}.radar = '{BANDS[b]}' AND a.t = {b}.t AND a.range = {b}.range" for b in list(BANDS)[1:])} WHERE a.radar = 'click'"""))
 def _(t):
     cells = t.cells()
     pick = lambda r: cells.filter(F.col("radar") == r).select("t", "range", F.col("z").alias("Z"))
-    both = J.combine_radars({"Ka": pick("click"), "W": pick("view"), "X": pick("error")}, "Ka", ["t", "range"])
-    out = J.dual_frequency_ratio(both, "Z", [("Ka", "W"), ("Ka", "X"), ("W", "X")])
-    return out.select("t", "range", F.col("Z_W").alias("z_b"), F.col("Z_X").alias("z_c"), F.col("DFR_KaW").alias("dfr_ab"),
-                      F.col("DFR_KaX").alias("dfr_ac"), F.col("DFR_WX").alias("dfr_bc"))
+    both = J.combine_radars({b: pick(r) for b, r in BANDS.items()}, "Ka", ["t", "range"])
+    out = J.dual_frequency_ratio(both, "Z", PAIRS)
+    return out.select("t", "range", *[F.col(f"Z_{b}").alias(f"z_{b}") for b in list(BANDS)[1:]], *[F.col(f"DFR_{a}{b}").alias(f"dfr_{a}_{b}") for a, b in PAIRS])
 
 
-@query("shared_cell_difference", "J5 C1", sql("cells", """
-SELECT a.t, a.range, a.z - b.z AS dfr FROM cells a JOIN cells b ON a.t = b.t AND a.range = b.range
-WHERE a.radar = 'click' AND b.radar = 'view'"""))
+@query("shared_cell_difference", "J5 C1", sql("cells ring", """
+SELECT a.radar, a.t, a.range, a.z - b.z AS dfr FROM cells a JOIN ring ON ring.before = a.radar JOIN cells b ON b.radar = ring.key AND a.t = b.t AND a.range = b.range"""))
 def _(t):
     c = t.cells()
-    return J.grid_equi_join(c.filter("radar = 'click'"), c.filter("radar = 'view'"), ["t", "range"], "z").select("t", "range", "dfr")
+    return J.grid_equi_join(c, t.under_previous(c, "radar"), ["radar", "t", "range"], "z").select("radar", "t", "range", "dfr")
 
 
-@query("near_event_flag", "J7", sql("series", NEAREST + """
-SELECT t, coalesce(abs(matched_t - t) <= 300000000, false) AS near FROM n"""))
+@query("near_event_flag", "J7", sql("series ring", NEAREST + """
+SELECT key, t, coalesce(abs(matched_t - t) <= 300000000, false) AS near FROM n"""))
 def _(t):
     left, right = _two(t)
-    return A.near_event_flag(left, right, "t", [], 10 * MINUTE)
+    return A.near_event_flag(left, right, "t", ["key"], 10 * MINUTE)
 
 
-@query("near_next_event_flag", "J7", sql("series", NEAREST + """
-SELECT t, coalesce(ft - t <= 300000000, false) AS near FROM f"""))
+@query("near_next_event_flag", "J7", sql("series ring", NEAREST + """
+SELECT key, t, coalesce(ft - t <= 300000000, false) AS near FROM f"""))
 def _(t):
     left, right = _two(t)
-    return A.near_event_flag(left, right, "t", [], 10 * MINUTE, side="next")
+    return A.near_event_flag(left, right, "t", ["key"], 10 * MINUTE, side="next")
 
 
-@query("temperature_band", "J8", sql("cells", """
-, iso AS (SELECT t, min(range) + 50 AS lo, max(range) - 100 AS hi FROM cells WHERE radar = 'view' GROUP BY 1)
-SELECT c.t, c.range, c.z FROM cells c JOIN iso ON c.t = iso.t
-WHERE c.radar = 'click' AND c.range BETWEEN least(lo, hi) AND greatest(lo, hi)"""))
+@query("temperature_band", "J8", sql("cells ring", """
+, iso AS (SELECT before AS radar, t, min(range) + 50 AS lo, max(range) - 100 AS hi FROM cells JOIN ring ON ring.key = cells.radar GROUP BY 1, 2)
+SELECT c.radar, c.t, c.range, c.z FROM cells c JOIN iso ON c.t = iso.t AND c.radar = iso.radar
+WHERE c.range BETWEEN least(lo, hi) AND greatest(lo, hi)"""))
 def _(t):
     c = t.cells()
-    iso = (c.filter("radar = 'view'").groupBy("t").agg((F.min("range") + 50).alias("lo"), (F.max("range") - 100).alias("hi")))
-    return A.temperature_band(c.filter("radar = 'click'"), iso, "t", [], "range", "lo", "hi", 0).select("t", "range", "z")
+    iso = t.under_previous(c, "radar").groupBy("radar", "t").agg((F.min("range") + 50).alias("lo"), (F.max("range") - 100).alias("hi"))
+    return A.temperature_band(c, iso, "t", ["radar"], "range", "lo", "hi", 0).select("radar", "t", "range", "z")
 
 
 @query("excluded_days", "J9", """

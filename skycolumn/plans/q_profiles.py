@@ -99,16 +99,17 @@ def _(t):
     return out.select("scan", r6(F.col("mean_temp")).alias("mean_temp"))
 
 
-@query("mode_artefacts", "P11", sql("cells", """
-SELECT a.t, a.gate, abs(coalesce(b.z, 999) - coalesce(a.z, 999)) > 10 AS strict,
+@query("mode_artefacts", "P11", sql("cells ring", """
+, n AS (SELECT before AS radar, t, gate, z FROM cells JOIN ring ON ring.key = cells.radar)
+SELECT a.radar, a.t, a.gate, abs(coalesce(b.z, 999) - coalesce(a.z, 999)) > 10 AS strict,
        abs(coalesce(b.z, 999) - coalesce(a.z, 999)) > 10 AND (a.range BETWEEN 0 AND 200 OR a.range BETWEEN 400 AND 500) AS loose
-FROM cells a LEFT JOIN cells b ON b.radar = 'view' AND a.t = b.t AND a.gate = b.gate WHERE a.radar = 'click'"""))
+FROM cells a LEFT JOIN n b ON b.radar = a.radar AND a.t = b.t AND a.gate = b.gate"""))
 def _(t):
-    c = t.cells()
-    fine, coarse = c.filter("radar = 'click'"), c.filter("radar = 'view'")
-    strict = P.artefact_mask(fine, coarse, ["t", "gate"], "z", "range").withColumnRenamed("artefact", "strict")
-    loose = P.artefact_mask(strict, coarse, ["t", "gate"], "z", "range", [(0.0, 200.0), (400.0, 500.0)])
-    return loose.select("t", "gate", "strict", F.col("artefact").alias("loose"))
+    fine = t.cells()
+    coarse, on = t.under_previous(fine, "radar"), ["radar", "t", "gate"]
+    strict = P.artefact_mask(fine, coarse, on, "z", "range").withColumnRenamed("artefact", "strict")
+    loose = P.artefact_mask(strict, coarse, on, "z", "range", [(0.0, 200.0), (400.0, 500.0)])
+    return loose.select("radar", "t", "gate", "strict", F.col("artefact").alias("loose"))
 
 
 FIELD = """

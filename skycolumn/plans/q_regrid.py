@@ -141,47 +141,36 @@ def _(t):
     return out.select("radar", "t", "range", r6(F.col("z")).alias("z"), "flag")
 
 
-@query("bilinear_attenuation", "R5 P12", sql("cells", f"""
-, pia AS (SELECT t, CAST(gate * 60 AS DOUBLE) AS elev, (avg(z) + 60) / 40 AS pia FROM cells WHERE gate % 3 = 0 AND t % {DAY} = 0 GROUP BY 1, 2
-          HAVING count(*) > 0),
-full_t AS (SELECT t FROM pia GROUP BY 1 HAVING count(*) = 8),
-tt AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1 FROM full_t),
-seg AS (SELECT t AS t0, t1 FROM tt WHERE t1 IS NOT NULL),
-pts AS (SELECT t, gate, range, z FROM cells WHERE radar = 'click'),
-s1 AS (SELECT p.*, s.t0, s.t1 FROM pts p ASOF LEFT JOIN seg s ON p.t >= s.t0),
-s2 AS (SELECT t, gate, range, z, coalesce(t0, (SELECT min(t0) FROM seg)) AS t0, coalesce(t1, (SELECT min(t1) FROM seg)) AS t1 FROM s1),
-v AS (SELECT s2.*, a.elev, a.pia + (b.pia - a.pia) * ((s2.t - t0) / CAST(t1 - t0 AS DOUBLE)) AS v FROM s2 JOIN pia a ON a.t = t0 JOIN pia b ON b.t = t1 AND b.elev = a.elev),
-w AS (SELECT *, lead(elev) OVER x AS e1, lead(v) OVER x AS v1, row_number() OVER x AS i FROM v WINDOW x AS (PARTITION BY t, gate ORDER BY elev)),
-k AS (SELECT *, count(*) FILTER (WHERE elev <= range) OVER (PARTITION BY t, gate) AS below FROM w)
-SELECT t, gate, round(z + v + (v1 - v) * ((range - elev) / (e1 - elev)), 6) AS corrected FROM k WHERE i = least(greatest(below, 1), 7)"""))
-def _(t):
-    cells = t.cells()
-    pia = (cells.filter((F.col("gate") % 3 == 0) & (F.col("t") % DAY == 0)).groupBy("t", (F.col("gate") * 60).cast("double").alias("elev"))
-           .agg(((F.avg("z") + 60) / 40).alias("pia")))
-    full = pia.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("t")
-    points = cells.filter("radar = 'click'").select("t", "gate", "range", "z")
-    out = R.interp_at(pia.join(full, "t", "left_semi"), points, "t", "elev", "pia", "range", "pia")
-    return out.filter(F.col("pia").isNotNull()).select("t", "gate", r6(F.col("z") + F.col("pia")).alias("corrected"))
-
-
-@query("gas_attenuation", "P12", sql("cells", f"""
-, pia AS (SELECT t, CAST(gate * 60 AS DOUBLE) - 150 AS elev, (avg(z) + 60) / 40 * 0.5 AS pia FROM cells WHERE gate % 3 = 0 AND t % {DAY} = 0 GROUP BY 1, 2, gate HAVING gate * 60 >= 150),
-full_t AS (SELECT t FROM pia GROUP BY 1 HAVING count(*) = 7),
-tt AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1 FROM full_t),
+# a model field of daily means per gate, at every time that has a next one
+FIELD = f"""
+, pia AS (SELECT t // {DAY} * {DAY} AS t, CAST(gate * 60 AS DOUBLE) - {{station}} AS elev, (avg(z) + 60) / 40 * {{scale}} AS pia FROM cells GROUP BY 1, gate HAVING gate * 60 >= {{station}}),
+tt AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1 FROM (SELECT DISTINCT t FROM pia)),
 seg AS (SELECT t AS t0, t1 FROM tt WHERE t1 IS NOT NULL),
 s1 AS (SELECT p.radar, p.t, p.gate, p.range, p.z, s.t0, s.t1 FROM cells p ASOF LEFT JOIN seg s ON p.t >= s.t0),
 s2 AS (SELECT radar, t, gate, range, z, coalesce(t0, (SELECT min(t0) FROM seg)) AS t0, coalesce(t1, (SELECT min(t1) FROM seg)) AS t1 FROM s1),
 v AS (SELECT s2.*, a.elev, a.pia + (b.pia - a.pia) * ((s2.t - t0) / CAST(t1 - t0 AS DOUBLE)) AS v FROM s2 JOIN pia a ON a.t = t0 JOIN pia b ON b.t = t1 AND b.elev = a.elev),
 w AS (SELECT *, lead(elev) OVER x AS e1, lead(v) OVER x AS v1, row_number() OVER x AS i FROM v WINDOW x AS (PARTITION BY radar, t, gate ORDER BY elev)),
-k AS (SELECT *, count(*) FILTER (WHERE elev <= range) OVER (PARTITION BY radar, t, gate) AS below FROM w)
-SELECT radar, t, gate, round(z + v + (v1 - v) * ((range - elev) / (e1 - elev)), 6) AS corrected FROM k WHERE i = least(greatest(below, 1), 6)"""))
+k AS (SELECT *, count(*) FILTER (WHERE elev <= range) OVER q AS below, count(*) OVER q AS n FROM w WINDOW q AS (PARTITION BY radar, t, gate))
+SELECT radar, t, gate, round(z + v + (v1 - v) * ((range - elev) / (e1 - elev)), 6) AS corrected FROM k WHERE i = least(greatest(below, 1), n - 1)"""
+
+
+def model_field(cells):
+    return (cells.groupBy((floor_div(F.col("t"), DAY) * DAY).alias("t"), (F.col("gate") * 60).cast("double").alias("elevation"))
+            .agg(((F.avg("z") + 60) / 40).alias("p")))
+
+
+@query("bilinear_attenuation", "R5 P12", sql("cells", FIELD.format(station=0, scale=1)))
+def _(t):
+    cells = t.cells()
+    out = R.interp_at(model_field(cells), cells.select("radar", "t", "gate", "range", "z"), "t", "elevation", "p", "range", "pia")
+    return out.filter(F.col("pia").isNotNull()).select("radar", "t", "gate", r6(F.col("z") + F.col("pia")).alias("corrected"))
+
+
+@query("gas_attenuation", "P12", sql("cells", FIELD.format(station=150, scale=0.5)))
 def _(t):
     cells = t.cells()
-    field = (cells.filter((F.col("gate") % 3 == 0) & (F.col("t") % DAY == 0)).groupBy("t", (F.col("gate") * 60).cast("double").alias("elevation"))
-             .agg(((F.avg("z") + 60) / 40).alias("p")))
-    full = field.filter("elevation >= 150").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n = 7").select("t")
     bands = F.array(*[F.struct(F.lit(f).alias("frequency"), F.lit(k).alias("k")) for f, k in ((94.95, 1.0), (35.2, 0.5), (9.41, 0.1))])
-    table = field.join(full, "t", "left_semi").withColumn("b", F.explode(bands)).select("t", "elevation", "b.frequency", (F.col("p") * F.col("b.k")).alias("pia"))
+    table = model_field(cells).withColumn("b", F.explode(bands)).select("t", "elevation", "b.frequency", (F.col("p") * F.col("b.k")).alias("pia"))
     out = R.gas_attenuation(cells.select("radar", "t", "gate", "range", "z"), table, "t", "range", "z", 35.5, 150.0)
     return out.filter(F.col("corrected").isNotNull()).select("radar", "t", "gate", r6(F.col("corrected")).alias("corrected"))
 
@@ -252,12 +241,12 @@ def _(t):
 
 
 @query("hourly_zenith_merge", "R13 S6", sql("series", GRID + f""",
-src AS (SELECT key, t, v, t // {HOUR} AS file FROM series WHERE CAST(floor(v) AS BIGINT) % 3 = 0),
+src AS (SELECT key, t, v, t // {HOUR} AS file FROM series),
 sp AS (SELECT key, file, min(t) AS s, max(t) AS e FROM src GROUP BY 1, 2),
 b AS (SELECT g.key, g.t, s.t AS bt, s.v AS bv FROM grid g ASOF LEFT JOIN src s ON g.key = s.key AND g.t >= s.t),
 f AS (SELECT b.*, s.t AS ft, s.v AS fv FROM b ASOF LEFT JOIN src s ON b.key = s.key AND b.t <= s.t),
 n AS (SELECT key, t, CASE WHEN bt IS NULL OR ft - t <= t - bt THEN fv ELSE bv END AS v FROM f)
 SELECT n.key, n.t, CASE WHEN n.t <= sp.e THEN n.v END AS v FROM n ASOF LEFT JOIN sp ON n.key = sp.key AND n.t >= sp.s"""))
 def _(t):
-    src = t.series().filter(F.floor("v") % 3 == 0).withColumn("file", floor_div(F.col("t"), HOUR))
+    src = t.series().withColumn("file", floor_div(F.col("t"), HOUR))
     return R.zenith_merge(src, ["key"], "t", ["v"], "file", time_grid(t))

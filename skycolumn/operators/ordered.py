@@ -115,36 +115,36 @@ _FOLDS = {
 }
 
 
-def scan_summary(edge: DataFrame, keys: Sequence[str], folds: Mapping[str, tuple[str, Column]], descending: bool = False) -> DataFrame:
+def scan_summary(edge: DataFrame, keys: Sequence[str], folds: Mapping[str, tuple[str, Column]], descending: bool = False,
+                 back: Mapping[str, tuple[str, Column]] | None = None) -> DataFrame:
     """Adds, per summary row, the fold of a column over all rows of its key before it (after it, if ``descending``): {name: (fold, column)}.
+    ``back`` holds folds of the other direction.
 
     ``last`` is the nearest value that is not NULL, ``row`` the value of the adjacent row, NULL or not. With keys, each key's summary is one
     window. Without, there are two levels: inside groups of buckets, and over one row per group; both come from one exchange.
     """
+    asked = {n: (how, c, descending) for n, (how, c) in folds.items()} | {n: (how, c, not descending) for n, (how, c) in (back or {}).items()}
+
+    def before(by: Sequence[str], order: str, down: bool):
+        return Window.partitionBy(*by).orderBy(F.col(order).desc() if down else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def folded(how: str, column: Column, window) -> Column:
+        return F.last(column, True).over(window) if how == "last" else _FOLDS[how][0](column).over(window)
+
+    # a struct is never NULL, so the last one is the adjacent row's
+    packed = {n: F.struct(c.alias("v")) if how == "row" else c for n, (how, c, _) in asked.items()}
+    kinds = {n: "last" if how == "row" else how for n, (how, _, _) in asked.items()}
+    unpacked = lambda n, c: c.getField("v") if asked[n][0] == "row" else c
     if keys:
-        whole = Window.partitionBy(*keys).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET).asc())
-        before = whole.rowsBetween(Window.unboundedPreceding, -1)
-        over = {"row": lambda c: F.lag(c).over(whole), "last": lambda c: F.last(c, True).over(before), **{how: (lambda c, f=f: f(c).over(before)) for how, (f, _) in _FOLDS.items() if f}}
-        return edge.withColumns({n: over[how](c) for n, (how, c) in folds.items()})
-    rows = edge.withColumns({f"_in_{n}": F.struct(c.alias("v")) if how == "row" else c for n, (how, c) in folds.items()})
-    rows = rows.withColumn(GROUP, floor_div(F.col(BUCKET), BUCKETS_PER_GROUP)).repartition(*keys, GROUP)
-    kinds = {n: "last" if how == "row" else how for n, (how, _) in folds.items()}
-
-    def window(by: Sequence[str], order: str):
-        return Window.partitionBy(*by).orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, -1)
-
-    def folded(how: str, column: str, w) -> Column:
-        return F.last(column, True).over(w) if how == "last" else _FOLDS[how][0](column).over(w)
-
-    nearest = F.min_by if descending else F.max_by
-    aggs = [nearest(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), F.col(BUCKET))).alias(f"_in_{n}") if how == "last" else _FOLDS[how][0](f"_in_{n}").alias(f"_in_{n}")
-            for n, how in kinds.items()]
-    groups = edges_of(rows, keys, aggs, GROUP).select(*keys, GROUP, *[folded(how, f"_in_{n}", window(keys, GROUP)).alias(f"_top_{n}") for n, how in kinds.items()])
-    inside = window([*keys, GROUP], BUCKET)
-    out = rows.withColumns({f"_low_{n}": folded(how, f"_in_{n}", inside) for n, how in kinds.items()}).join(groups, [*keys, GROUP], "left")
-    joined = {n: _FOLDS[kinds[n]][1](F.col(f"_low_{n}"), F.col(f"_top_{n}")) for n in folds}
-    cols = [F.col(c) for c in edge.columns] + [(joined[n].getField("v") if how == "row" else joined[n]).alias(n) for n, (how, _) in folds.items()]
-    return out.select(*cols)
+        return edge.withColumns({n: unpacked(n, folded(kinds[n], packed[n], before(keys, BUCKET, down))) for n, (_, _, down) in asked.items()})
+    rows = edge.withColumns({f"_in_{n}": c for n, c in packed.items()}).withColumn(GROUP, floor_div(F.col(BUCKET), BUCKETS_PER_GROUP)).repartition(GROUP)
+    known = lambda n: F.when(F.col(f"_in_{n}").isNotNull(), F.col(BUCKET))
+    aggs = [((F.min_by if down else F.max_by)(f"_in_{n}", known(n)) if kinds[n] == "last" else _FOLDS[kinds[n]][0](f"_in_{n}")).alias(f"_in_{n}")
+            for n, (_, _, down) in asked.items()]
+    groups = edges_of(rows, [], aggs, GROUP).select(GROUP, *[folded(kinds[n], F.col(f"_in_{n}"), before([], GROUP, down)).alias(f"_top_{n}") for n, (_, _, down) in asked.items()])
+    low = rows.withColumns({f"_low_{n}": folded(kinds[n], F.col(f"_in_{n}"), before([GROUP], BUCKET, down)) for n, (_, _, down) in asked.items()})
+    joined = {n: _FOLDS[kinds[n]][1](F.col(f"_low_{n}"), F.col(f"_top_{n}")) for n in asked}
+    return low.join(groups, GROUP, "left").select(*edge.columns, *[unpacked(n, joined[n]).alias(n) for n in asked])
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,9 +188,7 @@ def edges_of(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], by: s
 
 
 def _both_ways(edge: DataFrame, keys: Sequence[str], before: Mapping[str, tuple[str, Column]], after: Mapping[str, tuple[str, Column]]) -> DataFrame:
-    out = scan_summary(edge, keys, before) if before else edge
-    out = scan_summary(out, keys, after, True) if after else out
-    return out.select(*keys, BUCKET, *before, *after)
+    return scan_summary(edge, keys, before, back=after).select(*keys, BUCKET, *before, *after)
 
 
 def _leave(df: DataFrame, kept: bool, drop: Sequence[str]) -> DataFrame:

@@ -149,12 +149,15 @@ class Tables:
         grid = make_time_grid(bounds, "t", "lo", "hi", STEP)
         return grid.join(means, ["key", "t"], "left")
 
-    def under_previous(self, df: DataFrame, key: str) -> DataFrame:
-        """Every row under the instrument before its own in a ring of all instruments (a handful of rows)."""
+    def ring(self, key: str) -> DataFrame:
+        """(instrument, before): a ring of all instruments, a handful of rows."""
         names = self.events.select(F.col("event_type").alias(key)).distinct()
         ordered, every = Window.orderBy(key), Window.partitionBy()
-        ring = names.select(key, F.coalesce(F.lag(key).over(ordered), F.max(key).over(every)).alias("_before"))
-        return df.join(ring, key).drop(key).withColumnRenamed("_before", key)
+        return names.select(key, F.coalesce(F.lag(key).over(ordered), F.max(key).over(every)).alias("before"))
+
+    def under_previous(self, df: DataFrame, key: str) -> DataFrame:
+        """Every row under the instrument before its own, so that each instrument meets the next one."""
+        return df.join(self.ring(key), key).drop(key).withColumnRenamed("before", key)
 
     def corrections(self) -> DataFrame:
         return (self.orders.groupBy(epoch_us(F.col("o_orderdate")).alias("t"))

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from skycolumn.operators import asof, profiles, regrid, windows
+from skycolumn.operators import composite
 from skycolumn.operators import calibration as C
 from skycolumn.operators.ordered import DAY, HOUR, epoch_us
 from skycolumn.plans.bindings import SLOT, r6, sql
+from skycolumn.plans.q_regrid import model_field
 from skycolumn.plans.registry import query
+from skycolumn.session import cut_lineage
 
 SEARCH = """
 , v AS (SELECT month, a, b, a + b AS s FROM pairs WHERE b >= -a - 40),
@@ -165,28 +167,39 @@ def _(t):
     return C.exclude_scans(judged, "scan", "start", lost, done).select("scan", "duration", "rays", "reason")
 
 
-@query("zenith_day", "C10 C9 J3 J5 P1 W1", sql("grid_cells corrections", """
-, ka AS (SELECT t, gate, range, z FROM grid_cells WHERE radar = 'click'), w0 AS (SELECT t, gate, z FROM grid_cells WHERE radar = 'view'),
+@query("zenith_day", "C10 C9 F4 J3 J5 P1 P3 P12 W1", sql("grid_cells corrections ring", f"""
+, r1 AS (SELECT before AS radar, key AS w FROM ring), r2 AS (SELECT a.radar, a.w, b.w AS x FROM r1 a JOIN r1 b ON b.radar = a.w),
+wide AS (SELECT a.radar, a.t, a.gate, a.range, CASE WHEN a.vel > -2 THEN a.z END AS z_ka, CASE WHEN b.vel > -2 THEN b.z END AS z_w, CASE WHEN c.vel > -2 THEN c.z END AS z_x
+  FROM grid_cells a JOIN r2 USING (radar) LEFT JOIN cells b ON b.radar = r2.w AND b.t = a.t AND b.gate = a.gate LEFT JOIN cells c ON c.radar = r2.x AND c.t = a.t AND c.gate = a.gate),
+pia AS (SELECT t // {DAY} * {DAY} AS t, CAST(gate * 60 AS DOUBLE) - 150 AS elev, (avg(z) + 60) / 40 AS pia FROM cells GROUP BY 1, gate HAVING gate * 60 >= 150),
+tm AS (SELECT t, lead(t) OVER (ORDER BY t) AS t1 FROM (SELECT DISTINCT t FROM pia)), seg AS (SELECT t AS t0, t1 FROM tm WHERE t1 IS NOT NULL),
+s1 AS (SELECT p.radar, p.t, p.gate, p.range, s.t0, s.t1 FROM wide p ASOF LEFT JOIN seg s ON p.t >= s.t0),
+s2 AS (SELECT radar, t, gate, range, coalesce(t0, (SELECT min(t0) FROM seg)) AS t0, coalesce(t1, (SELECT min(t1) FROM seg)) AS t1 FROM s1),
+v AS (SELECT s2.*, a.elev, a.pia + (b.pia - a.pia) * ((s2.t - t0) / CAST(t1 - t0 AS DOUBLE)) AS v FROM s2 JOIN pia a ON a.t = t0 JOIN pia b ON b.t = t1 AND b.elev = a.elev),
+vw AS (SELECT *, lead(elev) OVER x AS e1, lead(v) OVER x AS v1, row_number() OVER x AS i FROM v WINDOW x AS (PARTITION BY radar, t, gate ORDER BY elev)),
+vk AS (SELECT *, count(*) FILTER (WHERE elev <= range) OVER q AS below, count(*) OVER q AS n FROM vw WINDOW q AS (PARTITION BY radar, t, gate)),
+att AS (SELECT radar, t, gate, v + (v1 - v) * ((range - elev) / (e1 - elev)) AS pia FROM vk WHERE i = least(greatest(below, 1), n - 1)),
 st AS (SELECT t + 800000000000000 AS t, corr / 1e5 AS corr FROM corrections),
-w AS (SELECT w0.t, gate, z + corr + 3.35 AS z FROM w0 ASOF LEFT JOIN st ON w0.t >= st.t),
-j AS (SELECT ka.t, ka.gate, ka.range, ka.z AS z_ka, w.z AS z_w FROM ka LEFT JOIN w USING (t, gate)),
-i AS (SELECT *, sum(CASE WHEN g = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY t ORDER BY gate) AS id FROM (SELECT t, gate, range, gate - lag(gate) OVER (PARTITION BY t ORDER BY gate) AS g FROM j WHERE z_ka > -57)),
-ct AS (SELECT t, max(top) AS top FROM (SELECT t, id, max(range) AS top FROM i GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
-tt AS (SELECT d.t, top FROM (SELECT DISTINCT t FROM ka) d LEFT JOIN ct USING (t)),
-sm AS (SELECT t, top, CASE WHEN count(top) OVER w5 >= 1 THEN avg(top) OVER w5 END AS smooth FROM tt WINDOW w5 AS (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
-SELECT j.t, j.range, round(z_ka, 6) AS z_ka, round(z_w, 6) AS z_w, round(z_ka - z_w, 6) AS dfr, top AS cloudtop, round(smooth, 6) AS cloudtop_smooth FROM j JOIN sm USING (t)"""))
+j AS (SELECT radar, t, gate, wide.range, z_ka, z_w + att.pia + st.corr + 3.35 AS z_w, z_x FROM wide LEFT JOIN att USING (radar, t, gate) ASOF LEFT JOIN st ON wide.t >= st.t),
+vi AS (SELECT radar, t, gate, range, gate - lag(gate) OVER (PARTITION BY radar, t ORDER BY gate) - 1 AS gap FROM wide WHERE z_ka > -57),
+h AS (SELECT radar, t, id, max(range) AS top FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY radar, t ORDER BY gate) AS id FROM vi) GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+ct AS (SELECT radar, t, max(top) AS top FROM h GROUP BY 1, 2),
+lo AS (SELECT radar, t, arg_min(a, a) AS a, arg_min(b, a) AS b, arg_min(top, a) AS top FROM (SELECT radar, t, id, min(gate) AS a, max(gate) AS b, max(range) AS top
+  FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY radar, t ORDER BY gate) AS id FROM vi) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+tt AS (SELECT d.radar, d.t, CASE WHEN lo.a < 3 AND lo.b > 0 AND ct.top IS NOT NULL THEN least(ct.top, lo.top) END AS top
+  FROM (SELECT DISTINCT radar, t FROM wide) d LEFT JOIN ct USING (radar, t) LEFT JOIN lo USING (radar, t)),
+sm AS (SELECT radar, t, top, CASE WHEN count(top) OVER w5 >= 1 THEN avg(top) OVER w5 END AS smooth FROM tt WINDOW w5 AS (PARTITION BY radar ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT radar, t, j.range, round(z_ka, 6) AS z_ka, round(z_w, 6) AS z_w, round(z_x, 6) AS z_x, round(z_ka - z_w, 6) AS dfr_ka_w, round(z_ka - z_x, 6) AS dfr_ka_x,
+  top AS cloudtop, round(smooth, 6) AS cloudtop_smooth FROM j JOIN sm USING (radar, t)"""))
 def _(t):
-    """Two instruments on one grid: step corrections, calibration constant, ratio and layer tops."""
-    cells, grid = t.cells(), t.grid_cells().select("radar", "t", "gate", "range")
-    aligned = regrid.align_to_grid(cells, grid.select("radar", "gate", "t"), ["radar", "gate"], "t", ["z"], SLOT)
-    aligned = aligned.withColumn("range", ((F.col("gate") + 1) * 25).cast("double"))
-    ka = aligned.filter("radar = 'click'").select("t", "gate", "range", F.col("z").alias("z_ka"))
-    w = aligned.filter("radar = 'view'").select("t", "gate", "z")
+    """Three instruments on one grid, each in turn as the reference: masks, attenuation, step corrections, constant, ratios, connected tops."""
+    names = ["ka", "w", "x"]
+    cells = t.cells().select("radar", "t", "gate", "z", F.col("vel").alias("snr"))
+    ring = t.ring("radar").select(F.col("before").alias("radar"), F.col("radar").alias("after"))
+    wide = composite.wide_frame(cells, t.grid_cells().select("radar", "gate", "t"), composite.role_table(ring, "radar", "after", names), "radar", "t", "gate", ["z", "snr"], SLOT, names, "ka")
+    wide = cut_lineage(wide.withColumn("range", ((F.col("gate") + 1) * 25).cast("double")))
     steps = t.corrections().select((F.col("t") + 800_000_000_000_000).alias("t"), (F.col("corr") / 1e5).alias("corr"))
-    w = asof.add_corrected(w, steps, "t", [], "z", "corr", "z_w", constant=3.35).select("t", "gate", "z_w")
-    both = ka.join(w, ["t", "gate"], "left")
-    tops = profiles.cloudtop(ka, ["t"], "gate", "range", F.col("z_ka") > -57, 3)
-    tops = windows.rolling_mean(tops, [], "t", "cloudtop", SLOT, 5, 1, name="cloudtop_smooth")
-    out = both.join(tops, "t")
-    return out.select("t", "range", r6(F.col("z_ka")).alias("z_ka"), r6(F.col("z_w")).alias("z_w"), r6(F.col("z_ka") - F.col("z_w")).alias("dfr"),
-                      "cloudtop", r6(F.col("cloudtop_smooth")).alias("cloudtop_smooth"))
+    field = model_field(t.cells()).select("t", "elevation", F.lit(94.95).alias("frequency"), F.col("p").alias("pia"))
+    out = composite.composite(wide, ["radar"], "t", "gate", "range", "ka", "w", ["x"], -2.0, field, 94.95, 150.0, steps, 3.35, -57.0, SLOT)
+    rounded = [r6(F.col(c)).alias(c) for c in ("z_ka", "z_w", "z_x", "dfr_ka_w", "dfr_ka_x")]
+    return out.select("radar", "t", "range", *rounded, "cloudtop", r6(F.col("cloudtop_smooth")).alias("cloudtop_smooth"))

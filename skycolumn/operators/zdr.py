@@ -33,16 +33,22 @@ def build_points(rays: DataFrame, scan: str, gate: str, offset: float = 0.0, fra
                  share: float = 0.9) -> DataFrame:
     """Points of moving rays and complete gates, cleaned, sign turned, with the running scan number.
 
-    ``rays`` has one row per (scan, t, gate) with the ray's ``az`` and the five fields. Steps are
-    found on one row per ray, so a scan's window is as long as the scan has rays.
+    ``rays`` has one row per (scan, t, gate) with the ray's ``az`` and the five fields. A scan's rows meet once: steps are found on
+    one row per ray, and what is counted per scan or gate is counted in windows on the same partitioning, as long as the scan.
     """
-    per_ray = rays.groupBy(scan, "t").agg(F.first("az").alias("az"))
-    n = per_ray.groupBy(scan).agg(F.count(F.lit(1)).alias("_n"))
-    moving = (angle_step(per_ray.join(n, scan), [scan], "t", "az")
-              .filter(F.col("step") > fraction * 360.0 / F.col("_n")).select(scan, "t"))
+    rest = [c for c in rays.columns if c not in (scan, "t")]
+    per_ray = rays.repartition(scan).groupBy(scan, "t").agg(F.first("az").alias("_az"), F.collect_list(F.struct(*rest)).alias("_cells"))
+    whole = Window.partitionBy(scan)
+    per_ray = per_ray.withColumn("_n", F.count(F.lit(1)).over(whole))
+    moving = angle_step(per_ray, [scan], "t", "_az").filter(F.col("step") > fraction * 360.0 / F.col("_n"))
+    moving = moving.withColumn("_rays", F.count(F.lit(1)).over(whole))
     cleaned = {f: missing_to_null(F.col(f)) for f in FIELDS} | {"zdr": missing_to_null(-F.col("zdr")) + offset}
-    points = rays.join(moving, [scan, "t"], "left_semi").withColumns(cleaned)
-    points = points.join(scan_quality(points, scan, gate, share=share), [scan, gate], "left_semi")
+    points = moving.select(scan, "t", "_rays", F.explode("_cells").alias("_c")).select(scan, "t", "_rays", "_c.*").withColumns(cleaned)
+    of_gate = Window.partitionBy(scan, gate)
+    for f in FIELDS:
+        points = points.withColumn(f"_n_{f}", F.count(f).over(of_gate))
+    complete = F.least(*[F.col(f"_n_{f}") for f in FIELDS]) >= share * F.col("_rays")
+    points = points.filter(complete).select(*rays.columns)
     starts = points.groupBy(scan).agg(F.min("t").alias("_start"))
     # ties in start time are broken by the scan itself: equal starts share a running sum of their count
     by_start = starts.groupBy("_start").agg(F.count(F.lit(1)).alias("_c"))

@@ -10,7 +10,7 @@ from skycolumn.operators.ordered import DAY, attach_row, epoch_us, from_epoch_us
 from skycolumn.plans.bindings import SLOT, r6, sql
 from skycolumn.plans.registry import query
 from skycolumn.session import checkpoint_dir
-from skycolumn.sources import files, packing, store
+from skycolumn.sources import files, packing, store, versions
 from skycolumn.specs import INSTRUMENT_SPECS, VariableSpec
 from skycolumn.streaming import streams
 
@@ -97,6 +97,21 @@ def _(t):
     return rows.select(epoch_us(F.col("datetime")).alias("t"), "o_orderkey", "correction")
 
 
+@query("versioned_days", "S11 S12", sql("cells", """
+, d AS (SELECT radar, CAST(t // 86400000000 AS BIGINT) AS day, count(*) AS n, sum(z) AS z, bool_or(vel > 2.55) AS failed FROM cells GROUP BY 1, 2)
+SELECT radar, day, n, round(z + CASE WHEN failed THEN 0 ELSE n END, 4) AS z, CASE WHEN failed THEN 'too fast' END AS reason FROM d"""))
+def _(t):
+    """All days are committed, then again with other values: days that break a rule keep their rows and are listed with the reason."""
+    path = fresh(t, "versions")
+    keys = ("radar", "time", "gate")
+    cells = timed(t).select("radar", "time", "gate", "z", "vel")
+    versions.commit_days(cells, path, keys=keys)
+    versions.commit_days(cells.withColumn("z", F.col("z") + 1), path, {"too fast": F.col("vel") > 2.55}, keys)
+    day = F.datediff("date", F.lit("1970-01-01")).cast("long").alias("day")
+    rows = versions.read_versions(t.spark, path).groupBy("radar", day).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("z"), 4).alias("z"))
+    return rows.join(versions.failed_days(t.spark, path).select("radar", day, "reason"), ["radar", "day"], "left")
+
+
 @query("text_column_total", "S15 F21", """
 SELECT sum(TRY_CAST(CASE WHEN o_orderkey % 9 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS DOUBLE)) AS total FROM orders""")
 def _(t):

@@ -50,6 +50,14 @@ def _(t):
     return out.select("idx", "t", "gate", "az", r6(F.col("zdr")).alias("zdr"), "zh", r6(F.col("rhohv")).alias("rhohv"))
 
 
+@query("complete_scan_gates", "A21", RAYS + """,
+n AS (SELECT scan, count(DISTINCT t) AS rays FROM rays GROUP BY 1)
+SELECT scan, gate FROM rays JOIN n USING (scan) GROUP BY scan, gate, rays HAVING count(zdr) >= 0.3 * rays AND count(zh) >= 0.3 * rays AND count(rhohv) >= 0.3 * rays
+   AND count(snr_h) >= 0.3 * rays AND count(snrv) >= 0.3 * rays""")
+def _(t):
+    return B.scan_quality(rays(t), "scan", "gate", share=0.3)
+
+
 MLF = """,
 u AS (SELECT t, count(DISTINCT az) AS num_unique_az FROM pts GROUP BY 1),
 f AS (SELECT pts.*, num_unique_az FROM pts JOIN u USING (t) WHERE snr_h > 5 AND snrv > 5 AND rhohv > 0.95

@@ -1,6 +1,8 @@
 """Links and groups against all pairs, and defined cases."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from skycolumn.llm import embedding_dedup
 from skycolumn.llm.near_dedup import Forest
@@ -43,5 +45,31 @@ def test_empty(spark):
     assert embedding_dedup.similar_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.8, 0.9])
+def test_isolated_pairs_in_a_cloud(spark, mean):
+    """Pairs just above the threshold that nothing else is linked with, among vectors with this mean cosine."""
+    rng = np.random.default_rng(5)
+    n, pairs, d = 8000, 200, 64
+    side = np.zeros(d)
+    side[0] = 1
+    free = rng.standard_normal((n, d))
+    free[:, 0] = 0
+    x = np.sqrt(mean) * side + np.sqrt(1 - mean) * free / np.linalg.norm(free, axis=1)[:, None]
+    for k in range(pairs):
+        other = rng.standard_normal(d)
+        other -= (other @ x[k]) * x[k]
+        x[n - 1 - k] = 0.953 * x[k] + np.sqrt(1 - 0.953**2) * other / np.linalg.norm(other)
+    linked = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.95
+    np.fill_diagonal(linked, False)
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.similar_vectors(frame).collect()}
+    want = linked.sum(1)
+    assert want.sum() >= 2 * pairs and all(got[i] <= want[i] for i in range(n))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_passes():
+    assert embedding_dedup.passes_for(10**6, 0.95, spread=0.2) > embedding_dedup.passes_for(10**6, 0.95)
+    assert embedding_dedup.passes_for(10**6, 0.95, signs=30.0) > embedding_dedup.passes_for(10**6, 0.95, signs=10.0)
+    assert embedding_dedup._decile({}) == 1.0 and embedding_dedup._decile({3: 90, 9: 11}) == 9.0 and embedding_dedup._decile({3: 95, 9: 5}) == 3.0
     assert embedding_dedup.passes_for(10**6, 0.95) > embedding_dedup.passes_for(10**4, 0.95) >= 8

@@ -258,6 +258,30 @@ def _(t):
     return drained(t, out.select("event_id", "corrected")).select("event_id", r6(F.col("corrected")).alias("corrected"))
 
 
+@query("streamed_late_corrections", "T4s J2", """
+WITH s AS (SELECT o_orderdate + INTERVAL 9000 DAY AS ts, arg_min(o_totalprice, o_orderkey) / 1000 AS corr FROM orders GROUP BY 1),
+n AS (SELECT ts, corr, epoch_us(ts) // 86400000000 % 2 AS half FROM s),
+a AS (SELECT e.event_id, n.corr AS early FROM events e ASOF LEFT JOIN (SELECT * FROM n WHERE half = 0) n ON e.ts >= n.ts),
+b AS (SELECT e.event_id, round(value + s.corr, 6) AS corrected, s.corr AS late FROM events e ASOF LEFT JOIN s ON e.ts >= s.ts)
+SELECT event_id, corrected, CAST(CASE WHEN early IS DISTINCT FROM late THEN 2 ELSE 1 END AS BIGINT) AS revision FROM a JOIN b USING (event_id)""")
+def _(t):
+    """Events and the corrections of every other day arrive first, the other days' corrections afterwards."""
+    from skycolumn.streaming import corrections as late
+    rows, steps, out, marks = (fresh(t, n) for n in ("rows", "steps", "out", "marks"))
+    every = (t.orders.groupBy((F.col("o_orderdate") + F.expr("INTERVAL 9000 DAY")).alias("ts")).agg((F.min_by("o_totalprice", "o_orderkey") / 1000).alias("corr"))
+             .withColumn("half", F.floor(epoch_us(F.col("ts")) / 86_400_000_000) % 2))
+    types = t.events.agg(F.array_sort(F.collect_set("event_type")).alias("_types"))
+    every = attach_row(every, types).select("ts", "corr", "half", F.explode("_types").alias("event_type"))
+    t.events.select("event_type", "ts", "event_id", "value").write.parquet(rows)
+    for half in (0, 1):
+        every.filter(F.col("half") == half).select("event_type", "ts", "corr").write.mode("append").parquet(steps)
+        stream = lambda path, schema: t.spark.readStream.schema(schema).parquet(path)
+        revised = late.stream_late_corrections(stream(rows, "event_type string, ts timestamp_ntz, event_id long, value double"),
+                                               stream(steps, "event_type string, ts timestamp_ntz, corr double"), "ts", ["event_type"], "event_id", "value", "corr", "corrected", "20000 days")
+        late.write_revisions(revised, out, marks).awaitTermination()
+    return late.latest(t.spark.read.parquet(out), ["event_id"]).select("event_id", r6(F.col("corrected")).alias("corrected"), "revision")
+
+
 @query("streamed_store", "T2s W16", """
 SELECT event_type AS radar, epoch_us(ts) AS t, CAST(user_id AS DOUBLE) AS range, min(value) AS z FROM events GROUP BY 1, 2, 3""")
 def _(t):

@@ -54,10 +54,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Unlike a recomputed plan the result has a known size, so later joins are planned from it.
     """
     path = os.path.join(checkpoint_dir(df.sparkSession), f"step-{uuid.uuid4().hex}")
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+# tables of the open scopes, the innermost last
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``cut_lineage`` wrote inside; results must have been stored or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
 @contextlib.contextmanager
 def staged(df: DataFrame) -> Iterator[DataFrame]:
     """A written copy of a table that is deleted at the end."""
@@ -67,5 +89,4 @@ def staged(df: DataFrame) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete_path(spark, path)

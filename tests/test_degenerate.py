@@ -90,3 +90,15 @@ def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
     marks, out = str(tmp_path / "marks"), str(tmp_path / "out")
     q_sources.drain(q_sources.event_stream(t), out, marks)
     assert spark.read.parquet(out).count() == 100
+
+
+def test_temporary_tables(spark, tmp_path):
+    from skycolumn.session import cut_lineage, temporary_tables
+
+    outer = cut_lineage(spark.range(3))
+    with temporary_tables(spark):
+        inner = cut_lineage(spark.range(5))
+        path = inner.inputFiles()[0]
+        assert inner.count() == 5
+    import os
+    assert not os.path.exists(path.removeprefix("file://")) and outer.count() == 3

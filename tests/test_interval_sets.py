@@ -148,3 +148,39 @@ def test_lag_sums(spark, monkeypatch, block):
     assert all(got[p][1] == want[p][1] and got[p][0] == pytest.approx(want[p][0]) for p in want)
     with pytest.raises(ValueError):
         stats.lag_sums(points, ["k"], "t", stats.MOST_LAGS + 1)
+
+
+def test_late_corrections_state():
+    """Against a plain look-up after every arrival; what is evicted does not change what comes later."""
+    import pandas as pd
+
+    from skycolumn.streaming import corrections as late
+
+    rng = random.Random(9)
+    times = rng.sample(range(1000), 60)
+    rows = [(t * 10, f"r{t}", float(t), None) for t in times[:40]]
+    steps = [(t * 10 + rng.choice([0, 5]), None, None, float(i)) for i, t in enumerate(times[30:])]
+    arrivals = sorted(rows + steps, key=lambda r: r[0] + rng.randrange(3000))
+    held, known, given, watermark = late._EMPTY, [], {}, 0
+    for start in range(0, len(arrivals), 9):
+        part = arrivals[start:start + 9]
+        known += part
+        frame = pd.DataFrame(part, columns=["_t", "_id", "_v", "_c"]).astype({"_v": float, "_c": float})
+        frame["_t"] = frame["_t"].astype("datetime64[us]")
+        held, changed = late._revised(late._received(held, frame))
+        for i, c, n in zip(held["id"][changed], held["c"][changed], held["n"][changed]):
+            given[i] = (c, n)
+        watermark = max(watermark, max(r[0] for r in known) - 4000)
+        assert all(r[0] >= watermark - 4000 for r in part)
+        held = late._evicted(held, watermark)
+        assert (held["t"] >= watermark).all() and (held["st"] <= watermark).sum() <= 1
+    # arrivals are at most 3000 late, so the watermark never drops what can change
+    last = {}
+    for t, _, _, c in known:
+        if c is not None:
+            last[t] = c
+    for t, i, _, _ in rows:
+        before = [s for s in last if s <= t]
+        want = last[max(before)] if before else math.nan
+        assert given[i][0] == want or (math.isnan(want) and math.isnan(given[i][0]))
+    assert max(n for _, n in given.values()) > 1

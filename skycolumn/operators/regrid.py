@@ -212,8 +212,10 @@ def interp_at(table: DataFrame, points: DataFrame, t: str, axis: str, value: str
     then kept as one array pair per time for a bracket search inside the row.
     """
     times = table.select(t).distinct()
-    edges = add_neighbours(times.withColumn("_at", F.col(t)), [], t, next=["_at"])
-    segment = edges.filter(F.col("next__at").isNotNull()).select(F.col(t), F.col(t).alias("_t0"), F.col("next__at").alias("_t1"))
+    edges = add_neighbours(times.withColumn("_at", F.col(t)), [], t, prev=["_at"], next=["_at"])
+    # a single time holds for all times
+    end = F.coalesce("next__at", F.when(F.col("prev__at").isNull(), F.col(t)))
+    segment = edges.filter(end.isNotNull()).select(F.col(t), F.col(t).alias("_t0"), end.alias("_t1"))
     segment = cut_lineage(segment)  # one row per time of the model field
     # times before the first segment use the first one, times after the last one the last
     first = segment.agg(F.min(t).alias("_first"))
@@ -221,7 +223,8 @@ def interp_at(table: DataFrame, points: DataFrame, t: str, axis: str, value: str
     placed = asof(wanted, segment, t, [], ["_t0", "_t1"]).drop("matched_t", t).withColumnRenamed("_want", t)
     levels = lambda at, out: table.select(F.col(t).alias(at), axis, F.col(value).alias(out))
     both = placed.join(levels("_t0", "_v0"), "_t0").join(levels("_t1", "_v1"), ["_t1", axis])
-    moved = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * ((F.col(t) - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
+    moved = F.when(F.col("_t0") == F.col("_t1"), F.col("_v0")).otherwise(
+        F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(F.col(t) - F.col("_t0"), F.col("_t1") - F.col("_t0")))
     profiles = (both.select(t, axis, moved.alias("_v")).groupBy(t)
                 .agg(F.array_sort(F.collect_list(F.struct(axis, "_v"))).alias("_p")))
     joined = points.join(profiles, t, "left")

@@ -56,20 +56,10 @@ def read_cells(spark: SparkSession, path: str, radar: str | None = None, start:
     return df
 
 
-# Days up to which the touched partitions are named in a filter; more are found by a join.
-NAMED_DAYS = 2000
-
-
 def touched_days(store: DataFrame, days: DataFrame) -> DataFrame:
-    """The rows of the given (radar, date) partitions. Both ways give the same rows; the filter prunes what is read."""
-    named = days.limit(NAMED_DAYS + 1).collect()
-    if len(named) > NAMED_DAYS:
-        return store.join(days, list(PARTITION), "left_semi")
-    wanted = F.lit(False)
-    for radar in sorted({d["radar"] for d in named if d["radar"] is not None}):
-        dates = [d["date"] for d in named if d["radar"] == radar and d["date"] is not None]
-        wanted = wanted | ((F.col("radar") == radar) & F.col("date").isin(dates))
-    return store.filter(wanted)
+    """The rows of the given (radar, date) partitions; the first and the last date prune what is read, the join is exact."""
+    ends = days.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    return store.filter(F.col("date").between(F.lit(ends["a"]).cast("date"), F.lit(ends["b"]).cast("date"))).join(days, list(PARTITION), "left_semi")
 
 
 def update_columns(spark: SparkSession, new: DataFrame, path: str, columns: Sequence[str], staging: str,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skycolumn.session import staged
+from skycolumn.session import path_exists, staged
 from skycolumn.sources.store import touched_days, upsert_region
 from skycolumn.specs import VariableSpec
 
@@ -91,13 +91,9 @@ def stream_store(events: DataFrame, path: str, checkpoint: str, specs: Sequence[
         batch = batch.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
         # the days of a batch are few: as a filter on the partition columns they prune what is read
         days = batch.select("radar", F.to_date(ts).alias("date")).distinct()
-        try:
-            old = touched_days(spark.read.parquet(path), days).drop("date")
-            both = batch.unionByName(old, allowMissingColumns=True)
-        except Exception as error:  # first batch: no store yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            both = batch
+        both = batch
+        if path_exists(spark, path):  # not before the first batch
+            both = batch.unionByName(touched_days(spark.read.parquet(path), days).drop("date"), allowMissingColumns=True)
         rest = [c for c in both.columns if c not in keys]
         merged = both.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
         # staged, because the partitions that are read are replaced afterwards

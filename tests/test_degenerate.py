@@ -102,3 +102,12 @@ def test_temporary_tables(spark, tmp_path):
         assert inner.count() == 5
     import os
     assert not os.path.exists(path.removeprefix("file://")) and outer.count() == 3
+
+
+def test_field_of_one_time(spark):
+    from skycolumn.operators import regrid
+
+    table = spark.createDataFrame([(100, 0.0, 1.0), (100, 10.0, 3.0)], "t long, h double, v double")
+    points = spark.createDataFrame([(5, 5.0), (100, 0.0), (900, 20.0)], "t long, r double")
+    got = {r["t"]: r["x"] for r in regrid.interp_at(table, points, "t", "h", "v", "r", "x").collect()}
+    assert got == {5: 2.0, 100: 1.0, 900: 5.0}

@@ -5,7 +5,8 @@
    functions give a proven least number of bins for its pieces. Where the packing meets the bound only its
    emptiest bin is opened again (it can only be saved together with other groups); where there is a gap all bins with free room are.
 3. The pieces of opened bins are dealt to new, fewer groups and packed again, until the number of bins meets the bound of
-   the whole table, one group has packed all that is open, or a round saves nothing. Each round writes its tables.
+   the whole table, one group has packed all that is open, at most one bin is open, or after ``MOST_ROUNDS`` rounds. Each round writes
+   its tables. A round is not compared with the one before it.
 
 The bound of the table needs only the number of pieces of each length, at most ``capacity`` rows.
 

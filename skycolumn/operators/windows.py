@@ -109,23 +109,28 @@ def uniform_filter(df: DataFrame, keys: Sequence[str], t: str, value: str, step:
 
 
 # ---- autocovariance ------------------------------------------------------------------------
-def autocovariance(df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, lag: int = 1,
-                   bucket: int | None = None) -> DataFrame:
-    """Sum of lagged products of deviations over n-1, one row per key; the grid must be complete."""
+def _lag_moments(df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, lag: int, bucket: int | None) -> DataFrame:
+    """Per key the mean, the spread and the autocovariance, from one pass."""
     pairs = over_time(df, keys, t, 0, lag * step,
                       {"_y": lambda _, o: F.lead(value, lag).over(o),
                        "_z": lambda _, o: F.lead(t, lag).over(o)}, bucket)
     x, y = F.col(value), F.when(F.col("_z") == F.col(t) + lag * step, F.col("_y"))
     both = x.isNotNull() & y.isNotNull()
     sums = pairs.groupBy(*keys).agg(
-        F.avg(x).alias("_m"), F.count(F.lit(1)).alias("_n"), F.sum(x * y).alias("_xy"),
+        F.avg(x).alias("_m"), F.stddev_pop(x).alias("_sd"), F.count(F.lit(1)).alias("_n"), F.sum(x * y).alias("_xy"),
         F.sum(F.when(both, x + y)).alias("_xpy"), F.count_if(both).alias("_k"))
     m = F.col("_m")
     total = F.col("_xy") - m * F.col("_xpy") + F.col("_k") * m * m
-    return sums.select(*keys, F.when(F.col("_m").isNull() | (F.col("_k") == 0), 0.0)
+    return sums.select(*keys, "_m", "_sd", F.when(F.col("_m").isNull() | (F.col("_k") == 0), 0.0)
                        .otherwise(total / (F.col("_n") - 1)).alias("autocov"))
 
 
+def autocovariance(df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, lag: int = 1,
+                   bucket: int | None = None) -> DataFrame:
+    """Sum of lagged products of deviations over n-1, one row per key; the grid must be complete."""
+    return _lag_moments(df, keys, t, value, step, lag, bucket).select(*keys, "autocov")
+
+
 def autocov_outliers_2d(cells: DataFrame, keys: Sequence[str], t: str, gate: str, value: str, step: int,
                         threshold: float = 2.5, fraction: float = 0.4, bucket: int | None = None) -> DataFrame:
     """Times at which more than ``fraction`` of the gates are outliers of their own gate.
@@ -134,10 +139,9 @@ def autocov_outliers_2d(cells: DataFrame, keys: Sequence[str], t: str, gate: str
     is |x - mean| / std; gates with zero autocovariance or spread flag nothing.
     """
     per_gate = [*keys, gate]
-    scale = autocovariance(cells, per_gate, t, value, step, bucket=bucket)
-    moments = cells.groupBy(*per_gate).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
-    gates = cells.groupBy(*keys).agg(F.countDistinct(gate).alias("_gates"))
-    scored = cells.join(moments.join(scale, per_gate), per_gate)
+    scale = _lag_moments(cells, per_gate, t, value, step, 1, bucket)
+    gates = scale.groupBy(*keys).agg(F.count(gate).alias("_gates"))
+    scored = cells.join(scale, per_gate)
     z = F.when((F.col("_sd") > 0) & (F.col("autocov") != 0), F.abs(F.col(value) - F.col("_m")) / F.col("_sd"))
     times = scored.groupBy(*keys, t).agg(F.count_if(z > threshold).alias("flagged"))
     times = join_on(times, gates, keys)
@@ -146,12 +150,9 @@ def autocov_outliers_2d(cells: DataFrame, keys: Sequence[str], t: str, gate: str
 
 def noisy_times(cells: DataFrame, keys: Sequence[str], t: str, gate: str, values: Sequence[str], step: int,
                 **options) -> DataFrame:
-    """Union of the outlier times of several variables."""
-    found = [autocov_outliers_2d(cells, keys, t, gate, v, step, **options).select(*keys, t) for v in values]
-    out = found[0]
-    for other in found[1:]:
-        out = out.union(other)
-    return out.distinct()
+    """Union of the outlier times of several variables, which are one more key of the same pass."""
+    long = cells.select(*keys, t, gate, *values).unpivot([*keys, t, gate], list(values), "_variable", "_value")
+    return autocov_outliers_2d(long, [*keys, "_variable"], t, gate, "_value", step, **options).select(*keys, t).distinct()
 
 
 def autocov_outliers_rolling(df: DataFrame, keys: Sequence[str], t: str, value: str, step: int, width: int = 3,

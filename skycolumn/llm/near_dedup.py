@@ -193,7 +193,7 @@ def similarity_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     same_id = (named.join(repeated, "doc_id").select("doc_id", *mark).join(sets.select(*mark, "rep"), mark)
                .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     reps = sets.select(F.col("rep").alias("doc_id"), *mark)
-    bands = (named.join(reps, ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id"])
+    bands = (named.join(reps, ["doc_id", *mark], "left_semi").dropDuplicates(["doc_id", *mark])
              .select("doc_id", "n_shingles", F.explode("bands").alias("band")))
     crowded = bands.groupBy("band").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("band", "first")
     stars = bands.join(crowded, "band").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
@@ -226,5 +226,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
              .filter("_rows > 1 OR NOT _kept"))
     rows = docs.select(packed(docs), F.col(f"`{doc_id}`").cast("long").alias("_own")).join(flags, F.col("_own") == F.col("_id"), "left")
     rows = rows.filter(F.coalesce(F.col("_kept"), F.lit(True)))
-    once = rows.filter("_rows > 1").groupBy("_own").agg(F.first(ROW).alias(ROW)).select(f"{ROW}.*")
+    once = rows.filter("_rows > 1").groupBy("_own").agg(F.min_by(ROW, F.xxhash64(ROW)).alias(ROW)).select(f"{ROW}.*")
     return rows.filter("_rows IS NULL").select(f"{ROW}.*").unionByName(once)

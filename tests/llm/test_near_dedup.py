@@ -69,6 +69,19 @@ def test_against_all_pairs(spark, size):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
+def test_near_copies_of_every_text_of_an_id(spark):
+    rng = random.Random(11)
+    prose = lambda: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(120)]
+    near = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c = prose(), prose(), prose()
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (10, " ".join(c)), (3, near(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (docs, docs.orderBy("text"), docs.orderBy(docs.text.desc())):
+        got = {r.doc_id: r.component_id for r in near_dedup.similarity_groups(order, size=4).collect()}
+        assert got == {7: 7, 8: 7, 9: 7, 10: 3, 3: 3}
+    assert len({tuple(sorted(r.text for r in near_dedup.keep_one(o).collect())) for o in (docs, docs.orderBy("text"), docs.repartition(5))}) == 1
+
+
 def test_empty(spark):
     assert near_dedup.similarity_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -32,7 +32,10 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int, doc_id: str, text:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(key, ids: bytes) -> list[tuple]:
-        short = np.frombuffer(ids + end, "<u4").astype("<u2")
+        whole = np.frombuffer(ids + end, "<u4")
+        if whole.max() > 0xFFFF:
+            raise ValueError("rows hold ids of 16 bits; this vocabulary has larger ones")
+        short = whole.astype("<u2")
         return [(key, k, a, min(capacity, len(short) - a), short[a:a + capacity].tobytes()) for k, a in enumerate(range(0, len(short), capacity))]
 
     return encode_rows(docs, doc_id, text, cut, "doc_id any, piece int, start long, length int, ids binary")

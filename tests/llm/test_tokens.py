@@ -144,3 +144,9 @@ def test_empty(spark):
     assert repack.pack_documents(docs).collect() == []
     assert token_matrix.packed_rows(docs).collect() == []
     assert length_histogram.length_histogram(length_histogram.encoded_lengths(docs)).collect() == []
+
+
+def test_ids_beyond_two_bytes(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(Exception, match="16 bits"):
+        token_matrix.packed_rows(docs, end_id=70_000).collect()

@@ -4,10 +4,13 @@ The model is that of ``word_model``: word 3-grams as 64-bit hashes over the spel
 All trusted texts are counted but the held-out fifth, which sets the thresholds. The surprise of a text's words is divided by
 its number of characters.
 
-* Decide. A text's mean surprise is drawn to its language's median by ``PRIOR`` symbols (short texts carry little
-  evidence) and compared with median + ``MARGIN`` * (upper quantile - median), at least ``GAP``, of the held-out trusted texts of its language.
+* Decide. The excess of a text's mean surprise over the median of its language's held-out trusted texts is divided by its expected
+  noise, sqrt(1/n + 1/``STEADY``) for n characters, so that short and long texts share a scale. It may not exceed the ``QUANTILE`` quantile
+  of these values among the held-out texts of the language. That quantile is widened by its own sampling error, ``SURE`` / root of
+  their number, and drawn to that of all held-out texts by ``SHARED`` texts; both vanish as the held-out texts grow.
 
-Languages with less than ``LEAST`` trusted symbols, and NULL, use the model and the thresholds of all trusted text.
+Languages with less than ``LEAST`` trusted symbols, NULL, and those after the ``LANGUAGES`` largest use the model and the thresholds of all
+trusted text.
 Defined cases: NULL and empty texts have no perplexity and are rejected. Rows that repeat an id are judged each by its
 text. A very long text is scored in parts whose sums are added. Without any trusted text nothing with a word is
 rejected. An empty table gives an empty result.
@@ -26,10 +29,9 @@ from skycolumn.session import cut_lineage
 HELD_OUT = 5
 LEAST = 20_000
 LANGUAGES = 1000
-PRIOR = 150
-QUANTILE, MARGIN = 0.99, 1.5
-# The limit lies at least so many nats per symbol above the median, however few texts are held out.
-GAP = 0.3
+# Characters beyond which a text's mean gets no steadier.
+STEADY = 10_000
+QUANTILE, SURE, SHARED = 0.98, 2.0, 50
 # Bits of the map of trusted ids that sifts texts before they are joined: at most 2^17 words of 64 bits are broadcast.
 SIEVE_BITS = 1 << 23
 
@@ -61,18 +63,20 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text:
     scored = word_model.score(rows, sift(rows, trusted.filter("NOT held_out")).select("lang", "text"), total)
     scored = scored.withColumn("mean", F.try_divide("surprise", "n"))
     held = scored.join(trusted.filter("held_out").select("id"), "id", "left_semi").filter("n > 0")
-    held = held.unionByName(held.filter(F.col("lang") != "=" + POOL).withColumn("lang", F.lit("=" + POOL)))
-    middle = held.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10000).alias("middle"))
-    drawn = lambda m: (F.col("surprise") + PRIOR * m) / (F.col("n") + PRIOR)
-    upper = (held.join(middle, "lang").groupBy("lang").agg(F.percentile_approx(drawn(F.col("middle")), QUANTILE, 10000).alias("upper"), F.first("middle").alias("middle")))
-    limits = cut_lineage(upper.select("lang", "middle", (F.col("middle") + F.greatest(F.lit(GAP), MARGIN * (F.col("upper") - F.col("middle")))).alias("limit")))
+    held = held.withColumn("own", F.lit(True)).unionByName(held.filter(F.col("lang") != "=" + POOL).withColumn("lang", F.lit("=" + POOL)).withColumn("own", F.lit(False)))
+    middle = held.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10000).alias("middle"), F.count(F.lit(1)).alias("c"))
+    scaled = held.join(middle, "lang").withColumn("z", (F.col("mean") - F.col("middle")) / F.sqrt(1 / F.col("n") + F.lit(1 / STEADY)))
+    widened = lambda c: F.greatest(F.lit(0.0), F.percentile_approx("z", QUANTILE, 10000)) * (1 + SURE / F.sqrt(c))
+    limits = cut_lineage(scaled.groupBy("lang", "middle", "c").agg(widened(F.col("c")).alias("upper")))
+    shared = scaled.filter("own").agg(widened(F.greatest(F.lit(1), F.count(F.lit(1)))).alias("upper")).first()["upper"]
     # A language without held-out texts takes the limits of all, two numbers.
     pool = limits.filter(F.col("lang") == "=" + POOL).first()
-    out = scored.join(limits, "lang", "left")
-    middle, limit = (F.coalesce(F.col(c), F.lit(pool[c] if pool else None).cast("double")) for c in ("middle", "limit"))
-    value = drawn(middle)
-    return out.select("id", "mark", F.expr("substring(lang, 2)").alias("lang"), F.col("n").alias("n_symbols"), F.exp("mean").alias("perplexity"), F.exp(value).alias("drawn_perplexity"),
-                      F.exp(limit).alias("limit"), ((F.col("n") > 0) & F.coalesce(value <= limit, F.lit(True))).alias("kept"))
+    of_all = lambda c: F.lit(pool[c] if pool else None).cast("double")
+    limits = limits.withColumn("upper", (F.col("c") * F.col("upper") + SHARED * F.lit(shared).cast("double")) / (F.col("c") + SHARED)).drop("c")
+    out = scored.join(F.broadcast(limits), "lang", "left")  # one row per named language
+    limit = F.coalesce("middle", of_all("middle")) + F.coalesce("upper", of_all("upper")) * F.sqrt(F.try_divide(F.lit(1.0), "n") + F.lit(1 / STEADY))
+    return out.select("id", "mark", F.expr("substring(lang, 2)").alias("lang"), F.col("n").alias("n_symbols"), F.exp("mean").alias("perplexity"),
+                      F.exp(limit).alias("limit"), ((F.col("n") > 0) & F.coalesce(F.col("mean") <= limit, F.lit(True))).alias("kept"))
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text of its language, and the verdict."""
     trusted = perplexity.trusted_of(table(spark, sf_dir, "labels"))
     judged = perplexity.judge(table(spark, sf_dir, "documents"), trusted)
-    return judged.select(F.col("id").alias("doc_id"), "lang", "n_symbols", "perplexity", "drawn_perplexity", "limit", "kept")
+    return judged.select(F.col("id").alias("doc_id"), "lang", "n_symbols", "perplexity", "limit", "kept")
 
 
 @query

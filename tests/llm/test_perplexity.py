@@ -1,5 +1,6 @@
 """Verdicts and defined cases; the model itself is tested in test_word_model."""
 
+import math
 import random
 
 import pytest
@@ -49,3 +50,48 @@ def test_sift(spark):
     rows = spark.range(5000).selectExpr("id", "cast(id as string) AS text")
     ids = spark.range(0, 9000, 7)
     assert sorted(r.id for r in perplexity.sift(rows, ids).collect()) == list(range(0, 5000, 7))
+
+
+def test_limits_are_quantiles_of_held_out_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(perplexity, "LEAST", 2000)
+    # Scores stand in for the model: texts of one language lie around 1.5 with noise by length, those of the other around 2.5.
+    rows = []
+    for i in range(3000):
+        n = rng.choice([20, 80, 400, 3000, 60_000])
+        lang = rng.choice(["aa", "bb"])
+        rows.append((i, lang, n, (1.5 if lang == "aa" else 2.5) + rng.gauss(0, 4) * (1 / n + 1 / perplexity.STEADY) ** 0.5))
+    mean = {i: m for i, _, _, m in rows}
+    size = {i: n for i, _, n, _ in rows}
+    docs = spark.createDataFrame([(i, "word " * 8, lang) for i, lang, _, _ in rows], "doc_id long, text string, lang string")
+    table = spark.createDataFrame([(i, mean[i] * size[i], size[i]) for i in mean], "id long, surprise double, n long")
+    monkeypatch.setattr(perplexity.word_model, "score", lambda d, t, c: d.select("id", "mark", "lang").join(table, "id"))
+    got = {r.id: r for r in perplexity.judge(docs, spark.range(3000)).collect()}
+    assert len(got) == 3000
+    for lang in ("aa", "bb"):
+        own = [i for i, x, _, _ in rows if x == lang]
+        assert 0.97 <= sum(got[i].kept for i in own) / len(own) <= 1
+        # the same share at every length
+        for n in (20, 400, 60_000):
+            part = [i for i in own if size[i] == n]
+            assert 0.94 <= sum(got[i].kept for i in part) / len(part)
+    held = {r.id for r in spark.range(3000).filter(f"pmod(xxhash64(id, 3), {perplexity.HELD_OUT}) = 0").collect()}
+
+    def scaled(ids):
+        means = sorted(mean[i] for i in ids)
+        middle = means[-(-len(means) // 2) - 1]
+        return middle, [(mean[i] - middle) / (1 / size[i] + 1 / perplexity.STEADY) ** 0.5 for i in ids]
+
+    def widened(values):
+        return sorted(values)[-int(-perplexity.QUANTILE * len(values) // 1) - 1] * (1 + perplexity.SURE / len(values) ** 0.5)
+
+    each = {lang: scaled([i for i, x, _, _ in rows if x == lang and i in held]) for lang in ("aa", "bb")}
+    shared = widened([z for _, values in each.values() for z in values])
+    for lang in ("aa", "bb"):
+        middle, values = each[lang]
+        c = len(values)
+        width = (c * widened(values) + perplexity.SHARED * shared) / (c + perplexity.SHARED)
+        for i, x, n, m in rows:
+            if x == lang:
+                limit = middle + width * (1 / n + 1 / perplexity.STEADY) ** 0.5
+                assert abs(limit - math.log(got[i].limit)) < 1e-9 and (abs(m - limit) < 1e-9 or got[i].kept == (m <= limit))

@@ -6,7 +6,11 @@
    emptiest bin is opened again (it can only be saved together with other groups); where there is a gap all bins with free room are.
 3. The pieces of opened bins are dealt to new, fewer groups and packed again, until the number of bins meets the bound of
    the whole table, one group has packed all that is open, at most one bin is open, or after ``MOST_ROUNDS`` rounds. Each round writes
-   its tables. A round is not compared with the one before it.
+   its tables. A round that needs more bins than the one before for the same pieces is dropped: they keep their places, and the
+   next round deals them anew.
+
+Every row carries the certificate of the whole result: ``n_sequences`` and ``bound``, the proven least number. Where they are equal
+nothing is left to save.
 
 The bound of the table needs only the number of pieces of each length, at most ``capacity`` rows.
 
@@ -63,7 +67,7 @@ def _pack(capacity: int, last: bool):
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """``items`` (a written table) with a column ``length`` of 1..capacity; adds sequence_id and offset."""
+    """``items`` (a written table) with a column ``length`` of 1..capacity; adds sequence_id, offset, n_sequences and bound."""
     names = items.columns
     lengths = np.zeros(capacity + 1, dtype=np.int64)
     for row in items.groupBy("length").count().collect():  # at most one row for each length
@@ -71,7 +75,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
     bound = lower_bound(lengths, capacity)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
     schema += ", group long, bin long, offset long, opened boolean, gap long"
-    active, n, done, sealed = items, int(lengths.sum()), [], 0
+    # ``best`` holds the places so far of the pieces still open, in ``best_bins`` bins.
+    active, n, done, sealed, best, best_bins = items, int(lengths.sum()), [], 0, None, 0
     for level in range(rounds):
         groups = max(1, math.ceil(n / group))
         last = groups == 1 or level == rounds - 1
@@ -80,16 +85,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds:
         numbered = result.withColumn("sequence_id", F.lit(level).cast("long") * (1 << 58) + F.col("group") * (1 << 24) + F.col("bin"))
         heads = result.filter("offset = 0").groupBy().agg(F.sum(F.when(F.col("opened"), 1).otherwise(0)).alias("open"), F.count(F.lit(1)).alias("all")).first()
         opened, all_bins = heads["open"] or 0, heads["all"]
+        if best is not None and all_bins > best_bins:
+            if last:
+                break
+            continue
         if last or sealed + all_bins <= bound or opened <= 1:
-            done.append(numbered)
+            best, best_bins = numbered, all_bins
             break
         done.append(numbered.filter("NOT opened"))
         sealed += all_bins - opened
+        best, best_bins = numbered.filter("opened"), opened
         active = result.filter("opened").select(*names)
         n = active.count()
-    return functools.reduce(DataFrame.unionByName, [d.select(*names, "sequence_id", "offset") for d in done])
+    certificate = F.lit(sealed + best_bins).cast("long").alias("n_sequences"), F.lit(int(bound)).cast("long").alias("bound")
+    return functools.reduce(DataFrame.unionByName, [d.select(*names, "sequence_id", "offset") for d in [*done, best]]).select("*", *certificate)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, bound."""
     return pack(cut_lineage(pieces(docs, capacity, doc_id, text)), capacity)

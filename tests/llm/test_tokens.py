@@ -66,6 +66,35 @@ def test_exchange_between_groups(spark, tmp_path):
     check_places([(r.sequence_id, r.offset, r.length) for r in got], 100)
     bound = lower_bound(np.bincount(lengths, minlength=101), 100)
     assert bound <= len({r.sequence_id for r in got}) <= 1.03 * bound + 1
+    assert {(r.n_sequences, r.bound) for r in got} == {(len({r.sequence_id for r in got}), bound)}
+
+
+@pytest.mark.parametrize("rounds", [8, 2])
+def test_a_worse_round_is_dropped(spark, monkeypatch, rounds):
+    rng = random.Random(12)
+    lengths = [rng.choice([3, 7, 30, 45, 52, 61, 99]) for _ in range(900)]
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long")
+    real, seen = repack._pack, []
+
+    def spoiled(capacity, last):
+        seen.append(last)
+        plain = real(capacity, last)
+        if len(seen) != 2:
+            return plain
+
+        def one_each(part):
+            return plain(part).assign(bin=range(len(part)), offset=0, opened=not last)
+
+        return one_each
+
+    first_round = repack.pack(items, capacity=100, group=20, rounds=1).select("sequence_id").distinct().count()
+    monkeypatch.setattr(repack, "_pack", spoiled)
+    got = repack.pack(items, capacity=100, group=20, rounds=rounds).collect()
+    assert sorted(r.item for r in got) == list(range(900)) and (len(seen) > 2 if rounds > 2 else len(seen) == 2)
+    check_places([(r.sequence_id, r.offset, r.length) for r in got], 100)
+    n = len({r.sequence_id for r in got})
+    assert n <= first_round
+    assert {(r.n_sequences, r.bound) for r in got} == {(n, lower_bound(np.bincount(lengths, minlength=101), 100))}
 
 
 def test_bound_is_never_above_the_best():
@@ -91,7 +120,7 @@ def test_bound_is_never_above_the_best():
 
 def test_best_fit_is_tightest():
     rng = random.Random(9)
-    lengths = np.array([rng.randint(1, 50) for _ in range(300)])
+    lengths = np.array([rng.randint(1, 50) for _ in range(900)])
     _, _, loads = best_fit_decreasing(lengths, 64)
     free = []
     for n in sorted(lengths.tolist(), reverse=True):

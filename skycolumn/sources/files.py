@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,20 +19,43 @@ SOUNDING_COLUMNS = {"Time": "time_sec", "UTC Time": "time_UTC", "P": "P_hPa", "T
 ZDR_CORRECTIONS = "filename string, datetime timestamp_ntz, correction_dB double, std_dB double"
 DFR_CORRECTIONS = ("time timestamp_ntz, num_valid_points bigint, correlation double, mean_DFR double, "
                    "ratio_DFR_var double, cloudtop_ranges string, cloudtop_times string, DFR string")
+# A Parquet file without rows is a footer alone; a longer one that gives no row is corrupt.
+FOOTER_BYTES = 64 << 20
+
+
+def _without_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (source_file, content) the files that open and hold no rows."""
+    for batch in batches:
+        sound = []
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            try:
+                if pq.ParquetFile(io.BytesIO(content.as_py())).metadata.num_rows == 0:
+                    sound.append(file)
+            except (pa.ArrowException, OSError):
+                pass
+        yield pa.RecordBatch.from_arrays([pa.array(sound, pa.string())], names=["source_file"])
 
 
 def read_many_safe(spark: SparkSession, paths: Sequence[str], schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, excluded files): corrupt or empty files are skipped and listed.
+    """(rows, excluded files): files that do not open, corrupt ones or ones of no bytes, are skipped and listed.
 
-    The listing is the file index Spark builds anyway (a listing by ``binaryFile`` would miss files of no bytes). A
-    file that gives no row is excluded.
+    The listing is the file index Spark builds anyway (a listing by ``binaryFile`` would miss files of no bytes). The files that
+    give no row are found while this is called, from the footers alone; of these, the ones that open are sound and not excluded.
     """
     reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*paths)
     rows = reader.withColumn("source_file", F.col("_metadata.file_path"))
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    listed = spark.createDataFrame([(f,) for f in reader.inputFiles()], "source_file string").select(plain("source_file").alias("source_file"))
+    listed = spark.createDataFrame([(f,) for f in reader.inputFiles()], "listed string").withColumn("source_file", plain("listed"))
     read = rows.select(plain("source_file").alias("source_file")).distinct()
-    return rows, listed.join(read, "source_file", "left_anti")
+    silent = [tuple(r) for r in listed.join(read, "source_file", "left_anti").select("source_file", "listed").collect()]
+    excluded = spark.createDataFrame([(f,) for f, _ in silent], "source_file string")
+    if silent:
+        # names are no patterns
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for _, f in silent]
+        whole = spark.read.format("binaryFile").load(names).filter(F.col("length") <= FOOTER_BYTES)
+        sound = whole.select(plain(F.col("_metadata.file_path")).alias("source_file"), "content").mapInArrow(_without_rows, "source_file string")
+        excluded = excluded.join(sound, "source_file", "left_anti")
+    return rows, excluded
 
 
 def select_files(manifest: DataFrame, name: str, pattern: str, fmt: str, start: str, end: str) -> DataFrame:

@@ -81,6 +81,34 @@ def test_safe_reads(spark, tmp_path):
     assert {os.path.basename(r[0]) for r in excluded.collect()} == {"empty.parquet", "bad.parquet"}
 
 
+def test_safe_reads_keep_sound_files_without_rows(spark, tmp_path):
+    folder = tmp_path / "a {b} [c]"
+    spark.range(10).repartition(2).write.parquet(str(folder))
+    spark.range(0).write.mode("append").parquet(str(folder))
+    whole = next(folder.glob("part-*")).read_bytes()
+    for name, content in (("none.parquet", b""), ("bad 1.parquet", b"PAR1 nothing PAR1"), ("cut.parquet", whole[:-20])):
+        (folder / name).write_bytes(content)
+    rows, excluded = files.read_many_safe(spark, [str(tmp_path / "a*")], "id bigint")
+    assert rows.count() == 10
+    assert {os.path.basename(r[0]) for r in excluded.collect()} == {"none.parquet", "bad%201.parquet", "cut.parquet"}
+    sound = str(tmp_path / "sound")
+    spark.range(3).write.parquet(sound)
+    assert files.read_many_safe(spark, [sound], "id bigint")[1].count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_safe_reads_of_a_split_table(spark):
+    """A table of one row group that is read in several parts: the first part has no row and writes a file without rows."""
+    from skycolumn.plans import catalogue
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert {r["excluded"] for r in catalogue.QUERIES["safe_file_reads"](spark, "/root/testdata/sf0.001").collect()} == {2}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_file_selection_adds_the_one_before(spark):
     names = [f"a_20241105-{h:02d}00.nc" for h in range(0, 24, 6)] + ["junk.nc"]
     df = spark.createDataFrame([(n,) for n in names], "name string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Element names of HTML by kind.
@@ -224,6 +225,7 @@ def features(page: Page) -> list[list[float]]:
             up[k] += own[k]
     all_text = max(1, total[0][0])
     above: list[tuple[frozenset[str], bool]] = []
+    alike = Counter((n.parent, n.tag) for n in nodes)
     rows = []
     for i, n in enumerate(nodes):
         text, link, blocks, stops, tags, inputs, paragraphs = total[i]
@@ -231,9 +233,7 @@ def features(page: Page) -> list[list[float]]:
             parent = nodes[n.parent]
             groups, inside = above[n.parent]
             above.append((groups | n.groups, inside or _TAG_OF.get(n.tag) == "article"))
-            siblings = parent.children
-            same = sum(nodes[j].tag == n.tag for j in siblings) if len(siblings) <= 50 else len(siblings)
-            place, count, share, over = n.before / all_text, len(siblings), text / max(1, total[n.parent][0]), _TAG_OF.get(parent.tag, "other")
+            place, count, same, share, over = n.before / all_text, len(parent.children), alike[n.parent, n.tag], text / max(1, total[n.parent][0]), _TAG_OF.get(parent.tag, "other")
         else:
             groups, inside, same, place, count, share, over = frozenset(), False, 1, 0.0, 1, 1.0, "other"
             above.append((n.groups, False))

@@ -184,11 +184,12 @@ def extract(model: Boosted, htmls: list[str | None]) -> list[str]:
 
 
 def sample(pages: DataFrame, page_id: str, html: str) -> list[str]:
-    """At most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters: those with the smallest hashes of their ids."""
+    """At most ``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters: those with the smallest hashes of their ids, of pages with the same id
+    the smallest texts."""
     rows = pages.select(F.xxhash64(F.col(f"`{page_id}`"), F.lit(9)).alias("h"), F.col(f"`{html}`").cast("string").alias("html"))
     rows = rows.filter(F.length("html").between(1, SAMPLE_CHARS))
     edge = [r["h"] for r in rows.select("h").orderBy("h").limit(SAMPLE).collect()]
-    return sorted(r["html"] for r in rows.filter(F.col("h") <= edge[-1]).limit(2 * SAMPLE).collect()) if edge else []
+    return sorted(r["html"] for r in rows.filter(F.col("h") <= edge[-1]).orderBy("h", "html").limit(SAMPLE).collect()) if edge else []
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", model: Boosted | None = None) -> DataFrame:

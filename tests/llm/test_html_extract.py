@@ -102,6 +102,24 @@ def test_rows(spark, model):
     assert html_extract.main_text(empty, model=model).collect() == []
 
 
+@pytest.mark.parametrize("n", [20, 60, 400])
+def test_siblings_of_any_number(n):
+    """The share of siblings of the same kind has no other rule for crowded parents."""
+    page = dom.parse("<div>" + "<p>x</p><h2>y</h2><ul><li>z</li></ul><p>w</p>" * (n // 4) + "</div>")
+    rows, same = dom.features(page), {"p": 0.5, "h2": 0.25, "ul": 0.25}
+    shares = {(node.tag, row[10]) for node, row in zip(page.nodes, rows) if node.tag in same}
+    assert shares == set(same.items())
+
+
+def test_sample_of_one_id(spark):
+    """The pages that teach do not depend on the order of the rows, however many share an id."""
+    rows = [(1, f"<p>{i:04d}</p>") for i in range(900)]
+    random.Random(3).shuffle(rows)
+    make = lambda r: html_extract.sample(spark.createDataFrame(r, "page_id long, html string"), "page_id", "html")
+    want = sorted(h for _, h in rows)[:html_extract.SAMPLE]
+    assert make(rows) == make(rows[::-1]) == want
+
+
 def test_fit_without_text():
     assert html_extract.extract(html_extract.fit([]), ["<p>x</p>"]) is not None
 

@@ -256,12 +256,16 @@ def hybrid_pressure(levels: DataFrame, coefficients: DataFrame, surface: DataFra
 # ---- time series -----------------------------------------------------------------------------
 def count_within(times: DataFrame, keys: Sequence[str], t: str, windows: Mapping[str, int],
                  bucket: int | None = None) -> DataFrame:
-    """Number of rows within half a window on either side, one column per window."""
+    """Number of rows within half a window on either side, one column per window.
+
+    A count is the difference of two counts from the bucket's first row on, which grow from row to row, so the work does not depend on how
+    many rows a window holds; a frame that slides is counted anew for every row.
+    """
     widest = max(windows.values()) // 2
     rows = halo(times, keys, t, widest, widest, bucket)
     order = Window.partitionBy(*keys, BUCKET).orderBy(t)
-    return owned(rows.withColumns({n: F.count(F.lit(1)).over(order.rangeBetween(-(w // 2), w // 2))
-                                   for n, w in windows.items()}))
+    until = lambda at: F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, at))
+    return owned(rows.withColumns({n: until(w // 2) - until(-(w // 2) - 1) for n, w in windows.items()}))
 
 
 def gap_marker(df: DataFrame, keys: Sequence[str], t: str, value: str, max_gap: int,

@@ -239,3 +239,17 @@ def test_angle_steps_and_scan_points(spark):
     got = zdr.build_points(df, "scan", "gate", 0.5)
     assert {r["scan"] for r in got.select("scan").distinct().collect()} == {"s1"}
     assert got.count() == 36 and got.first()["idx"] == 1 and abs(got.first()["zdr"] - 0.4) < 1e-12
+
+
+@pytest.mark.parametrize("bucket", [None, 1000])
+def test_count_within_has_no_sliding_frame(spark, bucket):
+    """Counts grow from the bucket's start, so dense rows cost no more than sparse ones."""
+    import re
+
+    rnd = random.Random(8)
+    rows = [(k, t) for k in "ab" for t in rnd.sample(range(-2000, 2000), 700)]
+    out = windows.count_within(spark.createDataFrame(rows, "k string, t long"), ["k"], "t", {"near": 41, "far": 200}, bucket)
+    got = {(r["k"], r["t"]): (r["near"], r["far"]) for r in out.collect()}
+    assert got == {(k, t): tuple(sum(j == k and abs(u - t) <= w // 2 for j, u in rows) for w in (41, 200)) for k, t in rows}
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", out._jdf.queryExecution().optimizedPlan().toString())
+    assert set(frames) == {"unboundedpreceding$()"}

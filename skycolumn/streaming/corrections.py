@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from skycolumn.streaming.streams import event_time
 
+# Groups that the rows of a key are dealt to; each holds the steps of the key.
+SHARDS = 64
+
 _EMPTY = {"t": np.zeros(0, np.int64), "id": np.zeros(0, object), "v": np.zeros(0), "c": np.zeros(0), "n": np.zeros(0, np.int64), "st": np.zeros(0, np.int64), "sc": np.zeros(0)}
 
 
@@ -48,24 +51,29 @@ def _evicted(held: dict, watermark: int) -> dict:
 
 
 def stream_late_corrections(rows: DataFrame, steps: DataFrame, ts: str, keys: Sequence[str], row_id: str, value: str, correction: str, name: str,
-                            watermark: str) -> DataFrame:
+                            watermark: str, shards: int = SHARDS) -> DataFrame:
     """``name`` = value + the last step at or before the row's time, for two streams that may be late against each other.
 
     A row is given out when it arrives (``revision`` 1) and again whenever a step that arrived since changes its correction; the highest
-    revision of a row is its state (see ``write_revisions``). State per key: the rows and steps younger than the watermark and the one step that holds at
-    it; a timer drops the rest when no more data arrive for the key. Output mode is update.
+    revision of a row is its state (see ``write_revisions``). The rows of a key are dealt to ``shards`` groups by a hash of their id and its steps, which are
+    few, go to all of them, so that a task holds one group's rows and not a whole key's. State per group: the rows and steps younger than the
+    watermark and the one step that holds at it; a timer drops the rest when no more data arrive for the group. A checkpoint is bound to its
+    number of shards. Output mode is update.
     """
-    def side(df: DataFrame, i, v, c) -> DataFrame:
-        return df.select(*keys, F.col(ts).cast("timestamp").alias("_t"), i.cast("string").alias("_id"), v.cast("double").alias("_v"), c.cast("double").alias("_c"))
+    def side(df: DataFrame, i, v, c, shard) -> DataFrame:
+        return df.select(*keys, F.col(ts).cast("timestamp").alias("_t"), i.cast("string").alias("_id"), v.cast("double").alias("_v"), c.cast("double").alias("_c"),
+                         shard.alias("_shard"))
 
     none = F.lit(None)
-    both = event_time(side(rows, F.col(row_id), F.col(value), none).unionByName(side(steps, none, none, F.col(correction))), "_t", watermark)
+    dealt, copied = F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(shards)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    both = event_time(side(rows, F.col(row_id), F.col(value), none, dealt).unionByName(side(steps, none, none, F.col(correction), copied)), "_t", watermark)
     kinds = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = pickle.loads(state.get[0]) if state.exists else _EMPTY
-        for frame in frames if not state.hasTimedOut else ():
-            held = _received(held, frame)
+        parts = [] if state.hasTimedOut else list(frames)
+        if parts:
+            held = _received(held, pd.concat(parts, ignore_index=True))
         held, changed = _revised(held)
         out = pd.DataFrame({"_id": held["id"][changed], "_t": held["t"][changed].astype("datetime64[us]"), "_v": held["v"][changed], "_c": held["c"][changed], "revision": held["n"][changed]})
         for i, k in enumerate(keys):
@@ -78,7 +86,7 @@ def stream_late_corrections(rows: DataFrame, steps: DataFrame, ts: str, keys: Se
         if len(out):
             yield out
 
-    found = both.groupBy(*keys).applyInPandasWithState(run, ", ".join([*kinds, "_id string, _t timestamp, _v double, _c double, revision long"]), "state binary", "update", "EventTimeTimeout")
+    found = both.groupBy(*keys, "_shard").applyInPandasWithState(run, ", ".join([*kinds, "_id string, _t timestamp, _v double, _c double, revision long"]), "state binary", "update", "EventTimeTimeout")
     known = F.nanvl("_c", none.cast("double"))
     return found.select(*keys, F.col("_id").cast(rows.schema[row_id].dataType).alias(row_id), F.col("_t").cast("timestamp_ntz").alias(ts), F.col("_v").alias(value),
                         known.alias(correction), (F.col("_v") + known).alias(name), "revision")

@@ -184,3 +184,24 @@ def test_late_corrections_state():
         want = last[max(before)] if before else math.nan
         assert given[i][0] == want or (math.isnan(want) and math.isnan(given[i][0]))
     assert max(n for _, n in given.values()) > 1
+
+
+def test_late_corrections_are_sharded(spark, tmp_path):
+    """The rows of one key are dealt to many groups; every group gets all steps, and late ones revise."""
+    from datetime import datetime, timedelta
+
+    from skycolumn.streaming import corrections as late
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows, steps, out, marks = (str(tmp_path / n) for n in ("rows", "steps", "out", "marks"))
+    kinds = ("k string, ts timestamp_ntz, id long, v double", "k string, ts timestamp_ntz, c double")
+    spark.createDataFrame([("a", at(m), m, float(m)) for m in range(300)], kinds[0]).coalesce(1).write.parquet(rows)
+    for first in (0, 50):
+        spark.createDataFrame([("a", at(m), float(m)) for m in range(first, 300, 100)], kinds[1]).coalesce(1).write.mode("append").parquet(steps)
+        read = lambda path, kind: spark.readStream.schema(kind).parquet(path)
+        revised = late.stream_late_corrections(read(rows, kinds[0]), read(steps, kinds[1]), "ts", ["k"], "id", "v", "c", "fixed", "20000 days")
+        query = late.write_revisions(revised, out, marks)
+        query.awaitTermination()
+    got = late.latest(spark.read.parquet(out), ["id"]).collect()
+    assert {r["id"]: (r["fixed"], r["revision"]) for r in got} == {m: (m + m // 50 * 50.0, 1 + m // 50 % 2) for m in range(300)}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == late.SHARDS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,31 +164,42 @@ def interval_join(points: DataFrame, intervals: DataFrame, t: str, keys: Sequenc
     return left.join(right, [*keys, "_level", "_slot"]).filter(inside).drop("_level", "_slot")
 
 
-# how an interval set takes part in a sweep: the wanted combination of "inside the first" and "inside the second"
+# the wanted combinations of "inside the first" and "inside the second"
 _ALGEBRA = {
-    "union": lambda a, b: a | b,
-    "intersection": lambda a, b: a & b,
-    "difference": lambda a, b: a & ~b,
+    "union": lambda inside: inside("a") | inside("b"),
+    "intersection": lambda inside: inside("a") & inside("b"),
+    "difference": lambda inside: inside("a") & ~inside("b"),
 }
 
 
-def combine_intervals(first: DataFrame, second: DataFrame, keys: Sequence[str], how: str, bucket: int | None = None) -> DataFrame:
-    """``union``, ``intersection`` or ``difference`` of two sets of half-open intervals [start, end) as disjoint intervals.
+def sweep_intervals(sets: Mapping[str, DataFrame], keys: Sequence[str], wanted: Mapping[str, Callable], bucket: int | None = None) -> DataFrame:
+    """(keys, how, start, end): disjoint intervals of each combination in ``wanted`` of sets of half-open intervals [start, end).
 
-    One sweep: each interval is a step up and a step down of its set's depth; steps at one time are summed, the depths are running
-    sums over the times, and stretches on which the wanted combination holds are the result. Overlaps within a set count once.
+    ``wanted`` names conditions; each gets a function from a set's name to the Column "inside that set". One sweep serves all of them: an interval is
+    a step up and a step down of its set's depth; steps at one time are summed, the depths are running sums over the times, and what they were
+    before a time is the sum less its own step, so a change shows in its own row. Overlaps within a set count once.
     """
-    def steps(df: DataFrame, a: int, b: int) -> DataFrame:
-        ends = F.array(F.struct(F.col("start").alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct(F.col("end").alias("t"), F.lit(-a).alias("a"), F.lit(-b).alias("b")))
-        return df.filter(F.col("start") < F.col("end")).select(*keys, F.explode(ends).alias("_s")).select(*keys, "_s.t", "_s.a", "_s.b")
-
-    times = steps(first, 1, 0).unionByName(steps(second, 0, 1)).groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    depths = add_running(times, keys, "t", {"_a": ("sum", F.col("a")), "_b": ("sum", F.col("b"))}, bucket)
-    state = depths.select(*keys, "t", _ALGEBRA[how](F.col("_a") > 0, F.col("_b") > 0).alias("_on"))
-    # A stretch ends where the next one, of the other state, begins.
-    changes = add_neighbours(state, keys, "t", prev=["_on"], bucket=bucket).filter(~F.col("_on").eqNullSafe(F.coalesce("prev__on", F.lit(False)))).select(*keys, "t", "_on")
-    return (add_neighbours(changes.withColumn("_at", F.col("t")), keys, "t", next=["_at"], bucket=bucket).filter("_on")
-            .select(*keys, F.col("t").alias("start"), F.col("next__at").alias("end")))
+    def steps(df: DataFrame, own: str) -> DataFrame:
+        end = lambda c, sign: F.struct(F.col(c).alias("t"), *[F.lit(sign if n == own else 0).alias(f"_d_{n}") for n in sets])
+        return df.filter(F.col("start") < F.col("end")).select(*keys, F.explode(F.array(end("start", 1), end("end", -1))).alias("_s")).select(*keys, "_s.*")
+
+    every = None
+    for name, df in sets.items():
+        every = steps(df, name) if every is None else every.unionByName(steps(df, name))
+    times, _ = enter(every.groupBy(*keys, "t").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in sets]), keys, "t", bucket)
+    depths = add_running(times, keys, "t", {f"_n_{n}": ("sum", F.col(f"_d_{n}")) for n in sets})
+    now, before = (lambda n: F.col(f"_n_{n}") > 0), (lambda n: F.col(f"_n_{n}") - F.col(f"_d_{n}") > 0)
+    states = F.array(*[F.struct(F.lit(how).alias("how"), ok(now).alias("on"), ok(before).alias("was")) for how, ok in wanted.items()])
+    changes = (depths.select(*keys, BUCKET, "t", F.explode(F.filter(states, lambda s: s["on"] != s["was"])).alias("_s"))
+               .select(*keys, BUCKET, "_s.how", "t", "_s.on", F.col("t").alias("_at")))
+    # a stretch ends where the next one, of the other state, begins; a single combination needs no key of its own
+    by = [*keys, "how"] if len(wanted) > 1 else keys
+    return add_neighbours(changes, by, "t", next=["_at"]).filter("on").select(*keys, "how", F.col("t").alias("start"), F.col("next__at").alias("end"))
+
+
+def combine_intervals(first: DataFrame, second: DataFrame, keys: Sequence[str], how: str, bucket: int | None = None) -> DataFrame:
+    """``union``, ``intersection`` or ``difference`` of two sets of half-open intervals [start, end) as disjoint intervals (``sweep_intervals``)."""
+    return sweep_intervals({"a": first, "b": second}, keys, {how: _ALGEBRA[how]}, bucket).drop("how")
 
 
 def complement(intervals: DataFrame, spans: DataFrame, keys: Sequence[str], bucket: int | None = None) -> DataFrame:

@@ -257,11 +257,9 @@ def _(t):
     at = epoch_us(F.col("ts"))
     second = t.events.filter("value > 150").select(F.col("event_type").alias("key"), (at - 30 * MINUTE).alias("start"), (at + 30 * MINUTE).alias("end"))
     span = first.groupBy("key").agg((floor_div(F.min("start"), DAY) * DAY).alias("start"), F.max("end").alias("end"))
-    made = {how: I.combine_intervals(first, second, ["key"], how) for how in ("union", "intersection", "difference")} | {"complement": I.complement(first, span, ["key"])}
-    out = None
-    for how, found in made.items():
-        rows = found.select("key", F.lit(how).alias("how"), (F.col("end") - F.col("start")).alias("len"))
-        out = rows if out is None else out.unionByName(rows)
+    made = {"union": lambda inside: inside("a") | inside("b"), "intersection": lambda inside: inside("a") & inside("b"),
+            "difference": lambda inside: inside("a") & ~inside("b"), "complement": lambda inside: inside("d") & ~inside("a")}
+    out = I.sweep_intervals({"a": first, "b": second, "d": span}, ["key"], made).select("key", "how", (F.col("end") - F.col("start")).alias("len"))
     kinds = span.select("key", F.explode(F.array(*[F.lit(h) for h in made])).alias("how"))
     sums = out.groupBy("key", "how").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"))
     return kinds.join(sums, ["key", "how"], "left").fillna(0, ["n", "total"])

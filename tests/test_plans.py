@@ -28,3 +28,12 @@ def test_reads_few_times(spark, name, scans):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall("Scan parquet", plan)) <= scans
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_combinations_share_one_sweep(spark):
+    """Both sets and the spans are read once for all four combinations, and the spans once more for their keys."""
+    df = catalogue.QUERIES["interval_algebra"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall("Scan parquet", plan)) <= 4

@@ -18,15 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+def written(df: DataFrame, by: str | None = None) -> tuple[DataFrame, Callable[[], None]]:
     """A table written to the shared folder, and what deletes it once its last reader is done.
 
     Spark removes the files of a shuffle when the driver's collector finds that nothing refers to it. A driver that only starts jobs
-    seldom collects, so it is asked to: otherwise the shuffles of all steps lie on the executors' disks at once.
+    seldom collects, so it is asked to, also before the step: the listeners may have let go of the last one since.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    spark._jvm.System.gc()
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     spark._jvm.System.gc()
 
     def delete() -> None:

@@ -1,6 +1,7 @@
 """The word model: units, a plain model, other scripts, word order, long texts."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from skycolumn.llm import perplexity, word_model
+from skycolumn.session import checkpoint_dir
 from skycolumn.llm.word_model import CODE_POINTS, SPELLING, WORDS
 
 
@@ -111,3 +113,36 @@ def test_long_texts_are_cut_at_spaces(monkeypatch):
     whole = word_model.padded(text)
     monkeypatch.setattr(word_model, "CHUNK", 100)
     assert word_model.padded(text).tolist() == whole.tolist()
+
+
+def test_steps_on_disk_are_small(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1200)]
+    docs = spark.createDataFrame([(i, i, "=en", t) for i, t in enumerate(texts)], "id long, mark long, lang string, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, sizes, write = spark.read.parquet(str(tmp_path / "docs")), [], word_model.written
+    before = set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+
+    def measured(*args, **more):
+        out = write(*args, **more)
+        top = checkpoint_dir(spark).removeprefix("file:")
+        sizes.append(sum(os.path.getsize(os.path.join(d, f)) for x in set(os.listdir(top)) - before for d, _, names in os.walk(os.path.join(top, x)) for f in names))
+        return out
+
+    monkeypatch.setattr(word_model, "written", measured)
+    assert word_model.score(docs, docs.filter("id % 5 = 0").select("lang", "text"), sum(map(len, texts))).count() == len(texts)
+    # Most triples of such texts are unique; the rows of the texts that are not trusted are never written.
+    assert max(sizes) < 2 * sum(map(len, texts))
+
+
+def test_model_of_all_languages(spark):
+    trusted = ["the shore of the mill", "мир и вода", "the mill of the shore ."]
+    rows = [(i, i, lang, t) for i, (lang, t) in enumerate(zip(["=a", "=b", "=a"], trusted))] + [(9, 9, "=*", "the вода of мир unseen")]
+    docs = spark.createDataFrame(rows, "id long, mark long, lang string, text string")
+    got = {r.id: r.surprise for r in word_model.score(docs, docs.filter("id < 9").select("lang", "text"), 1000).collect()}
+    types = {w for t in trusted for w in spelled(t)} | {""}
+    letters = plain_model(Counter(g for w in types for g in windows(w, SPELLING, "", "\0")), SPELLING, lambda g: 1 / CODE_POINTS)
+    base = lambda g: math.exp(sum(math.log(letters(x)) for x in windows(g[-1], SPELLING, "", "\0")))
+    whole = plain_model(Counter(g for t in trusted for g in windows(spelled(t), WORDS, "", "")), WORDS, base)
+    assert got[9] == pytest.approx(-sum(math.log(whole(g)) for g in windows(spelled(rows[-1][3]), WORDS, "", "")), rel=1e-6)
